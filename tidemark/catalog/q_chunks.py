@@ -32,22 +32,9 @@ def _(t):
     )
 
 
-DISK_LISTS = """
-disk_lists as (
-  select d.path, lower(nfc_normalize(d.path)) as path_key, d.mtime, octet_length(d.content) as size,
-         list('chunk:s256:' || sha256(d.content[t.i * 1024 + 1 : t.i * 1024 + 1024]) order by t.i) as own
-  from fx_disk d, lateral (select unnest(range(0, greatest(1, (octet_length(d.content) + 1023) // 1024))) as i) t
-  group by all)
-"""
-
-
 @query(
     "C4_disk_fingerprints",
-    f"""with {DISK_LISTS}
-    select l.path, array_to_string(case when reused then b.chunks else own end, ',') as chunks, reused
-    from (select l.*, coalesce(b.mtime = l.mtime and b.size = l.size and not b.deleted and b.chunks is not null, false) as reused
-          from disk_lists l left join fx_baselines b using (path_key)) l
-    left join fx_baselines b using (path_key)""",
+    "select path, array_to_string(chunks, ',') as chunks, reused from fx_disk_prints",
 )
 def _(t):
     return chunking.disk_fingerprints(t.disk, t.baselines, CHUNK_BYTES).select(

@@ -213,6 +213,122 @@ select coalesce(l._id, r._id, f.id) as id, l._id is not null as l, r._id is not
        f.id is not null as f
 from fx_local_chunks l full join fx_remote_chunks r on l._id = r._id
 full join fx_refs f on f.id = coalesce(l._id, r._id)""",
+    "fx_disk_prints": """
+select l.path, l.path_key, l.mtime, l.size, l.own, coalesce(hit, false) as reused,
+       case when hit then b.chunks else l.own end as chunks
+from (select d.path, lower(nfc_normalize(d.path)) as path_key, d.mtime, octet_length(d.content) as size,
+             list('chunk:s256:' || sha256(d.content[t.i * 1024 + 1 : t.i * 1024 + 1024]) order by t.i) as own
+      from fx_disk d, lateral (select unnest(range(0, greatest(1, (octet_length(d.content) + 1023) // 1024))) as i) t
+      group by all) l
+left join (select *, true as hit from fx_baselines where not deleted and chunks is not null) b
+  on b.path_key = l.path_key and b.mtime = l.mtime and b.size = l.size""",
+    "fx_case_prints": """
+select l.path, l.path_key, l.mtime, l.size, l.own, coalesce(hit, false) as reused,
+       case when hit then b.chunks else l.own end as chunks
+from (select d.path, lower(nfc_normalize(d.path)) as path_key, d.mtime, octet_length(d.content) as size,
+             list('chunk:s256:' || sha256(d.content[t.i * 1024 + 1 : t.i * 1024 + 1024]) order by t.i) as own
+      from fx_case_disk d, lateral (select unnest(range(0, greatest(1, (octet_length(d.content) + 1023) // 1024))) as i) t
+      group by all) l
+left join (select *, true as hit from fx_baselines where not deleted and chunks is not null) b
+  on b.path_key = l.path_key and b.mtime = l.mtime and b.size = l.size""",
+    "fx_base_rel": """
+select _id, path_key, case when gt and lt then 'concurrent' when gt then 'dominates' when lt then 'dominated' else 'equal' end as rel
+from (select d._id, lower(substr(d._id, 6)) as path_key,
+             bool_or(coalesce(b.n, 0) > coalesce(v.n, 0)) as gt, bool_or(coalesce(b.n, 0) < coalesce(v.n, 0)) as lt
+      from fx_case_docs d cross join (values ('dev-a'), ('dev-b'), ('dev-c')) devs(dev)
+      left join fx_case_vc v on v._id = d._id and v.dev = devs.dev
+      left join (select * from fx_baselines_vc where path_key in (select path_key from fx_baselines)) b
+        on b.path_key = lower(substr(d._id, 6)) and b.dev = devs.dev
+      group by 1, 2)""",
+    "fx_local_bump": """
+select _id, '{' || string_agg(dev || ':' || n, ',' order by dev) || '}' as vc
+from (select _id, dev, sum(n)::bigint as n
+      from (select * from fx_local_vc union all select distinct _id, 'dev-a', 1 from fx_local_vc) group by 1, 2) group by 1""",
+    "fx_case_edits": """
+select p.path, case when coalesce(b.deleted, false) then true
+    when b.path_key is null or b.chunks is null or b.size is null then
+      case when d._id is not null and not d.deleted then p.size <> d.size or p.own <> d.chunks else true end
+    else p.size <> b.size or p.own <> b.chunks end as unpushed
+from fx_case_prints p left join fx_baselines b using (path_key) left join fx_case_docs d on d._id = 'file:' || p.path""",
+    "fx_crowded": """
+select path_key from (select path_key, 1 as f, 0 as d from fx_case_prints union all
+                      select lower(substr(_id, 6)), 0, 1 from fx_case_docs where not deleted)
+group by 1 having sum(f) > 1 or sum(d) > 1""",
+    "fx_collisions": """
+select v.path_key, v.path,
+    case when not (backed and any_doc and one_list and not edited) then 'collision-unresolved'
+         when v.path = c.canonical and has_file then 'keep' when v.path = c.canonical then 'collision-restore'
+         when has_file then 'dedup-file' else 'tombstone' end as action,
+    case when backed and any_doc and one_list and not edited then 'resolved' else 'unresolved' end as state,
+    coalesce(backed and any_doc and one_list and not edited and v.path = c.canonical, false) as is_canonical
+from (select path_key, path, bool_or(f) as has_file, bool_or(d) as has_doc
+      from (select path_key, path, true as f, false as d from fx_case_prints union all
+            select lower(substr(_id, 6)), substr(_id, 6), false, true from fx_case_docs where not deleted)
+      where path_key in (select path_key from fx_crowded) group by 1, 2) v
+join (select x.path_key, bool_and(not is_file or d._id is not null) as backed, bool_or(coalesce(e.unpushed and is_file, false)) as edited
+      from (select path_key, path, true as is_file from fx_case_prints union all
+            select lower(substr(_id, 6)), substr(_id, 6), false from fx_case_docs where not deleted) x
+      left join (select * from fx_case_docs where not deleted) d on d._id = 'file:' || x.path
+      left join fx_case_edits e on e.path = x.path
+      group by 1) k using (path_key)
+left join (select lower(substr(_id, 6)) as path_key, count(*) > 0 as any_doc, count(distinct array_to_string(chunks, ',')) = 1 as one_list,
+             min(substr(_id, 6)) as smallest from fx_case_docs where not deleted group by 1) o using (path_key)
+left join (select path_key, coalesce(min(p) filter (not short), min(p)) as canonical
+           from (select g.path_key, g._id, substr(g._id, 6) as p, bool_or(coalesce(v.n, 0) < t.n) as short
+                 from (select _id, lower(substr(_id, 6)) as path_key from fx_case_docs where not deleted) g
+                 join (select lower(substr(_id, 6)) as path_key, dev, max(n) as n from fx_case_vc
+                       where _id in (select _id from fx_case_docs where not deleted) group by 1, 2) t on t.path_key = g.path_key
+                 left join fx_case_vc v on v._id = g._id and v.dev = t.dev group by 1, 2) group by 1) c using (path_key)""",
+    "fx_occupants": """
+select k.path_key, p.path as fpath, p.mtime as fmtime, p.size as fsize, p.chunks as fchunks,
+       d._id as doc, d.chunks as dchunks, d.size as dsize, coalesce(d.deleted, false) as dead,
+       b.path_key is not null as based, coalesce(b.deleted, false) as bdead, b.chunks is null or b.size is null as legacy,
+       r.rel as brel, coalesce(not b.deleted and b.size = p.size and b.chunks = p.chunks, false) as explained,
+       coalesce(not d.deleted and d.size = p.size and d.chunks = p.chunks, false) as same
+from (select path_key from fx_case_prints union select lower(substr(_id, 6)) from fx_case_docs) k
+left join fx_case_prints p using (path_key)
+left join (select * from fx_case_docs qualify row_number() over (partition by lower(substr(_id, 6)) order by deleted, _id) = 1) d
+  on lower(substr(d._id, 6)) = k.path_key
+left join fx_baselines b using (path_key) left join fx_base_rel r on r._id = d._id
+where k.path_key not in (select path_key from fx_crowded)""",
+    "fx_occupant_rel": """
+select *, case when fpath is null or doc is null then null
+    when same and brel = 'equal' then 'identical' when same then 'vclock-only-drift'
+    when brel = 'concurrent' then 'true-divergent'
+    when brel = 'dominated' and dead then case when based and not bdead and not legacy and explained then 'remote-edit' else 'true-divergent' end
+    when brel = 'dominated' and not based then 'remote-edit' when brel = 'dominated' and legacy then 'legacy-skip'
+    when brel = 'dominated' then case when explained then 'remote-edit' else 'true-divergent' end
+    else 'local-edit' end as relation
+from fx_occupants""",
+    "fx_single_plan": """
+select o.path_key, coalesce(fpath, substr(doc, 6)) as path, doc, dead, relation,
+    case when fpath is null and (doc is null or dead) then case when doc is not null and based and not bdead then 'baseline-align' end
+         when fpath is not null and doc is null then 'push'
+         when fpath is not null and dead then case relation when 'local-edit' then 'push' when 'remote-edit' then 'delete-apply'
+              when 'true-divergent' then 'conflict-recreate' else 'error' end
+         when fpath is null and based and bdead then case brel when 'dominated' then 'restore' when 'concurrent' then 'conflict-delete' else 'delete' end
+         when fpath is null and based then case brel when 'dominated' then 'conflict-delete' else 'delete' end
+         when fpath is null and (l.dev in ('dev-a', 'dev-old') or o.path_key in (select lower(path) from fx_manifest)) then 'delete'
+         when fpath is null then 'restore'
+         else case relation when 'identical' then 'align' when 'vclock-only-drift' then 'vclock-adopt' when 'local-edit' then 'push'
+              when 'true-divergent' then 'conflict-edit' else 'pull' end end as action
+from fx_occupant_rel o
+left join (select _id, dev from fx_case_vc qualify row_number() over (partition by _id order by n desc, dev) = 1) l on l._id = o.doc""",
+    "fx_plan": """
+select path_key, path, action, relation,
+    case when action in ('align', 'vclock-adopt') then 'in-sync'
+         when action = 'push' and doc is not null and not dead then 'local-win'
+         when action in ('push', 'conflict-recreate') then 'pushed' when action in ('pull', 'conflict-edit') then 'remote-win'
+         when action = 'restore' then 'restored' when action in ('delete', 'delete-apply', 'conflict-delete') then 'deleted' end as bucket, doc
+from fx_single_plan where action is not null
+union all select path_key, path, action, null, null, case when action = 'collision-restore' then 'file:' || path end
+from fx_collisions where action <> 'keep'
+union all select path_key, path, 'collision-resolved', null, 'collision-resolved', null from fx_collisions where is_canonical and state = 'resolved'""",
+    "fx_renames": """
+select o.path as old_path, d.path as path from fx_disk d join fx_files o on o.doc_id = d.doc_id + 1 where d.doc_id % 5 = 1
+union all select f.path, d.path from fx_disk d join fx_files f using (doc_id) where d.doc_id % 17 = 0 and d.doc_id % 5 <> 1
+union all select 'old/' || d.path, d.path from fx_disk d where d.doc_id % 5 = 2 and d.doc_id % 17 <> 0
+union all select path, 'nowhere/' || path from fx_files where doc_id % 50 = 7""",
 }
 
 

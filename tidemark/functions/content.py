@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schemas import CHUNK_PREFIX, DIFFABLE_PROBE_BYTES
 
@@ -17,7 +18,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _x64(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else xxhash.xxh64_hexdigest(bytes(b), seed=0))
 
@@ -65,7 +66,7 @@ def is_diffable_text(content: Column | str) -> Column:
     return F.is_valid_utf8(text) & ~text.contains("\x00")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def gzip_length(content: pd.Series) -> pd.Series:
     """Length after gzip (level 6, no timestamp)."""
     return content.map(
@@ -141,7 +142,10 @@ def lcs_length(x: np.ndarray, y: np.ndarray) -> int:
     return lo + hi + len(x) - row.bit_count()
 
 
-@F.pandas_udf("struct<added bigint, removed bigint>")
+CHURN = T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType())])
+
+
+@F.pandas_udf(CHURN)
 def line_churn(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines added and removed between two texts (exact: lengths minus LCS)."""
     added, removed = [], []

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schemas import CHUNK_ALGS, CHUNK_PREFIX, CONFIG_PREFIX, FILE_PREFIX
 
@@ -83,7 +84,7 @@ def local_name(c: Column | str) -> Column:
     return F.when(i.startswith("_local/"), after(i, "_local/")).when(i.startswith("_"), after(i, "_"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_lower(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).lower())
 

@@ -10,6 +10,7 @@ from tidemark.functions import ids
 from tidemark.operators.paths import MIB, with_path_key
 from tidemark.operators.skew import HOT_ROWS, SMALL_ROWS, is_small, salted_join
 from tidemark.schemas import DEFAULT_ALG, DEFAULT_MAX_FILE_MB, FILE_CHUNK_BYTES
+from tidemark.session import cut_lineage
 
 
 def split_into_chunks(
@@ -89,7 +90,7 @@ def disk_fingerprints(
     )
     own = contentf.chunk_list("content", chunk_bytes)
     stats = keyed.drop("content").join(full, "path_key", "left").withColumn("reused", same_stat)
-    misses = stats.filter(~F.col("reused")).select("path")
+    misses = cut_lineage(stats.filter(~F.col("reused")).select("path"))
     columns = [c for c in keyed.columns if c != "content"]
     if is_small(misses, max_broadcast):
         hashed = keyed.join(F.broadcast(misses), "path", "left_semi").select(

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import clocks, ids
 from tidemark.operators.chunking import verify_chunks
 from tidemark.operators.paths import with_path_key
-from tidemark.operators.skew import HOT_ROWS, broadcast_if_small, salted_join
+from tidemark.operators.skew import HOT_ROWS, salted_join
 from tidemark.schemas import DEFAULT_ALG
+from tidemark.session import cut_lineage
 
 
 def alive(deleted: str = "deleted") -> Column:
@@ -204,17 +205,18 @@ def apply_repair(
     """New chunk tables plus ``(id, action, result)``.
 
     Bodies with no usable content fail on push; pulled bodies must hash to
-    their id.  Only planned ids are joined with bodies, and the plan is
-    broadcast only when its size is checked to be small.
+    their id.  The plan is written once, so that only planned ids meet bodies
+    and a short plan is broadcast by its measured size.
     """
+    plan = cut_lineage(plan)
 
     def picked(chunks: DataFrame, action: str) -> DataFrame:
         wanted = plan.filter(F.col("action") == action).select(F.col("id").alias("_id"))
-        return chunks.select("_id", "content").join(broadcast_if_small(wanted), "_id", "left_semi")
+        return chunks.select("_id", "content").join(wanted, "_id", "left_semi")
 
     def without(chunks: DataFrame, action: str) -> DataFrame:
         gone = plan.filter(F.col("action") == action).select(F.col("id").alias("_id"))
-        return chunks.select("_id", "content").join(broadcast_if_small(gone), "_id", "left_anti")
+        return chunks.select("_id", "content").join(gone, "_id", "left_anti")
 
     pushed = picked(local_chunks, "push").withColumn(
         "verdict", F.when(F.col("content").isNull(), "content-missing").otherwise("ok")
@@ -249,13 +251,15 @@ def gc_chunks(owners: DataFrame, chunks: DataFrame) -> Collected:
     table: references never cross stores.  ``kept`` removes by the (usually
     short) deleted list; use :func:`gc_ids` where bodies are not needed."""
     flags = gc_ids(owners, chunks)
-    deleted = flags.filter(F.col("stored") & ~F.col("referenced")).select(F.col("id").alias("_id"))
+    deleted = cut_lineage(
+        flags.filter(F.col("stored") & ~F.col("referenced")).select(F.col("id").alias("_id"))
+    )
     counts = flags.agg(
         F.count_if("stored").alias("scanned"),
         F.count_if("referenced").alias("referenced"),
         F.count_if(F.col("stored") & ~F.col("referenced")).alias("deleted"),
     )
-    kept = chunks.join(broadcast_if_small(deleted), "_id", "left_anti")
+    kept = chunks.join(deleted, "_id", "left_anti")
     return Collected(kept, deleted, counts)
 
 

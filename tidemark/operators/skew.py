@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 
 
@@ -37,11 +39,16 @@ def salted_join(
 ) -> DataFrame:
     """Join ``many`` (keys may be hot) to ``one`` (keys unique) on ``key``.
 
-    Rows of a hot key are spread over ``_splits`` salts by a hash of
-    ``spread_by``; only the matching row of ``one`` is repeated, as often as
-    that key needs.  ``how`` is inner, left, left_semi or left_anti.
+    Hot keys are found first, in one pass counted map-side; without any (the
+    usual case) this is a plain join.  Otherwise rows of a hot key are spread
+    over ``_splits`` salts by a hash of ``spread_by``, and only the matching row
+    of ``one`` is repeated, as often as that key needs.  ``how`` is inner, left,
+    left_semi or left_anti.
     """
-    hot = F.broadcast(hot_keys(many, key, hot_rows))
+    found = cut_lineage(hot_keys(many, key, hot_rows))
+    if found.isEmpty():
+        return many.join(one, key, how)
+    hot = F.broadcast(found)
     salted = many.join(hot, key, "left").withColumn(
         "_salt",
         F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_splits"), F.lit(1))).cast("int"),
