@@ -347,6 +347,8 @@ def sql_with_views(body: str) -> str:
         return body
     views = ",\n".join(f"{name} as ({VIEWS[name].strip()})" for name in order)
     lead = body.strip()
+    if lead.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{lead[15:]}"
     if lead.lower().startswith("with "):
         return f"with {views},\n{lead[5:]}"
     return f"with {views}\n{lead}"
@@ -630,7 +632,8 @@ class Tables:
         kind = F.col("event_type")
         return events.select(
             F.col("event_id").alias("id"),
-            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+            # Nearest millisecond, as the SQL twin rounds.
+            F.floor((F.unix_micros(F.col("ts").cast("timestamp")) + 500) / 1000).alias("timestamp"),
             F.when(kind == "error", "error").when(kind == "click", "info").when(kind == "view", "debug")
             .otherwise("warn").alias("level"),
             F.concat("event_type", F.lit(" "), "props").alias("message"),

@@ -152,7 +152,7 @@ def reassemble(
         .when(F.col("size") > F.lit(max_mb * MIB), "exceeds-max-size")
         .otherwise("ok")
     )
-    judged = (
+    judged = cut_lineage(
         files.select("_id")
         .join(verdicts, "_id", "left")
         .select(
