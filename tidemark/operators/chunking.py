@@ -14,7 +14,7 @@ from tidemark.session import cut_lineage
 
 
 def split_into_chunks(
-    files: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES, alg=DEFAULT_ALG
+    files: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES, alg=DEFAULT_ALG, id_col: str = "_id"
 ) -> DataFrame:
     """One row per fixed-size piece: file columns, ``ord``, ``_id``, ``content``.
 
@@ -29,7 +29,7 @@ def split_into_chunks(
     pieces = ordinals.select(
         *keep, "ord", contentf.piece("_bytes", F.col("ord"), chunk_bytes).alias("content")
     )
-    return pieces.withColumn("_id", contentf.chunk_id("content", alg))
+    return pieces.withColumn(id_col, contentf.chunk_id("content", alg))
 
 
 def dedup_chunks(pieces: DataFrame) -> DataFrame:
@@ -52,14 +52,14 @@ def file_fingerprints(
             contentf.chunk_list("content", chunk_bytes).alias("chunks"),
             F.octet_length("content").cast("bigint").alias("size"),
         )
-    pieces = split_into_chunks(files.select(*keep, "content"), chunk_bytes, alg)
+    pieces = split_into_chunks(files.select(*keep, "content"), chunk_bytes, alg, "_piece")
     return (
         pieces.groupBy(*keep)
         .agg(
-            F.array_sort(F.collect_list(F.struct("ord", "_id"))).alias("_p"),
+            F.array_sort(F.collect_list(F.struct("ord", "_piece"))).alias("_p"),
             F.sum(F.octet_length("content")).alias("size"),
         )
-        .select(*keep, F.transform("_p", lambda p: p["_id"]).alias("chunks"), "size")
+        .select(*keep, F.transform("_p", lambda p: p["_piece"]).alias("chunks"), "size")
     )
 
 
