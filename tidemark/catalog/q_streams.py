@@ -84,13 +84,15 @@ def _(t):
 
 @query(
     "T2_echo_records",
-    f"""with {LATEST} select id, seq from w where (select max(event_id) * 1000 from events) - added_at <= 600000
-         and id not in (select id from fx_changes where deleted)""",
+    """select _id as id, doc_id + 1 as seq, doc_id * 1000 as added_at from fx_stored_docs
+       where not deleted and (select max(doc_id) * 1000 from fx_stored_docs) - doc_id * 1000 <= 150000""",
 )
 def _(t):
-    now = t.source("events").agg(F.max("event_id") * 1000).first()[0]
-    seen = t.changes.filter("deleted")
-    return feeds.suppress_echoes(seen, writes(t), now, 600_000)[1].select("id", "seq")
+    d = F.col("doc_id")
+    records = t.stored_docs.select(F.col("_id").alias("id"), (d + 1).alias("seq"), (d * 1000).alias("added_at"))
+    now = t.stored_docs.agg(F.max(d) * 1000).first()[0]
+    seen = t.stored_docs.filter("deleted").select(F.col("_id").alias("id"), F.col("_local_seq").alias("seq"))
+    return feeds.suppress_echoes(seen, records, now, 150_000)[1]
 
 
 FIRINGS = f"""
