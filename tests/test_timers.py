@@ -73,3 +73,73 @@ def test_pull_batch_replay_changes_nothing(spark, tmp_path):
     assert [r["reason"] for r in state.pending_apply().collect()] == ["missing-chunks"]
     state.compact()
     assert state.docs().collect() == before and state.head()["last_seq"] == 3
+
+
+def plain_runs(rows, quiet, interval):
+    """Clock-by-clock push timers: rows are (ms, path, kind)."""
+    out = []
+    for path in {p for _, p, _ in rows}:
+        armed = due = last = None
+
+        def advance(now, armed, due, last):
+            # The debounce timer loses a tie against an event, the delayed run wins it.
+            while True:
+                a = armed if armed is not None and armed < now else None
+                d = due if due is not None and due <= now else None
+                if a is None and d is None:
+                    return armed, due, last
+                if d is not None and (a is None or d <= a):
+                    out.append((path, d))
+                    last, due = d, None
+                    continue
+                armed = None
+                if last is None or a - last >= interval:
+                    out.append((path, a))
+                    last, due = a, None
+                else:
+                    due = last + interval
+
+        for at, kind in sorted((t, k) for t, p, k in rows if p == path):
+            armed, due, last = advance(at, armed, due, last)
+            due = None
+            if kind == "modify":
+                armed = at + quiet
+            else:
+                armed = last = None
+        advance(10**9, armed, due, last)
+    return sorted(out)
+
+
+def test_min_interval_against_plain_timers(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for path in "abcd":
+        for t in sorted(rng.sample(range(6000), 60)):
+            rows.append((t, path, "modify" if rng.random() < 0.85 else "delete"))
+    df = events(spark, *[(t, p, None, k) for t, p, k in rows])
+    resets = timers.steps(df).filter("what = 'cancel'").select("path", "at")
+    got = timers.min_interval(timers.debounce(df, 60, slices=4), 400, "push", resets)
+    assert sorted((r["path"], r["run_at"] - BASE) for r in got.collect()) == plain_runs(rows, 60, 400)
+
+
+def test_stream_echoes(spark, tmp_path):
+    import time
+
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    for name, rows in (("w", [("x", 5), ("y", 2)]), ("c", [("x", 5), ("x", 6), ("y", 1), ("z", 1)])):
+        spark.createDataFrame(rows, "id string, seq long").write.parquet(f"{tmp_path}/{name}")
+    read = spark.readStream.schema("id string, seq long")
+    kept = feeds.stream_suppress_echoes(read.parquet(f"{tmp_path}/c"), read.parquet(f"{tmp_path}/w"))
+    q = kept.writeStream.format("memory").queryName("echo_kept").option("checkpointLocation", f"{tmp_path}/k").start()
+    try:
+        end = time.time() + 40
+        while time.time() < end and spark.table("echo_kept").count() < 2:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert sorted(map(tuple, spark.table("echo_kept").collect())) == [("x", 6), ("z", 1)]

@@ -76,7 +76,10 @@ def disk_fingerprints(
     those rows are hashed; beyond that every row is hashed where it is read and
     the reuse decided on stat columns.
     """
-    keyed = disk if "path_key" in disk.columns else with_path_key(disk)
+    def keyed(df: DataFrame) -> DataFrame:
+        # After the bodies are gone: the fold may call Python, which queues rows.
+        return df if "path_key" in df.columns else with_path_key(df)
+
     full = baselines.filter(
         ~F.coalesce("deleted", F.lit(False)) & F.col("chunks").isNotNull() & F.col("mtime").isNotNull()
     ).select(
@@ -89,16 +92,20 @@ def disk_fingerprints(
         (F.col("_bm") == F.col("mtime")) & (F.col("_bs") == F.col("size")), F.lit(False)
     )
     own = contentf.chunk_list("content", chunk_bytes)
-    stats = keyed.drop("content").join(full, "path_key", "left").withColumn("reused", same_stat)
+    bare = keyed(disk.drop("content"))
+    columns = bare.columns
+    stats = bare.join(full, "path_key", "left").withColumn("reused", same_stat)
     misses = cut_lineage(stats.filter(~F.col("reused")).select("path"))
-    columns = [c for c in keyed.columns if c != "content"]
+    kept = [c for c in disk.columns if c != "content"]
     if is_small(misses, max_broadcast):
-        hashed = keyed.join(F.broadcast(misses), "path", "left_semi").select(
-            *columns, own.alias("chunks"), F.lit(False).alias("reused")
+        hashed = keyed(
+            disk.join(F.broadcast(misses), "path", "left_semi").select(
+                *kept, own.alias("chunks"), F.lit(False).alias("reused")
+            )
         )
         hits = stats.filter("reused").select(*columns, F.col("_bc").alias("chunks"), "reused")
         return hits.unionByName(hashed)
-    hashed = keyed.select(*columns, own.alias("_own"))
+    hashed = keyed(disk.select(*kept, own.alias("_own")))
     return hashed.join(full, "path_key", "left").withColumn("reused", same_stat).select(
         *columns,
         F.when(F.col("reused"), F.col("_bc")).otherwise(F.col("_own")).alias("chunks"),

@@ -275,7 +275,7 @@ def path_collisions(
     variant stays (collision-restore when it is not on disk) and the others are
     dedup-file (delete and tombstone) or tombstone.  Else collision-unresolved.
     """
-    files = with_path_key(disk)
+    files = with_path_key(disk.select("path"))
     live = keyed_docs(docs.filter(~F.coalesce("deleted", F.lit(False))))
     counted = files.select("path_key", F.lit(1).alias("f"), F.lit(0).alias("d")).unionAll(
         live.select("path_key", F.lit(0), F.lit(1))
@@ -287,7 +287,8 @@ def path_collisions(
         .select("path_key")
     )
     # Clashes are few: their files are filtered where they are read, then hashed.
-    clash_files = files.join(keys, "path_key", "left_semi")
+    clash_paths = cut_lineage(files.join(keys, "path_key", "left_semi").distinct())
+    clash_files = disk.drop("path_key").join(clash_paths, "path")
     clash_docs = live.join(keys, "path_key", "left_semi")
     edits = has_unpushed(clash_files, clash_docs, baselines, pending, chunk_bytes)
     variants = cut_lineage(
@@ -418,11 +419,13 @@ def has_unpushed(
 
     ``pending`` (``path``) lists files whose debounce timer still runs.
     """
-    keyed = disk if "path_key" in disk.columns else with_path_key(disk)
-    own = keyed.select(
-        "path", "path_key", F.col("size").alias("_size"),
+    known = [c for c in ("path_key",) if c in disk.columns]
+    own = disk.select(
+        "path", *known, F.col("size").alias("_size"),
         contentf.chunk_list("content", chunk_bytes).alias("_own"),
     )
+    # Folded after hashing, so that no bodies queue behind the fold.
+    own = own if known else with_path_key(own)
     base = baselines.select("path_key", _base_struct().alias("base"))
     exact = docs.select(ids.path_of("_id").alias("path"), _doc_struct().alias("doc"))
     rows = own.join(base, "path_key", "left").join(exact, "path", "left")
@@ -524,10 +527,13 @@ def ingest_files(
     legacy baseline the doc moved past) / written: clock + 1, chunks, stat.
     New baselines are the written rows; chunks come from :func:`ingest_chunks`.
     """
-    scoped = with_scope(with_path_key(disk), include_re, exclude_re, max_mb).withColumn(
-        "_own",
-        F.when(F.col("scope") == "in", contentf.chunk_list("content", chunk_bytes)),
-    ).drop("content")
+    scoped = with_path_key(
+        with_scope(disk, include_re, exclude_re, max_mb)
+        .withColumn(
+            "_own", F.when(F.col("scope") == "in", contentf.chunk_list("content", chunk_bytes))
+        )
+        .drop("content")
+    )
     exact = docs.select(ids.path_of("_id").alias("path"), _doc_struct().alias("doc"))
     base = baselines.select("path_key", _base_struct().alias("base"))
     rows = scoped.join(exact, "path", "left").join(base, "path_key", "left")
