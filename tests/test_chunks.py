@@ -89,3 +89,13 @@ def test_newest_cut_keeps_exactly_n(spark):
         got = df.filter(newest_cut(df, ["t", "id"], n, fanout=8)).collect()
         assert sorted(((r["t"], r["id"]) for r in got), reverse=True) == want[:n]
     assert newest_cut(df, ["t", "id"], 1000) is None
+
+
+def test_read_disk(spark, tmp_path):
+    from tidemark.sources.scan import read_disk
+
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "c+d é.md").write_bytes(b"hello")
+    (tmp_path / "e.md").write_bytes(b"")
+    rows = {r["path"]: (r["size"], bytes(r["content"])) for r in read_disk(spark, str(tmp_path)).collect()}
+    assert rows == {"a b/c+d é.md": (5, b"hello"), "e.md": (0, b"")}
