@@ -70,21 +70,34 @@ def docs_under_folder(docs: DataFrame, folder: str) -> DataFrame:
     return docs.filter(F.col("_id").startswith(f"file:{folder.rstrip('/')}/") & alive())
 
 
-def read_disk(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
+def read_disk(
+    spark: SparkSession, root: str, path_glob: str | None = None, empty: DataFrame | None = None
+) -> DataFrame:
     """``(path, mtime, ctime, size, content)`` of all files under ``root``, paths
-    relative to it.  Stat-only queries never open the files."""
+    relative to it.  Stat-only queries never open the files.
+
+    Spark's file sources leave zero-length files out; a caller that has a listing
+    of them passes it as ``empty`` (``path, mtime``).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     base = root.rstrip("/") + "/"
     mtime = F.unix_millis("modificationTime")
-    return reader.load(root).select(
+    files = reader.load(root).select(
         F.url_decode(F.replace(F.substring_index("path", base, -1), F.lit("+"), F.lit("%2B"))).alias("path"),
         mtime.alias("mtime"),
         mtime.alias("ctime"),
         F.col("length").alias("size"),
         "content",
     )
+    if empty is None:
+        return files
+    nothing = empty.select(
+        "path", "mtime", F.col("mtime").alias("ctime"), F.lit(0).cast("bigint").alias("size"),
+        F.lit(b"").alias("content"),
+    )
+    return files.unionByName(nothing)
 
 
 @dataclass
