@@ -76,7 +76,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.length("_bare") - F.length(F.regexp_replace("_bare", r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_bare", r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("_bare", r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_letters"),
         without("!?").cast("long").alias("n_shouts"),
         F.regexp_count("_bare", F.lit("[#*$%&|<>]{2,}")).cast("long").alias("n_runs"),
         F.size(F.array_remove("_words", "|")).cast("long").alias("n_unbarred"),
@@ -99,8 +99,8 @@ def rules() -> dict[str, Column]:
         "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
         "runs": vote(per_word("n_runs") > 0.05, per_word("n_runs") < 0.01),
         "bars": vote(bars > 0.1, bars < 0.02),
-        "letters": vote(per_char("n_letters") < 0.75, per_char("n_letters") > 0.9),
-        "repeats": vote(per_word("n_repeat_words") > 0.2, per_word("n_repeat_words") < 0.1),
+        "letters": vote(per_char("n_letters") < 0.75, per_char("n_letters") > 0.85),
+        "repeats": vote(per_word("n_repeat_words") > 0.28, per_word("n_repeat_words") < 0.25),
         "lines": vote(dup > 0.3, dup < 0.1),
         "variety": vote(
             (F.col("n_words") >= 50) & (per_word("n_distinct") < 0.15), per_word("n_distinct") > 0.25

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, sharding, warc
+from tidemark.llm import lattice, mixing, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op1(pages: DataFrame) -> DataFrame:
     )
 
 
+@register("op2_lattice", "embeddings")
+def op2(vectors: DataFrame) -> DataFrame:
+    return lattice.near_duplicates(vectors)
+
+
 @register("op3_mixing", "documents")
 def op3(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +61,13 @@ def op5(docs: DataFrame) -> DataFrame:
     )
 
 
+@register("op6_simhash", "documents")
+def op6(docs: DataFrame) -> DataFrame:
+    return simhash.near_duplicates(docs).select(
+        "doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 @register("op8_quality", "documents")
 def op8(docs: DataFrame) -> DataFrame:
     return quality.judge(docs).select(
