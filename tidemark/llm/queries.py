@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lattice, mixing, quality, sharding, simhash, warc
+from tidemark.llm import lattice, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +53,13 @@ def op3(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op4_packing", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    return packing.packed_pieces(docs).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @register("op5_sharding", "documents")
 def op5(docs: DataFrame) -> DataFrame:
     return sharding.interleave(docs).select(
