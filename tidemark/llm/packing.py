@@ -112,21 +112,20 @@ def solve(units: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.nda
 
     The restricted program is kept as a basis of patterns, starting with each class
     alone, and improved by the simplex rule; its size is that of the histogram.
+    Rounding errors can only make the plan longer: pieces are counted in integers.
     """
     k = len(units)
     if not k:
         return []
     basis = np.diag((room // units).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    amount = inverse @ demand
-    for turn in range(MAX_COLUMNS):
-        if turn % 100 == 99:  # against rounding
-            inverse = np.linalg.inv(basis)
-            amount = inverse @ demand
+    amount = demand / np.diag(basis)
+    # einsum, not @: threads of a linear algebra library would fight over busy cores.
+    for _ in range(MAX_COLUMNS):
         worth, pattern = _best_pattern(np.maximum(inverse.sum(axis=0), 0.0), units, room)
         if worth <= 1 + 1e-7:
             break
-        step = inverse @ pattern
+        step = np.einsum("ij,j->i", inverse, pattern.astype(float))
         rows = np.flatnonzero(step > 1e-9)
         if not len(rows):
             break
