@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lattice, mixing, packing, quality, sharding, simhash, warc
+from tidemark.llm import language, lattice, mixing, packing, quality, sharding, simhash, warc
+from tidemark.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +82,12 @@ def op8(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "posterior",
     )
+
+
+@register("op10_language", "documents")
+def op10(docs: DataFrame) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    langs, logs = language.fit(docs, ~held_out)
+    return language.predict(docs, langs, logs, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
