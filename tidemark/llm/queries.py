@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lattice, mixing, packing, quality, sharding, simhash, warc
+from tidemark.llm import language, lattice, mixing, packing, pii, quality, sharding, simhash, warc
 from tidemark.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,16 @@ def op8(docs: DataFrame) -> DataFrame:
     )
 
 
+@register("op9_pii", "documents")
+def op9(docs: DataFrame) -> DataFrame:
+    base = F.col("base_spans")
+    return pii.detect(docs, ["doc_id"]).select(
+        "doc_id", *[pii.count_of(k, base).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.digest(base).cast("binary"), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )
+
+
 @register("op10_language", "documents")
 def op10(docs: DataFrame) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 4) == 2
