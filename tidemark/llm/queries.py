@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lattice, mixing, packing, pii, quality, sharding, simhash, warc
+from tidemark.llm import language, lattice, lm, mixing, packing, pii, quality, sharding, simhash, warc
 from tidemark.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op6(docs: DataFrame) -> DataFrame:
     )
 
 
+@register("op7_lm", "documents")
+def op7(docs: DataFrame) -> DataFrame:
+    return lm.score(docs)
+
+
 @register("op8_quality", "documents")
 def op8(docs: DataFrame) -> DataFrame:
     return quality.judge(docs).select(
