@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from tidemark.session import cut_lineage, shared_dir
 
 __all__ = [
-    "SPACE", "cut_lineage", "fold_of", "hash_slice", "null_last", "n_slices",
-    "running_total", "shared_dir", "words",
+    "SPACE", "cut_lineage", "fold_of", "hash_slice", "null_last", "n_slices", "row_key",
+    "running_total", "shared_dir", "unwrapped", "words", "wrapped",
 ]
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -42,6 +42,28 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: equal rows share it, other rows don't."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", doc_id, F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))).cast("binary"))
+
+
+USED = ("doc_id", "text")
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that no names clash inside."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in USED]
+    return docs.select(*USED, (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_rest"))
+
+
+def unwrapped(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFrame:
+    """``columns`` again: as ``changed``, as they are, or from what was wrapped."""
+    return df.select(*[
+        (changed[c] if c in changed else F.col(c) if c in USED else F.col("_rest")[c]).alias(c) for c in columns
+    ])
+
+
 def n_slices(rows: int) -> int:
     """Slices in proportion to the rows, bounded, so that offsets stay small."""
     return max(1, min(MAX_SLICES, rows // ROWS_PER_SLICE))

@@ -26,6 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.common import unwrapped, wrapped
 
 CELLS = 1 << 16
 SMOOTHING = 0.05
@@ -137,10 +140,16 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, keep: list[str]
                  pa.array([langs[s[0][0]] if s else UNKNOWN for s in sets], pa.string()),
                  pa.array([min(s[0][1], 1.0) if s else 0.0 for s in sets], pa.float64()),
                  pa.array([[langs[i] for i, _ in s] for s in sets], pa.list_(pa.string()))],
-                [*(f"c{i}" for i in range(batch.num_columns - 1)), "lang_pred", "score", "lang_set"],
+                [*keep, "lang_pred", "score", "lang_set"],
             )
 
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    out = source.mapInArrow(run, f"{fields}, lang_pred string, score double, lang_set array<string>")
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
+    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = T.StructType(source.schema.fields[:-1])
+    schema = schema.add("lang_pred", "string").add("score", "double").add("lang_set", T.ArrayType(T.StringType()))
+    return source.mapInArrow(run, schema)
+
+
+def with_language(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` in which a language was found, with their columns."""
+    found = predict(wrapped(docs), langs, logs, ["doc_id", "text", "_rest"])
+    return unwrapped(found.filter(F.col("lang_pred") != UNKNOWN), docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import (
-    SPACE, cut_lineage, hash_slice, n_slices, null_last, running_total, words,
+    SPACE, cut_lineage, hash_slice, n_slices, null_last, running_total, unwrapped, words, wrapped,
 )
 
 SEED = 29
@@ -182,12 +182,16 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Documents of which nothing is taken go.  Columns of ``docs`` are kept, with
     ``n_chars`` counted anew where it exists.
     """
-    taken = mix(docs, seed).filter("taken > 0").select("doc_id", "_hash", "pieces")
-    texts = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    joined = texts.join(
-        taken.withColumnsRenamed({"doc_id": "_id", "_hash": "_h", "pieces": "_pieces"}),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")),
+    taken = mix(docs, seed).filter("taken > 0").select(
+        "doc_id", F.col("_hash").alias("_h"), F.col("pieces").alias("_pieces")
     )
+    taken = cut_lineage(taken.select(_joint("_h").alias("_joint"), "_pieces"))
+    texts = wrapped(docs).withColumn("_joint", _joint(F.xxhash64("text")))
+    # Rows that repeat id and text are one text here, and each taken row comes back.
+    if taken.groupBy("_joint").count().filter("count > 1").isEmpty():
+        joined = texts.join(taken, "_joint")
+    else:
+        joined = texts.dropDuplicates(["_joint"]).join(taken, "_joint")
     space = f"[{SPACE}]"
     joined = joined.withColumn("_words", F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+{space}*"), F.lit(0)))
 
@@ -197,6 +201,12 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
             F.concat(part, F.when(part.rlike(f"{space}$"), "").otherwise(" ")), p["times"].cast("int")
         )
 
-    text = F.array_join(F.transform("_pieces", said), "")
-    out = joined.withColumn("text", text).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    joined = joined.withColumn("_new", F.array_join(F.transform("_pieces", said), ""))
+    changed = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return unwrapped(joined, docs.columns, **changed)
+
+
+def _joint(text_hash: Column | str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash)

@@ -14,7 +14,8 @@ what lies between the matches, so running lengths give the starts.
 Defined results: NULL and empty texts have no spans; offsets are in code points, end
 exclusive; texts are scanned whole, in time linear in their length; base matches that
 fail their check are dropped without retry; found spans never overlap base spans;
-repeated rows keep their own spans; an empty table gives no rows; columns may clash.
+repeated rows keep their own spans; an empty table gives no rows; other columns are
+ignored, or kept whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, cut_lineage
+from tidemark.llm.common import SPACE, cut_lineage, row_key, unwrapped, wrapped
 
 # A match starts where the last one ended or where its run of characters starts, and
 # runs are possessive: no other start or shorter run can match, and none is tried.
@@ -122,9 +123,9 @@ def _spans_of(kind: str, hits: Column, gaps: Column) -> Column:
     return F.coalesce(named, F.array().cast(NO_SPANS))
 
 
-def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_base_spans(docs: DataFrame) -> DataFrame:
     """Adds ``_spans``: base spans, by kind as listed, then start."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     may = {
         "email": F.instr(body, "@") > 0,
         "ip": body.rlike(r"[0-9]\.[0-9]"),
@@ -144,14 +145,14 @@ def _overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
 
 
-def with_candidates(spanned: DataFrame, text: str = "text") -> DataFrame:
+def with_candidates(spanned: DataFrame) -> DataFrame:
     """Adds ``_cands``: ``(kind, start, end, value, pattern)`` of what may identify.
 
     Seeds are base spans; other candidates are words with a digit or an @, trimmed of
     punctuation, that overlap no base span and have no kind.  The pattern is the two
     words to the left and whether the token has an @, letters or neither.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hits, gaps = _found(body, CANDIDATE, body.rlike("[0-9@]"))
     rows = spanned.withColumns({"_hits": hits, "_gaps": gaps}).withColumn(
         "_words", _placed(F.col("_hits"), F.col("_gaps"))
@@ -216,14 +217,14 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return known.join(seeds.select("value"), "value", "left_anti").withColumnRenamed("as_kind", "found_kind")
 
 
-def detect(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` with ``base_spans`` and all ``spans`` of each row.
 
     Texts are read once; spans and candidates are written, texts are not.  Rows meet
     what the bootstrap found by a hash of id and text, so equal rows share it.
     """
-    row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(text).cast("string")).cast("binary"))
-    marked = with_candidates(with_base_spans(docs.withColumn("_row", row), text), text)
+    rows = docs.select(*dict.fromkeys(["doc_id", "text", *keep])).withColumn("_row", row_key())
+    marked = with_candidates(with_base_spans(rows))
     base = cut_lineage(marked.select("_row", *keep, "_spans", "_cands"))
     found = base.select("_row", F.explode("_cands").alias("_c")).select("_row", "_c.*")
     more = found.filter("kind is null").join(bootstrap(found), "value").groupBy("_row").agg(
@@ -263,3 +264,13 @@ def redact(text: Column, spans: Column) -> Column:
     folded = F.aggregate(ordered, step, add)
     tail = F.substring(text, folded["at"] + 1, F.length(text))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(folded["out"], tail))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data in texts replaced; ``n_chars`` is counted anew."""
+    found = detect(wrapped(docs), ["doc_id", "text", "_rest"])
+    text = redact(F.col("text"), F.col("spans"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unwrapped(found, docs.columns, **changed)

@@ -23,11 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.buckets import by_cell, spread
-from tidemark.llm.common import cut_lineage
+from tidemark.llm.common import cut_lineage, row_key, unwrapped, wrapped
 from tidemark.llm.components import components, forest
 
 WORDS = 4
@@ -58,15 +58,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, key: Column | None = None) -> DataFrame:
+    """``(doc_id, fp, key)`` with the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found.view(np.int64)), batch.column(1)], ["doc_id", "fp", "key"]
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    key = F.lit(None) if key is None else key
+    rows = docs.select(F.col("doc_id").cast("long"), key.cast("string").alias("key"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, fp long, key string")
 
 
 def masks(rows: int, radius: int = RADIUS) -> list[int]:
@@ -183,9 +187,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return by_cell(cells, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)``: the smallest doc_id reachable by links."""
-    prints = cut_lineage(fingerprints(docs, words))
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """Adds ``component`` (a fingerprint) and ``component_id`` to fingerprints."""
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     # A fingerprint is its own node id: doc_ids need be neither unique nor present.
     found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
@@ -193,9 +196,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
         "component", F.coalesce("component", "fp")
     )
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = labelled.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, fp, component_id)``: the smallest doc_id reachable by links."""
+    prints = cut_lineage(fingerprints(docs, words).drop("key"))
+    return _grouped(prints, radius).select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group: the smallest doc_id, NULL last.
+
+    Texts meet a list of row keys and are never grouped; rows that repeat a kept one
+    are dropped too.
+    """
+    rows = wrapped(docs).withColumn("_key", row_key())
+    prints = cut_lineage(fingerprints(rows, words, F.col("_key")))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")
+    kept = cut_lineage(
+        _grouped(prints, radius).groupBy("component").agg(best).select(F.col("best.key").alias("_key"))
+    )
+    left = rows.join(kept, "_key", "left_semi")
+    again = prints.groupBy(F.col("key").alias("_key")).count().filter("count > 1").join(kept, "_key", "left_semi")
+    if not again.isEmpty():
+        left = left.dropDuplicates(["_key"])
+    return unwrapped(left, docs.columns)
 
 
-def hex_of(fp) -> "F.Column":
+def hex_of(fp: Column) -> Column:
+    """A fingerprint as 16 hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
