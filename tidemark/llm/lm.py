@@ -6,7 +6,7 @@ on how often the context was seen (a bucket per power of two) and are learned by
 expectation-maximisation on held-out counts: each training event is left out of the
 counts that predict it.
 
-The counts are spread over the cluster.  Documents are gathered into chunks of a few
+The counts are spread over the cluster.  Documents are gathered into chunks of some
 million tokens; a chunk asks for the counts of its distinct words and word pairs by
 64-bit hash, one request per hash range; ranges add up the requests of all chunks and
 answer each.  So a frequent word is one entry per chunk, no vocabulary is broadcast,
@@ -36,7 +36,7 @@ from tidemark.llm.common import cut_lineage
 
 FOLDS, HELD_OUT = 5, 1
 END = b"\n"  # no word holds white space
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
 RANGE_KEYS = 1_000_000
 LEAST_RANGES = 64
 CONTEXTS = 32  # buckets of context frequency: 0, 1, 2-3, 4-7, ...
