@@ -244,7 +244,7 @@ def learn_weights(cells: np.ndarray, events: np.ndarray, rounds: int = EM_ROUNDS
     for _ in range(rounds):
         share = weight[context].T * p
         share = share / share.sum(axis=0) * events
-        new = np.stack([np.bincount(context, weights=s, minlength=CONTEXTS) for s in share], axis=1)
+        new = np.stack([np.bincount(context, weights=s, minlength=CONTEXTS) for s in share], axis=1).astype(float)
         new[:, 2] += 1e-3  # a bucket without events leaves all to the last estimate
         weight = new / new.sum(axis=1, keepdims=True)
     return weight
