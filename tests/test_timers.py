@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.streaming import feeds, timers
 
@@ -120,7 +121,7 @@ def test_min_interval_against_plain_timers(spark):
             rows.append((t, path, "modify" if rng.random() < 0.85 else "delete"))
     df = events(spark, *[(t, p, None, k) for t, p, k in rows])
     resets = timers.steps(df).filter("what = 'cancel'").select("path", "at")
-    got = timers.min_interval(timers.debounce(df, 60, slices=4), 400, "push", resets)
+    got = timers.min_interval(timers.debounce(df, 60, slices=4), 400, resets, slices=4)
     assert sorted((r["path"], r["run_at"] - BASE) for r in got.collect()) == plain_runs(rows, 60, 400)
 
 
@@ -143,3 +144,34 @@ def test_stream_echoes(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("echo_kept").collect())) == [("x", 6), ("z", 1)]
+
+
+def test_long_rename_chain(spark):
+    rows = [(0, "p0", None, "modify")] + [(50 * i, f"p{i}", f"p{i - 1}", "rename") for i in range(1, 41)]
+    assert fired(timers.debounce(events(spark, *rows), 200, "history", slices=4)) == [("p40", 2200)]
+
+
+def runs(df):
+    return sorted((r["path"], r["run_at"] - BASE) for r in df.collect())
+
+
+def test_rename_carries_window_and_delayed_run(spark):
+    # a runs at 50; renamed at 300, so b's burst at 600 waits for the window of a.
+    df = events(spark, (0, "a", None, "modify"), (300, "b", "a", "rename"), (600, "b", None, "modify"))
+    assert runs(timers.captures(df, 50, 1000, slices=4)) == [("a", 50), ("b", 1050)]
+    # A delayed run (due 1050) is handed on as a fresh burst of the new path.
+    df = events(spark, (0, "a", None, "modify"), (300, "a", None, "modify"), (900, "b", "a", "rename"))
+    assert runs(timers.captures(df, 50, 1000, slices=4)) == [("a", 50), ("b", 1050)]
+    # A delete forgets the window; far events are a segment of their own.
+    df = events(spark, (0, "a", None, "modify"), (300, "a", None, "delete"), (400, "a", None, "modify"), (90_000, "a", None, "modify"))
+    assert runs(timers.captures(df, 50, 1000, slices=4)) == [("a", 50), ("a", 450), ("a", 90_050)]
+
+
+def test_unchanged_runs_leave_the_window_open(spark):
+    df = events(spark, (0, "a", None, "modify"), (300, "a", None, "modify")).withColumn("changed", F.lit(False))
+    assert runs(timers.captures(df, 50, 1000, slices=4)) == [("a", 50), ("a", 350)]
+
+
+def test_history_has_no_stream(spark):
+    with pytest.raises(ValueError):
+        timers.stream_timers(events(spark, (0, "a", None, "modify")), 50, mode="history")

@@ -108,37 +108,116 @@ def _(t):
     return timers.debounce(t.vault_events, QUIET).select("path", "fire_at")
 
 
-@query(
-    "T3_stream_debounce",
-    f"with {FIRINGS} select path, fire_at as run_at from fired where fire_at <= (select max(at_) - 10000 from steps)",
-)
+def closed_stream(t):
+    """The event stream with one closing event, long after the last, that moves the
+    watermark past every timer; it deletes a path of its own."""
+    events = stream(t, "events")
+    last = t.source("events").agg(F.max("event_id")).first()[0]
+    closing = Tables.as_vault_events(events.filter(F.col("event_id") == last)).select(
+        (F.col("ts") + F.expr("interval 3650 days")).alias("ts"), F.lit("closing").alias("path"), "old_path",
+        F.lit("delete").alias("kind"),
+    )
+    return Tables.as_vault_events(events).unionByName(closing)
+
+
+@query("T3_stream_debounce", f"with {FIRINGS} select path, fire_at as run_at from fired")
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    events = Tables.as_vault_events(stream(t, "events"))
-    last = t.source("events").agg(F.floor(F.unix_micros(F.max("ts").cast("timestamp")) / 1000)).first()[0]
-    return run_to_table(timers.stream_timers(events, QUIET), t).filter(F.col("run_at") <= last - 10000)
+    return run_to_table(timers.stream_timers(closed_stream(t), QUIET), t)
 
 
 def resets(t):
     return timers.steps(t.vault_events).filter("what = 'cancel'").select("path", "at")
 
 
-@query("T4_min_interval")
+# One step of the push rule per firing or reset of a path, in time order.
+PUSH = f"""
+with recursive {FIRINGS},
+acts as (select *, row_number() over (partition by path order by at_, fire) as i from (
+           select path, fire_at as at_, next_at, 1 as fire from fired
+           union all select path, at_, null, 0 from steps where what = 'cancel')),
+fold as (
+  select distinct path, 0::bigint as i, null::bigint as last, null::bigint as due, null::bigint as ran, null::bigint as also from acts
+  union all
+  select path, i, case when fire = 0 then null when free then at_ else last end,
+         case when fire = 0 or free or next_at < last + {INTERVAL} then null else last + {INTERVAL} end,
+         ran, case when fire = 1 and free then at_ end
+  from (select *, last is null or at_ - last >= {INTERVAL} as free
+        from (select a.path, a.i, a.at_, a.fire, a.next_at,
+                     case when f.due <= a.at_ then f.due end as ran,
+                     case when f.due <= a.at_ then f.due else f.last end as last
+              from fold f join acts a on a.path = f.path and a.i = f.i + 1))),
+runs as (select path, ran as run_at from fold union all select path, also from fold
+         union all select path, due from (select *, lead(i) over (partition by path order by i) as more from fold) where more is null)
+select path, run_at from runs where run_at is not null
+"""
+
+# One step of the history rule per event of a path: what became due, then the event.
+HISTORY = f"""
+with recursive ev as (
+  select 'notes/u' || user_id || '.md' as path, epoch_us(ts) // 1000 as at_, event_type = 'error' as gone,
+         event_id % 3 <> 0 as changed, row_number() over (partition by user_id
+           order by epoch_us(ts) // 1000, event_type = 'error', event_id % 3 <> 0) as i from events
+  union all
+  select 'notes/u' || user_id || '.md', 9000000000000000, true, false, count(*) + 1 from events group by user_id),
+fold as (
+  select distinct path, 0::bigint as i, null::bigint as armed, null::bigint as due, null::bigint as last, false as dirty,
+         null::bigint as r1, null::bigint as r2, null::bigint as r3 from ev
+  union all
+  select path, i, case when gone then null else at_ + {QUIET} end, case when gone then null else due end,
+         case when gone then null else last end, not gone and (dirty or changed), r1, r2, r3
+  from (
+    select path, i, at_, gone, changed, r1, r2, case when due <= at_ then due end as r3,
+           case when due <= at_ and dirty then due else last end as last,
+           dirty and not coalesce(due <= at_, false) as dirty, case when due <= at_ then null else due end as due
+    from (
+      select path, i, at_, gone, changed, r1, case when go and free then armed end as r2,
+             case when go and free and dirty then armed else last end as last,
+             dirty and not (go and free) as dirty,
+             case when go and not free then last + {INTERVAL} else due end as due
+      from (
+        select *, coalesce(armed < at_, false) as go, last is null or armed - last >= {INTERVAL} as free
+        from (
+          select path, i, at_, gone, changed, armed, case when first then due end as r1,
+                 case when first and dirty then due else last end as last, dirty and not first as dirty,
+                 case when first then null else due end as due
+          from (select a.path, a.i, a.at_, a.gone, a.changed, f.armed, f.due, f.last, f.dirty,
+                       coalesce(f.due <= a.at_ and (f.armed is null or f.armed >= a.at_ or f.due <= f.armed), false) as first
+                from fold f join ev a on a.path = f.path and a.i = f.i + 1)))))),
+runs as (select path, unnest([r1, r2, r3]) as run_at from fold)
+select path, run_at from runs where run_at is not null
+"""
+
+
+def with_changes(t):
+    """The event feed with a flag whether an event changed the text."""
+    return t.source("events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("notes/u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("modify").alias("kind"),
+        (F.col("event_id") % 3 != 0).alias("changed"),
+    )
+
+
+@query("T3_debounce_history", f"with {FIRINGS} select path, fire_at from fired")
+def _(t):
+    return timers.debounce(t.vault_events, QUIET, "history").select("path", "fire_at")
+
+
+@query("T4_min_interval", PUSH)
 def _(t):
-    return timers.min_interval(timers.debounce(t.vault_events, QUIET), INTERVAL, "push", resets(t))
+    return timers.min_interval(timers.debounce(t.vault_events, QUIET), INTERVAL, resets(t))
 
 
-@query("T4_min_interval_history")
+@query("T4_min_interval_history", HISTORY)
 def _(t):
-    fired = timers.debounce(t.vault_events, QUIET, "history").withColumn("changed", F.col("fire_at") % 3 != 0)
-    return timers.min_interval(fired, INTERVAL, "history", resets(t))
+    return timers.captures(with_changes(t), QUIET, INTERVAL)
 
 
-@query("T4_stream_min_interval")
+@query("T4_stream_min_interval", PUSH)
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    events = Tables.as_vault_events(stream(t, "events"))
-    return run_to_table(timers.stream_timers(events, QUIET, INTERVAL), t)
+    return run_to_table(timers.stream_timers(closed_stream(t), QUIET, INTERVAL), t)
 
 
 def batches(t):

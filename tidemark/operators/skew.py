@@ -61,11 +61,15 @@ def salted_join(
 
 
 SMALL_ROWS = 200_000
+SMALL_BYTES = 32 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Checked size: stops counting just above ``max_rows``."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Checked size in rows and in bytes of text; counted map-side, no row is moved."""
+    texts = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind in ("string", "binary")]
+    wide = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(8 * len(df.columns)))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -130,6 +134,25 @@ def previous_row(
     return out.drop("_prev", "_carry", "_first", "_slice")
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, slices: int = 64
+) -> DataFrame:
+    """Adds ``out``: the largest ``value`` up to and with this row of its key.
+
+    Sliced like :func:`previous_row`: a task sees one range of a key, and the
+    maxima of a key's ranges.
+    """
+    keys = list(keys)
+    cut = df.withColumn("_slice", slice_no(order[0], _cuts(df, order[0], slices))).withColumn("_value", value)
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, "_slice").agg(F.max("_value").alias("_top"))
+    carried = tops.select(*keys, "_slice", F.max("_top").over(outer).alias("_carry"))
+    local = cut.withColumn("_local", F.max("_value").over(inner))
+    joined = local.join(carried, [*keys, "_slice"], "left")
+    return joined.withColumn(out, F.greatest("_local", "_carry")).drop("_slice", "_value", "_local", "_carry")
+
+
 def newest_cut(df: DataFrame, order: Sequence[str], keep: int, fanout: int = 4096) -> Column | None:
     """Predicate that keeps exactly the ``keep`` largest rows by integer columns.
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.skew import previous_row
+from tidemark.operators.components import components
+from tidemark.operators.skew import previous_row, running_max
 from tidemark.session import cut_lineage
 
 ARM, CANCEL = "arm", "cancel"
@@ -47,37 +48,19 @@ def _following(rows: DataFrame, slices: int) -> DataFrame:
     ).drop("_neg", "_tie")
 
 
-def debounce(
-    events: DataFrame, quiet_ms: int, mode: str = "push", slices: int = 64, max_rounds: int = 32
-) -> DataFrame:
+def debounce(events: DataFrame, quiet_ms: int, mode: str = "push", slices: int = 64) -> DataFrame:
     """``(path, fire_at, next_at)``: one firing per burst, at last event + quiet.
 
     An armed path fires unless the next step on it comes within ``quiet_ms``;
     that step re-arms or cancels, so one look ahead decides each event.  In
-    ``history`` mode a rename hands a pending burst on to the new path; chains
-    of renames are followed one link per round until nothing is handed on.
+    ``history`` mode a rename hands a pending burst on to the new path, however
+    long the chain of renames (:func:`captures`); ``next_at`` is NULL there.
     """
-    rows = steps(events)
-    if mode == "history" and not rows.filter(F.col("target").isNotNull()).isEmpty():
-        handed = None
-        for _ in range(max_rounds):
-            known = rows if handed is None else rows.unionByName(handed)
-            live = _following(known, slices).filter(
-                (F.col("what") == ARM) & (F.col("next_what") == CANCEL) & (F.col("next_at") - F.col("at") <= quiet_ms)
-            )
-            pending = live.select("path", F.col("next_at").alias("at")).distinct()
-            renames = rows.filter(F.col("target").isNotNull())
-            passed = cut_lineage(
-                renames.join(pending, ["path", "at"], "left_semi").select(
-                    F.col("target").alias("path"), "at", F.lit(ARM).alias("what"),
-                    F.lit(None).cast("string").alias("target"),
-                ).distinct()
-            )
-            if handed is not None and passed.count() == handed.count():
-                break
-            handed = passed
-        rows = rows.unionByName(handed)
-    ahead = _following(rows, slices)
+    if mode == "history":
+        return captures(events, quiet_ms, 0, slices).select(
+            "path", F.col("run_at").alias("fire_at"), F.lit(None).cast("bigint").alias("next_at")
+        )
+    ahead = _following(steps(events), slices)
     fires = (F.col("what") == ARM) & (
         F.col("next_at").isNull() | (F.col("next_at") - F.col("at") > quiet_ms)
     )
@@ -87,49 +70,164 @@ def debounce(
 RUNS = T.StructType().add("path", "string").add("run_at", "long")
 
 
+def _segments(rows: DataFrame, gap_ms: int, slices: int) -> DataFrame:
+    """Adds ``_from``: the start of the row's run of rows of one ``_key`` without a gap.
+
+    Timers of different segments know nothing of each other, so a busy key is
+    spread over as many tasks as it has segments.
+    """
+    rows = cut_lineage(rows)
+    before = previous_row(rows, ["_key"], ["at", "_rank", "path"], {"at": "_before"}, slices)
+    opens = F.when(F.col("_before").isNull() | (F.col("at") - F.col("_before") > gap_ms), F.col("at"))
+    return running_max(before, ["_key"], ["at", "_rank", "path"], opens, "_from", slices).drop("_before")
+
+
+def _folded(rows: DataFrame, fold) -> DataFrame:
+    """Streams whole segments through ``fold``, an object with ``step`` and ``finish``."""
+    ordered = rows.repartition("_key", "_from").sortWithinPartitions("_key", "_from", "at", "_rank", "path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, state = None, None
+        for frame in frames:
+            out: list[tuple[str, int]] = []
+            for r in frame.itertuples(index=False):
+                if (r.key, r.start) != segment:
+                    if state is not None:
+                        out += state.finish()
+                    segment, state = (r.key, r.start), fold()
+                out += state.step(r)
+            yield pd.DataFrame(out, columns=["path", "run_at"])
+        if state is not None:
+            yield pd.DataFrame(state.finish(), columns=["path", "run_at"])
+
+    return ordered.withColumnsRenamed({"_key": "key", "_from": "start", "_rank": "rank"}).mapInPandas(run, RUNS)
+
+
 def min_interval(
-    firings: DataFrame, interval_ms: int, mode: str = "push", resets: DataFrame | None = None
+    firings: DataFrame, interval_ms: int, resets: DataFrame | None = None, slices: int = 64
 ) -> DataFrame:
-    """``(path, run_at)``: firings thinned to one run per ``interval_ms``.
+    """``(path, run_at)``: push firings thinned to one run per ``interval_ms``.
 
-    push: a firing too early is delayed to last run + interval, and the next
-    event on the path (``next_at``) cancels the delayed run.  history: the
-    delayed run stays and a later firing takes its place; only a run that
-    changed content (optional column ``changed``) restarts the window.
-    ``resets`` (``path, at``: deletes, renames away) forget the last run.
+    A firing too early is delayed to last run + interval, and the next event on
+    the path (``next_at``) cancels the delayed run.  ``resets`` (``path, at``:
+    deletes, renames away) forget the last run.  For history see :func:`captures`.
 
-    The fold is sequential per path, so rows are sorted by path and time and
-    streamed through each task with the state of one path in hand; firings are
-    already debounced, at most one per quiet time and path.
+    Two intervals without a row leave no timer and no window open, so the fold is
+    sequential only between such gaps.
     """
-    changed = F.col("changed") if "changed" in firings.columns else F.lit(True)
-    rows = firings.select(
-        "path", F.col("fire_at").alias("at"), "next_at", changed.alias("changed"), F.lit(True).alias("fire")
-    )
+    rows = firings.select("path", F.col("fire_at").alias("at"), "next_at", F.lit(1).alias("_rank"))
     if resets is not None:
-        rows = rows.unionAll(
-            resets.select("path", "at", F.lit(None).cast("bigint"), F.lit(False), F.lit(False))
-        )
-    ordered = rows.repartition("path").sortWithinPartitions("path", "at", "fire")
+        rows = rows.unionAll(resets.select("path", "at", F.lit(None).cast("bigint"), F.lit(0)))
+    rows = _segments(rows.withColumn("_key", F.col("path")), 2 * interval_ms, slices)
+
+    class Push:
+        def __init__(self) -> None:
+            self.gate, self.path = Gate(interval_ms, "push"), None
+
+        def step(self, r) -> list[tuple[str, int]]:
+            self.path = r.path
+            if not r.rank:
+                return [(r.path, t) for t in self.gate.reset(int(r.at))]
+            nxt = None if pd.isna(r.next_at) else int(r.next_at)
+            return [(r.path, t) for t in self.gate.fire(int(r.at), nxt)]
+
+        def finish(self) -> list[tuple[str, int]]:
+            return [(self.path, t) for t in self.gate.finish()]
+
+    return _folded(rows, Push)
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = Gate(interval_ms, mode)
-        path = None
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.path != path:
-                    out += [(path, t) for t in gate.finish()]
-                    path, gate = r.path, Gate(interval_ms, mode)
-                if r.fire:
-                    nxt = None if pd.isna(r.next_at) else int(r.next_at)
-                    out += [(path, t) for t in gate.fire(int(r.at), nxt, bool(r.changed))]
-                else:
-                    out += [(path, t) for t in gate.reset(int(r.at))]
-            yield pd.DataFrame(out, columns=["path", "run_at"])
-        yield pd.DataFrame([(path, t) for t in gate.finish()], columns=["path", "run_at"])
 
-    return ordered.mapInPandas(fold, RUNS)
+def captures(events: DataFrame, quiet_ms: int, interval_ms: int, slices: int = 64) -> DataFrame:
+    """``(path, run_at)``: history runs, debounced and thinned, with renames.
+
+    A burst runs ``quiet_ms`` after its last event; a run sooner than
+    ``interval_ms`` after the last one is delayed, and a later burst takes its
+    place.  Only a run that finds a change (optional event column ``changed``,
+    default true) restarts the window.  A rename moves the window and the unseen
+    change to the new path and, when a burst or a delayed run was pending, arms
+    the new path anew; a delete forgets everything.
+
+    Paths that renames join share a key and one fold; its state is the timers of
+    the paths of one segment, and the key itself comes from a distributed
+    component search, so chains may have any length.
+    """
+    kind = F.col("kind")
+    old = F.col("old_path") if "old_path" in events.columns else F.lit(None).cast("string")
+    changed = F.coalesce(F.col("changed"), F.lit(True)) if "changed" in events.columns else F.lit(True)
+    rank = F.when(kind.isin("modify", "create"), 0).when(kind == "rename", 1).when(kind == "delete", 2)
+    rows = events.select(
+        "path", F.when(kind == "rename", old).alias("old"), F.floor(F.unix_micros("ts") / 1000).alias("at"),
+        rank.alias("_rank"), changed.alias("changed"),
+    ).filter(F.col("_rank").isNotNull())
+    renames = cut_lineage(rows.filter("old is not null and old <> path").select(F.col("path").alias("a"), F.col("old").alias("b")).distinct())
+    if renames.isEmpty():
+        rows = rows.withColumn("_key", F.col("path"))
+    else:
+        joined = components(renames).withColumnsRenamed({"id": "path", "component": "_joined"})
+        rows = rows.join(joined, "path", "left").withColumn("_key", F.coalesce("_joined", "path")).drop("_joined")
+    rows = _segments(rows, quiet_ms + 2 * interval_ms, slices)
+
+    class History:
+        def __init__(self) -> None:
+            self.paths: dict[str, Capture] = {}
+
+        def _at(self, path: str, now: int) -> tuple[Capture, list[tuple[str, int]]]:
+            state = self.paths.setdefault(path, Capture(quiet_ms, interval_ms))
+            return state, [(path, t) for t in state.until(now)]
+
+        def step(self, r) -> list[tuple[str, int]]:
+            now = int(r.at)
+            state, out = self._at(r.path, now)
+            if r.rank == 0:
+                state.armed, state.dirty = now + quiet_ms, state.dirty or bool(r.changed)
+            elif r.rank == 2:
+                self.paths.pop(r.path)
+            elif r.old is not None and r.old != r.path:
+                gone, more = self._at(r.old, now)
+                out += more
+                self.paths.pop(r.old)
+                state.last = gone.last if gone.last is not None else state.last
+                state.dirty = gone.dirty
+                if gone.armed is not None or gone.due is not None:
+                    state.armed = now + quiet_ms
+            return out
+
+        def finish(self) -> list[tuple[str, int]]:
+            return [(p, t) for p, s in self.paths.items() for t in s.until(None)]
+
+    return _folded(rows, History)
+
+
+class Capture:
+    """Debounce and minimum interval of one path's history."""
+
+    def __init__(self, quiet_ms: int, interval_ms: int):
+        self.quiet, self.interval = quiet_ms, interval_ms
+        self.armed = self.due = self.last = None
+        self.dirty = False
+
+    def _ran(self, at: int) -> int:
+        if self.dirty:
+            self.last, self.dirty = at, False
+        return at
+
+    def until(self, now: int | None) -> list[int]:
+        """Runs what is due; an event at the same instant beats the quiet time only."""
+        out = []
+        while True:
+            armed = self.armed if self.armed is not None and (now is None or self.armed < now) else None
+            due = self.due if self.due is not None and (now is None or self.due <= now) else None
+            if due is not None and (armed is None or due <= armed):
+                self.due = None
+                out.append(self._ran(due))
+            elif armed is not None:
+                self.armed = None
+                if self.last is None or armed - self.last >= self.interval:
+                    out.append(self._ran(armed))
+                else:
+                    self.due = self.last + self.interval
+            else:
+                return out
 
 
 class Gate:
@@ -227,7 +325,9 @@ class PathTimers(StatefulProcessor):
             yield pd.DataFrame({"path": [key[0]] * len(out), "run_at": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # Nothing before the watermark comes any more, and a delayed run that this
+        # firing starts may be due already: its own timer could miss the last batch.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         armed, last, due = self._load()
         gate = Gate(self.interval, self.mode, last, due)
         armed, out = self._advance(armed, gate, now + 1)
@@ -243,7 +343,13 @@ def stream_timers(
     events: DataFrame, quiet_ms: int, interval_ms: int = 0, mode: str = "push", delay: str = "10 seconds"
 ) -> DataFrame:
     """Streaming :func:`debounce` (``interval_ms=0``) or debounce plus
-    :func:`min_interval`, with a watermark ``delay`` on the event time."""
+    :func:`min_interval`, with a watermark ``delay`` on the event time.
+
+    History follows renames from path to path, which a state per path can't; use
+    :func:`captures` on the batches instead.
+    """
+    if mode != "push":
+        raise ValueError(f"no streaming form of mode {mode!r}")
     rows = steps(events.withWatermark("ts", delay).withColumn("ts", F.col("ts")))
     return rows.groupBy("path").transformWithStateInPandas(
         statefulProcessor=PathTimers(quiet_ms, interval_ms, mode),
