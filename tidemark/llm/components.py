@@ -1,49 +1,12 @@
-"""Connected components by alternating large and small stars, in Spark alone.
-
-Every node learns the smallest id of its component.  A round is two groupings with
-map-side combining and two joins; a node with very many neighbours is only ever
-reduced by ``min``, so it lands in no single task, and its side of a join can be
-split by the skew rule.  The number of rounds grows with the logarithm of the size.
-"""
+"""Connected components: the library's distributed search, and the parts of one task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tidemark.llm.common import cut_lineage
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on ``(a, b)`` with ``a > b``: points neighbours at the minimum."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
-        moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        return moved.distinct()
-    least = edges.groupBy("a").agg(F.min("b").alias("_m"))
-    moved = edges.join(least, "a").filter("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
 
+from tidemark.operators.components import components
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(id, component)`` of every node of ``edges`` (a, b); ids are integers.
-
-    Self-loops, repeated edges and either direction are fine; no edges give no rows.
-    """
-    now = cut_lineage(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
-            break
-        seen = state
-        now = cut_lineage(_star(_star(now, large=True), large=False))
-    nodes = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+__all__ = ["components", "forest"]
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
