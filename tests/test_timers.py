@@ -175,3 +175,41 @@ def test_unchanged_runs_leave_the_window_open(spark):
 def test_history_has_no_stream(spark):
     with pytest.raises(ValueError):
         timers.stream_timers(events(spark, (0, "a", None, "modify")), 50, mode="history")
+
+
+def test_retry_rows_leave_the_set(spark, tmp_path):
+    from tidemark.schemas import CHANGES, FILE_DOCS
+
+    def doc(id_, chunk, n, version=2):
+        return (id_, version, [chunk], 1, 1, 1, False, {"x": n})
+
+    def changes(*rows):
+        return spark.createDataFrame([(d[0], seq, False, d) for seq, d in rows], CHANGES)
+
+    none = spark.createDataFrame([], "_id string")
+    chunks = lambda *names: spark.createDataFrame([(n, b"1") for n in names], "_id string, content binary")
+    pending = lambda: sorted((r["id"], r["attempts"]) for r in state.pending_apply().collect())
+    state = feeds.PullState(spark, str(tmp_path))
+    state.compact()
+    state.start(spark.createDataFrame([], FILE_DOCS))
+    state.apply(changes((1, doc("file:a", "c1", 1)), (2, doc("file:b", "c2", 1))), 0, none, chunks())
+    assert pending() == [("file:a", 0), ("file:b", 0)]
+    # a's next version is complete; b is tried again and stays.
+    state.apply(changes((3, doc("file:a", "c3", 2))), 1, none, chunks("c3"))
+    assert pending() == [("file:b", 1)]
+    # b's chunk has come by itself.
+    state.apply(changes((4, doc("file:z", "c3", 1))), 2, none, chunks("c2", "c3"))
+    assert pending() == []
+    with pytest.raises(feeds.SchemaMismatch):
+        state.apply(changes((5, doc("file:y", "c3", 1, version=9))), 3, none, chunks("c3"))
+    assert state.head()["batch_id"] == 2
+    for _ in range(3):
+        state.compact()
+    assert pending() == [] and state.docs().count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["commits", "gen=2", "gen=3"]
+
+
+def test_text_sequences(spark):
+    rows = spark.createDataFrame([(0, "5-x"), (1, "12-g"), (2, "9-y")], "batch_no long, last_seq string")
+    got = {r["batch_no"]: (r["last_seq"], r["action"]) for r in feeds.detect_recreate(rows, "file", slices=2).collect()}
+    assert got == {0: (5, "ok"), 1: (12, "ok"), 2: (9, "fail")}

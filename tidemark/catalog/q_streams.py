@@ -52,12 +52,43 @@ def run_to_table(df, t):
       union all select _id, vclock, size, deleted from acc""",
 )
 def _(t):
+    return pulled(t).docs().select("_id", clocks.clock_text("vclock").alias("vclock"), "size", "deleted")
+
+
+def pulled(t):
+    """The state of a continuous pull that has drained the feed."""
     base = folder(t)
     state = feeds.PullState(t.spark, base + "/state")
     state.start(t.local_docs.select("_id", "vclock", "chunks", "size", "mtime", "deleted"))
-    held = t.unpushed.select(F.col("id").alias("_id"))
-    feeds.stream_pull(StreamTables(t.spark, t.folder).feed, state, base + "/check", held, t.local_chunks).awaitTermination()
-    return state.docs().select("_id", clocks.clock_text("vclock").alias("vclock"), "size", "deleted")
+    feeds.stream_pull(
+        StreamTables(t.spark, t.folder).feed, state, base + "/check",
+        lambda: t.unpushed.select(F.col("id").alias("_id")), lambda: t.local_chunks,
+    ).awaitTermination()
+    return state
+
+
+@query(
+    "T1_pending_apply",
+    f"""with {PULL}, acc as (select * from pull_out where accepted and _id like 'file:%'),
+      parts as (select _id, unnest(string_split(chunks, ',')) as c from acc where not deleted and chunks <> '')
+      select _id as id, 'pending-deletion' as reason, cast(0 as integer) as attempts from acc where deleted
+      union all select distinct _id, 'missing-chunks', cast(0 as integer) from parts where c not in (select _id from fx_local_chunks)""",
+)
+def _(t):
+    return pulled(t).pending_apply()
+
+
+@query(
+    "T1_pending_conflict",
+    f"with {PULL} select _id as id, pending_kind as kind from pull_out where pending_kind is not null",
+)
+def _(t):
+    return pulled(t).pending_conflict()
+
+
+@query("T1_cursor", f"with {PULL} select max(seq) as last_seq from pull_out")
+def _(t):
+    return t.spark.range(1).select(F.lit(pulled(t).head()["last_seq"]).cast("bigint").alias("last_seq"))
 
 
 # Pull writes of the event feed: every third event was written by a pull.

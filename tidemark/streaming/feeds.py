@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions import ids
 from tidemark.operators.skew import previous_row
-from tidemark.plans.pull import only_ids, pending_apply_rows, pull_plan
-from tidemark.schemas import CLOCK, ECHO_TTL_MS, IDS
+from tidemark.plans.pull import (
+    only_ids, pending_apply_rows, pending_apply_step, pending_conflicts_review, pull_plan,
+)
+from tidemark.schemas import CLOCK, CONFIG_SCHEMA_VERSION, ECHO_TTL_MS, FILE_SCHEMA_VERSION, IDS
 from tidemark.session import cut_lineage
 
 DOCS = T.StructType(
@@ -26,6 +29,8 @@ DOCS = T.StructType(
         T.StructField("deleted", T.BooleanType()),
     ]
 )
+PENDING = T.StructType().add("id", "string").add("reason", "string").add("attempts", "integer")
+CONFLICT = T.StructType().add("id", "string").add("kind", "string")
 COMMITS = T.StructType(
     [
         T.StructField("batch_id", T.LongType()),
@@ -101,7 +106,7 @@ class PullState:
             if "PATH_NOT_FOUND" in str(e):
                 return empty
             raise
-        return rows.join(F.broadcast(done.distinct()), "batch", "left_semi")
+        return rows.join(done.distinct(), "batch", "left_semi")
 
     def docs(self, wanted: DataFrame | None = None) -> DataFrame:
         """Current docs: latest committed version per id (of ``wanted`` ids)."""
@@ -111,19 +116,71 @@ class PullState:
         body = F.struct(*[f.name for f in DOCS if f.name != "_id"])
         return rows.groupBy("_id").agg(F.max_by(body, "batch").alias("d")).select("_id", "d.*")
 
+    def _latest(self, name: str, schema: T.StructType) -> DataFrame:
+        """Newest row per id; one whose second column is NULL took the id out."""
+        first = schema.fields[1].name
+        body = F.struct(*[f.name for f in schema.fields[1:]])
+        rows = self._parts(name, T.StructType(list(schema.fields)))
+        return rows.groupBy("id").agg(F.max_by(body, "batch").alias("r")).select("id", "r.*").filter(
+            F.col(first).isNotNull()
+        )
+
     def pending_apply(self) -> DataFrame:
-        schema = T.StructType().add("id", "string").add("reason", "string").add("attempts", "integer")
-        return self._parts("pending_apply", schema).drop("batch").dropDuplicates(["id"])
+        return self._latest("pending_apply", PENDING)
 
     def pending_conflict(self) -> DataFrame:
-        schema = T.StructType().add("id", "string").add("kind", "string")
-        rows = self._parts("pending_conflict", schema)
-        return rows.groupBy("id").agg(F.max_by("kind", "batch").alias("kind"))
+        return self._latest("pending_conflict", CONFLICT)
+
+    def _retried(self, plan: DataFrame, accepted: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Rows of the apply set after this batch: its own, one more try of the others,
+        and removals of what was applied, is moot or was replaced."""
+        before = self.pending_apply()
+        own = pending_apply_rows(plan, chunks)
+        touched = plan.select(F.col("_id").alias("id"))
+        others = before.join(touched, "id", "left_anti")
+        tried = pending_apply_step(others, self.docs(others.select(F.col("id").alias("_id"))), chunks).select(
+            "id", F.when(F.col("outcome") == "retry", F.col("reason")).alias("reason"), "attempts"
+        )
+        replaced = before.join(accepted.select(F.col("_id").alias("id")), "id", "left_semi").join(
+            own.select("id"), "id", "left_anti"
+        )
+        # A changed id whose new version was not taken keeps its old row as it is.
+        return own.unionByName(tried).unionByName(
+            replaced.select("id", F.lit(None).cast("string").alias("reason"), "attempts")
+        )
+
+    def _reviewed(self, plan: DataFrame, remote: DataFrame | None) -> DataFrame:
+        """Rows of the conflict set after this batch; a changed id is judged anew."""
+        found = plan.filter(F.col("pending_kind").isNotNull()).select(
+            F.col("_id").alias("id"), F.col("pending_kind").alias("kind")
+        )
+        gone = F.lit(None).cast("string").alias("kind")
+        before = self.pending_conflict()
+        touched = plan.select(F.col("_id").alias("id"))
+        settled = before.join(touched, "id", "left_semi").join(found.select("id"), "id", "left_anti")
+        rows = found.unionByName(settled.select("id", gone))
+        if remote is None:
+            return rows
+        others = before.join(touched, "id", "left_anti")
+        local = self.docs(others.select(F.col("id").alias("_id")))
+        dropped = pending_conflicts_review(others, local, remote).filter("decision = 'drop'")
+        return rows.unionByName(dropped.select("id", gone))
 
     def apply(
-        self, changes: DataFrame, batch_id: int, unpushed_ids: DataFrame, chunks: DataFrame
+        self,
+        changes: DataFrame,
+        batch_id: int,
+        unpushed_ids: DataFrame,
+        chunks: DataFrame,
+        remote: DataFrame | None = None,
     ) -> bool:
-        """Plan and commit one batch of changes; False when it was done before."""
+        """Plan and commit one batch of changes; False when it was done before.
+
+        A file or settings doc of another schema version stops the batch before
+        anything is written.  Both retry sets are worked through: what this batch
+        makes complete or moot leaves them.
+        """
+        check_schema(changes)
         top = self.head()
         if top is not None and batch_id <= top["batch_id"]:
             return False
@@ -132,20 +189,25 @@ class PullState:
         plan = cut_lineage(pull_plan(changes, local, unpushed_ids))
         accepted = plan.filter("accepted").select([F.col(f.name).cast(f.dataType) for f in DOCS])
         accepted.write.mode("overwrite").parquet(self._path(generation, "docs", batch_id))
-        pending_apply_rows(plan, chunks).write.mode("overwrite").parquet(
+        self._retried(plan, accepted, chunks).write.mode("overwrite").parquet(
             self._path(generation, "pending_apply", batch_id)
         )
-        plan.filter(F.col("pending_kind").isNotNull()).select(
-            F.col("_id").alias("id"), F.col("pending_kind").alias("kind")
-        ).write.mode("overwrite").parquet(self._path(generation, "pending_conflict", batch_id))
+        self._reviewed(plan, remote).write.mode("overwrite").parquet(
+            self._path(generation, "pending_conflict", batch_id)
+        )
         since = top["last_seq"] if top is not None else 0
         last = plan.agg(F.coalesce(F.max("seq"), F.lit(since))).first()[0]
         self._commit(batch_id, last, generation)
         return True
 
     def compact(self) -> None:
-        """Fold all committed batches into the base of a new generation."""
+        """Fold all committed batches into the base of a new generation.
+
+        The generation before stays for readers that hold it; older ones go.
+        """
         top = self.head()
+        if top is None:
+            return
         nxt = top["generation"] + 1
         self.docs().write.mode("overwrite").parquet(self._path(nxt, "docs", top["batch_id"]))
         self.pending_apply().write.mode("overwrite").parquet(
@@ -155,19 +217,48 @@ class PullState:
             self._path(nxt, "pending_conflict", top["batch_id"])
         )
         self._commit(top["batch_id"], top["last_seq"], nxt)
+        self._remove(f"{self.folder}/gen={nxt - 2}")
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class SchemaMismatch(RuntimeError):
+    """A change carries a document of a schema version this code does not know."""
+
+
+def check_schema(changes: DataFrame) -> None:
+    """Raises :class:`SchemaMismatch` on a wrong version among file and settings docs."""
+    doc = changes.schema["doc"].dataType if "doc" in changes.columns else None
+    if doc is None or "schema_version" not in doc.names:
+        return
+    version = F.when(ids.is_config("id"), CONFIG_SCHEMA_VERSION).when(ids.is_file("id"), FILE_SCHEMA_VERSION)
+    wrong = changes.filter(
+        F.col("doc").isNotNull() & ~F.col("deleted") & version.isNotNull()
+        & ~F.col("doc.schema_version").eqNullSafe(version)
+    ).select("id").first()
+    if wrong is not None:
+        raise SchemaMismatch(f"unknown schema version of {wrong['id']}")
+
+
+def _now(table):
+    """A table, or what a callable gives when it is asked."""
+    return table() if callable(table) else table
 
 
 def stream_pull(
     changes: DataFrame,
     state: PullState,
     checkpoint: str,
-    unpushed_ids: DataFrame,
-    chunks: DataFrame,
+    unpushed_ids: DataFrame | Callable[[], DataFrame],
+    chunks: DataFrame | Callable[[], DataFrame],
     trigger: dict | None = None,
+    remote: DataFrame | Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Continuous pull of a change stream into ``state``.
 
-    A sequence that runs backwards means the remote was recreated: the file
+    Side tables are read per batch; give callables where their files change.  A sequence that runs backwards means the remote was recreated: the file
     feed fails (see :func:`check_sequence`).
     """
 
@@ -178,7 +269,7 @@ def stream_pull(
             newest = batch.agg(F.max("seq")).first()[0]
             if newest is not None:
                 check_sequence(newest, top["last_seq"], "file")
-        state.apply(batch, batch_id, unpushed_ids, chunks)
+        state.apply(batch, batch_id, _now(unpushed_ids), _now(chunks), _now(remote))
 
     return (
         changes.writeStream.foreachBatch(each)
@@ -197,13 +288,18 @@ def check_sequence(last_seq: int, cursor: int, feed: str, resets: int = 0) -> st
     raise RuntimeError(f"{feed} feed ran backwards: {last_seq} after {cursor}")
 
 
+def _number(df: DataFrame, column: str):
+    """A sequence column as a number; text sequences by their numeric prefix."""
+    return ids.seq_number(column) if df.schema[column].dataType.typeName() == "string" else F.col(column)
+
+
 def detect_recreate(batches: DataFrame, feed: str, slices: int = 64) -> DataFrame:
     """``(batch_no, last_seq, action)`` over a table of feed batches.
 
     ok; reset: the first regression of a settings feed, pulled again from 0 with
     ``recreate``; fail: any regression of a file feed, or a second one.
     """
-    one = batches.select("batch_no", "last_seq", F.lit(0).alias("_g"))
+    one = batches.select("batch_no", _number(batches, "last_seq").alias("last_seq"), F.lit(0).alias("_g"))
     seen = previous_row(one, ["_g"], ["batch_no"], {"last_seq": "_cursor"}, slices)
     back = seen.withColumn("_back", F.coalesce(F.col("last_seq") < F.col("_cursor"), F.lit(False)))
     first = back.filter("_back").agg(F.min("batch_no").alias("_first"))
@@ -244,10 +340,12 @@ class EchoFilter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seq = self.written.get()[0] if self.written.exists() else None
         seen = False
-        for frame in rows:
+        frames = list(rows)  # one id's rows of one batch; a write may follow its echo
+        for frame in frames:
             writes = frame[frame["is_write"]]
             if len(writes):
                 seq = int(writes["seq"].max()) if seq is None else max(seq, int(writes["seq"].max()))
+        for frame in frames:
             changes = frame[~frame["is_write"]]
             seen = seen or len(changes) > 0
             if seq is not None:
@@ -286,6 +384,8 @@ def feed_lag(ticks: DataFrame, grace_ms: int = 60_000, slices: int = 64) -> Data
     arrived within the grace time; stalled: lagging while the remote did not
     move since the last tick that was not busy; else healthy.
     """
+    for column in ("remote_seq", "consumed_seq"):
+        ticks = ticks.withColumn(column, _number(ticks, column))
     lag = F.col("remote_seq") - F.col("consumed_seq")
     busy = F.coalesce(F.col("ts") - F.col("last_bytes_at") < grace_ms, F.lit(False))
     rows = ticks.withColumn("lag", lag).withColumn("_busy", busy)
