@@ -61,7 +61,29 @@ def op4(docs: DataFrame) -> DataFrame:
     )
 
 
-@register("op5_sharding", "documents")
+@register(
+    "op5_sharding", "documents",
+    # The checksum folds over the bytes by a table that its polynomial gives.
+    """
+with recursive steps(i, k, c) as (
+  select i, 0, i from range(256) t(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+crc as (select list(c order by i) as t from steps where k = 8),
+d as (select doc_id, hex(encode(coalesce(text, ''))) as h, md5('17:' || coalesce(doc_id::varchar, '')) as o,
+             coalesce('=' || source, '~') as k from documents),
+b as (select doc_id, o, k, length(h) // 2 + 1 as size,
+             xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h) // 2 + 1),
+                   lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint)),
+                 lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)]))) as text_crc32 from d, crc),
+r as (select *, row_number() over (partition by k order by o, doc_id, size, text_crc32) - 1 as r,
+             count(*) over (partition by k) as n, count(*) over () as total from b),
+g as (select *, row_number() over (order by (2 * r + 1)::double / (2 * n), k) - 1 as pos from r)
+select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'rows' as law,
+       cast((pos * 8) // total as integer) as shard,
+       cast(pos - ceil(((pos * 8) // total) * total / 8.0) as bigint) as slot, cast(null as integer) as grown_shard
+from g""",
+)
 def op5(docs: DataFrame) -> DataFrame:
     return sharding.interleave(docs).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
