@@ -106,3 +106,40 @@ def test_read_disk(spark, tmp_path):
     assert found() == full  # Spark leaves zero-length files out
     listed = spark.createDataFrame([("e.md", 7)], "path string, mtime bigint")
     assert found(listed) == {**full, "e.md": (0, b"")}
+
+
+def test_read_disk_strips_only_the_root(spark, tmp_path):
+    from tidemark.sources.scan import read_disk
+
+    root = tmp_path / "vault"
+    deep = root / "n" / str(root).lstrip("/")
+    deep.mkdir(parents=True)
+    (deep / "a b+c%20é.md").write_text("x")
+    (root / "top.md").write_text("yy")
+    for given in (str(root), f"{root}/", f"file:{root}"):
+        rows = {r["path"]: r["size"] for r in read_disk(spark, given).collect()}
+        assert rows == {"top.md": 2, f"n/{str(root).lstrip('/')}/a b+c%20é.md": 1}
+
+
+def test_scope_patterns_follow_the_engine_that_runs_them(spark):
+    from tidemark.functions import ids
+
+    assert ids.valid_regex(r"(?<y>\d+)\p{L}+") == r"(?<y>\d+)\p{L}+"
+    assert ids.valid_regex(r"(?P<y>\d)") is None and ids.valid_regex("(") is None and ids.valid_regex("") is None
+    assert ids.end_of_text(r"a$|[$]\$b$") == r"a\z|[$]\$b\z"
+
+
+def test_missing_chunks_by_bytes_column(spark):
+    from tidemark.operators.integrity import missing_chunks
+
+    files = spark.createDataFrame([("file:a", ["c1", "c2", "c3"], False)], "_id string, chunks array<string>, deleted boolean")
+    stored = spark.createDataFrame([("c1", 3), ("c2", None)], "_id string, bytes long")
+    assert [(r["_id"], r["missing"]) for r in missing_chunks(files, stored).collect()] == [("file:a", ["c2", "c3"])]
+
+
+def test_error_kinds_by_name(spark):
+    from tidemark.operators.logs import classify_errors
+
+    rows = [(None, "gone", "AbortError", None), (500, "x", "EncryptionError", False), (None, "x", "EncryptionError", True), (404, "x", None, None)]
+    table = spark.createDataFrame(rows, "status int, message string, name string, retriable boolean")
+    assert [r["error_kind"] for r in classify_errors(table).collect()] == ["aborted", "schema-mismatch", "unknown", "not-found"]

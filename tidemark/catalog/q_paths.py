@@ -124,6 +124,16 @@ def _(t):
     return paths.filter_glob(t.files.select("doc_id", "path"), ["notes/**/doc?1*.md", "**2.md"])
 
 
+@query(
+    "B6_scope_classes",
+    r"""select doc_id, path, case when regexp_matches(path, '(?P<folder>notes)/\p{L}+/src[0-4]') and not regexp_matches(path, '3[.]md$')
+          then 'in' else 'out' end as scope from fx_files""",
+)
+def _(t):
+    scoped = paths.with_scope(t.files.select("doc_id", "path", "size"), r"(?<folder>notes)/\p{L}+/src[0-4]", "3[.]md$")
+    return scoped.select("doc_id", "path", "scope")
+
+
 @query(
     "B6_sync_scope",
     """select doc_id, p as path, round(size / 1048576.0, 1) as size_mb,

@@ -244,7 +244,7 @@ def _(t):
              left join fx_local_docs n on n._id = 'file:' || r.path left join fx_local_docs o on o._id = 'file:' || r.old_path
              left join fx_baselines nb on nb.path_key = lower(r.path) left join fx_baselines ob on ob.path_key = lower(r.old_path)
              left join fx_base_rel nr on nr._id = n._id left join fx_base_rel orr on orr._id = o._id),
-       o as (select *, case when own is null then 'gone' when new_held or (old_held and same_key) then 'held'
+       o as (select *, case when own is null then 'gone' when old_path = path then 'ingest' when new_held or (old_held and same_key) then 'held'
                when old_held then 'new-only' when oid is not null and not od then 'renamed' else 'new-doc' end as outcome from j),
        vcs as (select path, old_path, kind, dev, max(n) as n from (
             select path, old_path, 'base' as kind, v.dev, v.n from o join fx_local_vc v on v._id in (o.nid, o.oid)
@@ -272,6 +272,7 @@ def _(t):
     own_path = files.withColumnRenamed("path", "old_path")
     renames = (
         disk.filter(d % 5 == 1).join(next_path, "doc_id").select("old_path", "path")
+        .unionByName(disk.filter((d % 5 == 3) & (d % 17 != 0)).select(F.col("path").alias("old_path"), "path"))
         .unionByName(disk.filter((d % 17 == 0) & (d % 5 != 1)).join(own_path, "doc_id").select("old_path", "path"))
         .unionByName(disk.filter((d % 5 == 2) & (d % 17 != 0)).select(F.concat(F.lit("old/"), "path").alias("old_path"), "path"))
         .unionByName(files.filter(d % 50 == 7).select(F.col("path").alias("old_path"), F.concat(F.lit("nowhere/"), "path").alias("path")))

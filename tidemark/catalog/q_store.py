@@ -1,11 +1,14 @@
 """Scans, writes, replication, logs and retry-set loading."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.functions import clocks
 from tidemark.operators import baselines, integrity, logs
 from tidemark.schemas import DAY_MS
+from tidemark.session import shared_dir
 from tidemark.sources import scan
 
 NOW = 1704153600000  # 2024-01-02T00:00:00Z, inside the events table
@@ -57,11 +60,25 @@ def _(t):
     return scan.docs_under_folder(t.stored_docs, "notes/en").select("_id", "size")
 
 
-@query("A6_read_disk")
+@query(
+    "A6_read_disk",
+    """select 'docs/lang=' || lang || '/source=' || source as folder, cast(sum(octet_length(encode(text)) + 1) as bigint) as bytes,
+          cast(sum(octet_length(encode(text)) + 1) as bigint) as body_bytes,
+          cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines
+       from documents group by all""",
+)
 def _(t):
-    # The data folder itself is the disk; bodies stay closed (Spark reads a
-    # file's bytes as one value of at most 2 GB).
-    return scan.read_disk(t.spark, t.folder).select("path", "size")
+    # The documents written as files, a folder per language and source, are the disk.
+    root = f"{shared_dir(t.spark).rstrip('/')}/tidemark/disk-{uuid.uuid4().hex}"
+    docs = t.source("documents").select("lang", "source", "text")
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(f"{root}/docs")
+    files = scan.read_disk(t.spark, root)
+    body = F.decode("content", "UTF-8")
+    return files.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(
+        F.sum("size").alias("bytes"),
+        F.sum(F.octet_length("content")).cast("bigint").alias("body_bytes"),
+        F.sum(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).cast("bigint").alias("lines"),
+    )
 
 
 BATCH = """

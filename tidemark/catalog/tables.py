@@ -328,6 +328,7 @@ union all select path_key, path, 'collision-resolved', null, 'collision-resolved
 select o.path as old_path, d.path as path from fx_disk d join fx_files o on o.doc_id = d.doc_id + 1 where d.doc_id % 5 = 1
 union all select f.path, d.path from fx_disk d join fx_files f using (doc_id) where d.doc_id % 17 = 0 and d.doc_id % 5 <> 1
 union all select 'old/' || d.path, d.path from fx_disk d where d.doc_id % 5 = 2 and d.doc_id % 17 <> 0
+union all select d.path, d.path from fx_disk d where d.doc_id % 5 = 3 and d.doc_id % 17 <> 0
 union all select path, 'nowhere/' || path from fx_files where doc_id % 50 = 7""",
 }
 

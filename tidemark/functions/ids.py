@@ -6,7 +6,8 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,13 +146,24 @@ def glob_regex(pattern: str) -> str:
     return rf"\A{body}\z"
 
 
+def end_of_text(pattern: str) -> str:
+    r"""The pattern with each bare ``$`` as ``\z``: it never matches before a line end."""
+    parts = re.split(r"(\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\$)", pattern, flags=re.S)
+    return "".join(r"\z" if p == "$" else p for p in parts)
+
+
 def valid_regex(pattern: str | None) -> str | None:
-    """The pattern, or NULL when it does not compile (an invalid one is ignored)."""
+    """The pattern as the executors match it, or NULL when it does not compile there.
+
+    Compiled once on the driver by the engine that runs it: group names and classes
+    follow that engine.  An invalid pattern is ignored.
+    """
     if not pattern:
         return None
+    pattern = end_of_text(pattern)
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
         return None
     return pattern
 

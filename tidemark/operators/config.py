@@ -132,6 +132,13 @@ def receive_scope(
     return rows.filter(keep).drop("_present", "desktop_only")
 
 
+def config_skipped(
+    disk: DataFrame, policy: Policy, overrides: DataFrame | None = None, max_bytes: int = MAX_CONFIG_BYTES
+) -> DataFrame:
+    """``(path, size)`` of the files within send scope that are too large to send."""
+    return send_scope(disk, policy, overrides).filter(F.col("size") > max_bytes).select("path", "size")
+
+
 def config_scan(
     disk: DataFrame,
     docs: DataFrame,
@@ -142,12 +149,14 @@ def config_scan(
     chunk_bytes: int = CONFIG_CHUNK_BYTES,
     skip_paths: DataFrame | None = None,
     skip_names: tuple[str, ...] = (),
+    max_bytes: int = MAX_CONFIG_BYTES,
 ) -> DataFrame:
-    """New settings docs of changed files within send scope, at most 5 MiB.
+    """New settings docs of changed files within send scope, at most ``max_bytes``;
+    :func:`config_skipped` names the larger ones.
 
     ``last_synced``: ``(path, size, chunks)`` of the last exchange.
     """
-    files = send_scope(disk, policy, overrides).filter(F.col("size") <= MAX_CONFIG_BYTES)
+    files = send_scope(disk, policy, overrides).filter(F.col("size") <= max_bytes)
     if skip_names:
         files = files.filter(~F.substring_index("path", "/", -1).isin(*skip_names))
     if skip_paths is not None:

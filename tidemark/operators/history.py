@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -69,7 +71,7 @@ def file_history(revisions: DataFrame, path: str, since: int | None = None) -> D
 
 
 def lineage(
-    revisions: DataFrame, heads: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 40
+    revisions: DataFrame, heads: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per revision: ``depth`` (root 0), ``root_id``, ``cyclic``, ``on_head_path``,
     ``subtree_size`` and ``fork_id``, the deepest ancestor-or-self it shares with
@@ -89,7 +91,7 @@ def lineage(
         .join(known.withColumn("_ok", F.lit(True)), ["file_path", "_pid"], "left")
         .select("file_path", "id", F.when(F.col("_ok"), F.col("_pid")).alias("anc"))
     )
-    head_ids = _head_path(start, heads, max_rounds)
+    head_ids = _head_path(start, heads)
     state = cut_lineage(
         start.join(head_ids.withColumn("_h", F.lit(True)), ["file_path", "id"], "left").select(
             "file_path",
@@ -104,7 +106,7 @@ def lineage(
     )
     # No acyclic walk is longer than the number of revisions of the largest file.
     longest = state.groupBy("file_path").count().agg(F.max("count")).first()[0] or 0
-    for k in range(max_rounds):
+    for k in count():  # ends by the length of the longest possible walk
         open_rows = state.filter(F.col("anc").isNotNull())
         if open_rows.isEmpty() or (1 << k) > longest:
             break
@@ -147,7 +149,7 @@ def _by_ancestor(rows: DataFrame, ahead: DataFrame, hot_rows: int) -> DataFrame:
     return salted_join(left, right, "_k", ["id"], "inner", hot_rows).drop("_k", "anc")
 
 
-def _head_path(start: DataFrame, heads: DataFrame, max_rounds: int) -> DataFrame:
+def _head_path(start: DataFrame, heads: DataFrame) -> DataFrame:
     """``(file_path, id)`` from each head to its root, cycles walked once.
 
     The set doubles each round: rows reached so far are joined with jump
@@ -159,7 +161,7 @@ def _head_path(start: DataFrame, heads: DataFrame, max_rounds: int) -> DataFrame
     )
     reached = cut_lineage(seeds.join(jumps.select("file_path", "id"), ["file_path", "id"], "left_semi"))
     size = reached.count()
-    for _ in range(max_rounds):
+    while True:  # the set only grows, and stops when a round adds nothing
         next_ids = reached.join(jumps, ["file_path", "id"]).filter(F.col("anc").isNotNull())
         grown = cut_lineage(
             reached.unionAll(next_ids.select("file_path", F.col("anc").alias("id"))).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import clocks, ids
 from tidemark.operators.chunking import verify_chunks
 from tidemark.operators.paths import with_path_key
-from tidemark.operators.skew import HOT_ROWS, salted_join
+from tidemark.operators.skew import HOT_ROWS, is_small, salted_join, is_small
 from tidemark.schemas import DEFAULT_ALG
 from tidemark.session import cut_lineage
 
@@ -288,10 +288,15 @@ def gc_counts(owners: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def usable_ids(*chunk_tables: DataFrame) -> DataFrame:
-    """Ids whose content is really there, over one or several stores."""
+    """Ids whose content is really there, over one or several stores.
+
+    A table with a ``bytes`` column (length of the content, NULL without one) tells
+    it by that column, and no content is read.
+    """
     out = None
     for table in chunk_tables:
-        part = table.filter(F.col("content").isNotNull()).select(F.col("_id").alias("chunk"))
+        told = "bytes" if "bytes" in table.columns else "content"
+        part = table.filter(F.col(told).isNotNull()).select(F.col("_id").alias("chunk"))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -300,13 +305,17 @@ def missing_chunks(files: DataFrame, *chunk_tables: DataFrame, hot_rows: int = H
     """``(_id, missing)``: alive files and their absent or unusable chunk ids, in
     list order.
 
-    Distinct referenced ids are tested first; only references to a missing id
-    are joined back to their file.
+    Distinct referenced ids are tested first, where they are few by a filter on the
+    scan of the ids; only references to a missing id are joined back to their file.
     """
     refs = files.filter(alive()).select("_id", F.posexplode("chunks").alias("ord", "chunk"))
+    stored = usable_ids(*chunk_tables)
+    asked = cut_lineage(refs.select("chunk").distinct())
+    if is_small(asked):
+        stored = stored.join(F.broadcast(asked), "chunk", "left_semi")
     gone = (
-        refs.select("chunk", F.lit(1).alias("bits"))
-        .unionAll(usable_ids(*chunk_tables).select("chunk", F.lit(2).alias("bits")))
+        asked.select("chunk", F.lit(1).alias("bits"))
+        .unionAll(stored.select("chunk", F.lit(2).alias("bits")))
         .groupBy("chunk")
         .agg(F.bit_or("bits").alias("bits"))
         .filter("bits = 1")

@@ -94,15 +94,23 @@ SERVER_STATUS = 500
 
 
 def classify_errors(logs: DataFrame, status: str = "status", message: str = "message") -> DataFrame:
-    """Adds ``error_kind``, by status code then message, in fixed priority."""
+    """Adds ``error_kind``, by error name, status code, then message, in fixed priority.
+
+    Optional columns: ``name`` (of the error), ``retriable`` (of an encryption error),
+    ``non_retriable`` and ``encryption_paused``.
+    """
     s, m = F.col(status), F.coalesce(F.col(message), F.lit("unknown"))
     known = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("non_retriable", "encryption_paused") if c in logs.columns}
     no = F.lit(False)
+    name = F.coalesce(F.col("name"), F.lit("")) if "name" in logs.columns else F.lit("")
+    final = no
+    if "retriable" in logs.columns:  # trying again cannot help
+        final = (name == "EncryptionError") & ~F.coalesce(F.col("retriable"), F.lit(True))
     return logs.withColumn(
         "error_kind",
-        F.when(known.get("non_retriable", no), "schema-mismatch")
+        F.when(known.get("non_retriable", no) | final, "schema-mismatch")
         .when(known.get("encryption_paused", no), "encryption-paused")
-        .when(m.rlike(ABORTED), "aborted")
+        .when((name == "AbortError") | m.rlike(ABORTED), "aborted")
         .when(s.isin(*AUTH_STATUS), "auth")
         .when(s == NOT_FOUND_STATUS, "not-found")
         .when(s >= SERVER_STATUS, "server")

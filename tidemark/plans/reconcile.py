@@ -638,7 +638,7 @@ def rename_docs(
 ) -> DataFrame:
     """``(old_path, path, outcome, vclock, old_outcome, old_vclock, chunks, size, mtime)``.
 
-    renamed: the new doc strictly dominates the old path's tombstone; new-only:
+    ingest: both paths are the same, a plain :func:`ingest_files`; renamed: the new doc strictly dominates the old path's tombstone; new-only:
     the old doc awaits a pull and is left alone; held: an unintegrated doc at the
     new path, or a case-only rename of a doc awaiting a pull; gone: the file is no
     longer on disk.  A case-only rename keeps the single baseline row.
@@ -674,6 +674,7 @@ def rename_docs(
     )
     outcome = (
         F.when(F.col("chunks").isNull(), "gone")
+        .when(F.col("old_path") == F.col("path"), "ingest")
         .when(F.col("_new_held") | (F.col("_old_held") & same_key), "held")
         .when(F.col("_old_held"), "new-only")
         .when(old_alive, "renamed")

@@ -76,16 +76,21 @@ def read_disk(
     """``(path, mtime, ctime, size, content)`` of all files under ``root``, paths
     relative to it.  Stat-only queries never open the files.
 
-    Spark's file sources leave zero-length files out; a caller that has a listing
-    of them passes it as ``empty`` (``path, mtime``).
+    Spark's file sources leave out zero-length files and names that start with a dot
+    or an underscore; a caller that has a listing of empty files passes it as
+    ``empty`` (``path, mtime``).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
-    base = root.rstrip("/") + "/"
+    # The root as the file system writes it stands in front of every path, and only
+    # there is it taken off: a folder inside may repeat its name.
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    base = system.makeQualified(where).toString().rstrip("/") + "/"
     mtime = F.unix_millis("modificationTime")
     files = reader.load(root).select(
-        F.url_decode(F.replace(F.substring_index("path", base, -1), F.lit("+"), F.lit("%2B"))).alias("path"),
+        F.substring("path", F.lit(len(base) + 1), F.length("path")).alias("path"),
         mtime.alias("mtime"),
         mtime.alias("ctime"),
         F.col("length").alias("size"),
