@@ -143,3 +143,27 @@ def test_error_kinds_by_name(spark):
     rows = [(None, "gone", "AbortError", None), (500, "x", "EncryptionError", False), (None, "x", "EncryptionError", True), (404, "x", None, None)]
     table = spark.createDataFrame(rows, "status int, message string, name string, retriable boolean")
     assert [r["error_kind"] for r in classify_errors(table).collect()] == ["aborted", "schema-mismatch", "unknown", "not-found"]
+
+
+def test_every_plan_takes_the_stores_hash(spark):
+    from tidemark.functions import content
+    from tidemark.operators.config import config_scan  # noqa: F401 (takes alg as well)
+    from tidemark.plans import reconcile
+    from tidemark.schemas import BASELINES, FILE_DOCS
+
+    bodies = {f"n/{i}.md": (b"x" * (1000 * i) + bytes([i])) for i in range(4)} | {"n/empty.md": b""}
+    disk = spark.createDataFrame(
+        [(p, 5, len(b), bytearray(b)) for p, b in bodies.items()], "path string, mtime bigint, size bigint, content binary"
+    )
+    told = {r["path"]: r["c"] for r in disk.select("path", content.chunk_list("content", 512, "x64").alias("c")).collect()}
+    pieces = {r["path"]: r["chunks"] for r in chunking.file_fingerprints(disk.select("path", "content"), 512, "x64").collect()}
+    assert told == pieces and all(c.startswith("chunk:x64:") for cs in told.values() for c in cs)
+    docs = spark.createDataFrame(
+        [(f"file:{p}", 2, told[p], 9, 9, len(b), False, {"dev-a": 1}, 1, 1) for p, b in bodies.items()], FILE_DOCS
+    )
+    known = spark.createDataFrame([(p, {"dev-a": 1}, told[p], len(b), 4, False) for p, b in bodies.items()], BASELINES)
+    actions = lambda alg: {r["action"] for r in reconcile.reconcile_plan(
+        disk, docs, known, None, "dev-a", chunk_bytes=512, alg=alg).collect()}
+    assert actions("x64") == {"align"} and "align" not in actions("s256")
+    edited = lambda alg: {r["unpushed"] for r in reconcile.has_unpushed(disk, docs, known, None, 512, alg).collect()}
+    assert edited("x64") == {False} and edited("s256") == {True}

@@ -53,10 +53,28 @@ def piece(content: Column | str, ordinal: Column, chunk_bytes: int) -> Column:
     )
 
 
-def chunk_list(content: Column | str, chunk_bytes: int) -> Column:
-    """Ordered ``s256`` chunk ids of one row's bytes, without a shuffle."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _x64_list(content: pd.Series, chunk_bytes: pd.Series) -> pd.Series:
+    def hashes(b, n: int) -> list[str] | None:
+        if b is None:
+            return None
+        body = bytes(b)
+        return [xxhash.xxh64_hexdigest(body[i:i + n], seed=0) for i in range(0, max(len(body), 1), n)]
+
+    return pd.Series([hashes(b, n) for b, n in zip(content, chunk_bytes)])
+
+
+def chunk_list(content: Column | str, chunk_bytes: int, alg="s256") -> Column:
+    """Ordered chunk ids of one row's bytes, without a shuffle.
+
+    A user function must be made of built-in column functions here.
+    """
+    if alg == "x64":  # no UDF can stand inside a lambda
+        return F.transform(
+            _x64_list(_col(content), F.lit(chunk_bytes)), lambda h: F.concat(F.lit(f"{CHUNK_PREFIX}x64:"), h)
+        )
     ordinals = F.sequence(F.lit(0), piece_count(content, chunk_bytes) - 1)
-    return F.transform(ordinals, lambda i: chunk_id(piece(content, i, chunk_bytes)))
+    return F.transform(ordinals, lambda i: chunk_id(piece(content, i, chunk_bytes), alg))
 
 
 def is_diffable_text(content: Column | str) -> Column:

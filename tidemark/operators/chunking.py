@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import content as contentf
 from tidemark.functions import ids
 from tidemark.operators.paths import MIB, with_path_key
-from tidemark.operators.skew import HOT_ROWS, SMALL_ROWS, is_small, salted_join
+from tidemark.operators.skew import HOT_ROWS, SMALL_ROWS, hot_keys, is_small, salted_join
 from tidemark.schemas import DEFAULT_ALG, DEFAULT_MAX_FILE_MB, FILE_CHUNK_BYTES
 from tidemark.session import cut_lineage
 
@@ -49,7 +49,7 @@ def file_fingerprints(
     if alg == DEFAULT_ALG:
         return files.select(
             *keep,
-            contentf.chunk_list("content", chunk_bytes).alias("chunks"),
+            contentf.chunk_list("content", chunk_bytes, alg).alias("chunks"),
             F.octet_length("content").cast("bigint").alias("size"),
         )
     pieces = split_into_chunks(files.select(*keep, "content"), chunk_bytes, alg, "_piece")
@@ -68,6 +68,7 @@ def disk_fingerprints(
     baselines: DataFrame,
     chunk_bytes: int = FILE_CHUNK_BYTES,
     max_broadcast: int = SMALL_ROWS,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """Chunk list per disk file, reusing the baseline's when ``(mtime, size)``
     match and the baseline is whole and alive; adds ``reused``.
@@ -91,7 +92,7 @@ def disk_fingerprints(
     same_stat = F.coalesce(
         (F.col("_bm") == F.col("mtime")) & (F.col("_bs") == F.col("size")), F.lit(False)
     )
-    own = contentf.chunk_list("content", chunk_bytes)
+    own = contentf.chunk_list("content", chunk_bytes, alg)
     bare = keyed(disk.drop("content"))
     columns = bare.columns
     stats = bare.join(full, "path_key", "left").withColumn("reused", same_stat)
@@ -146,8 +147,12 @@ def reassemble(
     usable = chunks.filter(F.col("content").isNotNull()).select(
         F.col("_id").alias("chunk"), "content"
     )
-    sizes = usable.select("chunk", F.octet_length("content").cast("bigint").alias("bytes"))
-    measured = salted_join(refs, sizes, "chunk", ["_id", "ord"], "left", hot_rows)
+    if "bytes" in chunks.columns:  # lengths kept beside the ids: no body is opened for them
+        sizes = chunks.filter(F.col("bytes").isNotNull()).select(F.col("_id").alias("chunk"), "bytes")
+    else:
+        sizes = usable.select("chunk", F.octet_length("content").cast("bigint").alias("bytes"))
+    hot = cut_lineage(hot_keys(refs, "chunk", hot_rows))
+    measured = salted_join(refs, sizes, "chunk", ["_id", "ord"], "left", hot_rows, hot)
     verdicts = measured.groupBy("_id").agg(
         F.array_sort(
             F.collect_list(F.when(F.col("bytes").isNull(), F.struct("ord", "chunk")))
@@ -171,7 +176,7 @@ def reassemble(
     )
     good = judged.filter(F.col("status") == "ok").select("_id")
     parts = salted_join(
-        refs.join(good, "_id", "left_semi"), usable, "chunk", ["_id", "ord"], "inner", hot_rows
+        refs.join(good, "_id", "left_semi"), usable, "chunk", ["_id", "ord"], "inner", hot_rows, hot
     )
     bodies = parts.groupBy("_id").agg(
         # Joining as text copies each byte once; Spark strings are plain bytes.

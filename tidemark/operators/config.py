@@ -16,6 +16,7 @@ from tidemark.schemas import (
     CONFIG_PREFIX,
     CONFIG_SCHEMA_VERSION,
     CONFIG_UNITS,
+    DEFAULT_ALG,
     MAX_CONFIG_BYTES,
 )
 from tidemark.session import cut_lineage
@@ -150,6 +151,7 @@ def config_scan(
     skip_paths: DataFrame | None = None,
     skip_names: tuple[str, ...] = (),
     max_bytes: int = MAX_CONFIG_BYTES,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """New settings docs of changed files within send scope, at most ``max_bytes``;
     :func:`config_skipped` names the larger ones.
@@ -161,7 +163,7 @@ def config_scan(
         files = files.filter(~F.substring_index("path", "/", -1).isin(*skip_names))
     if skip_paths is not None:
         files = files.join(skip_paths.select("path"), "path", "left_anti")
-    prints = files.select("path", "mtime", "size", contentf.chunk_list("content", chunk_bytes).alias("chunks"))
+    prints = files.select("path", "mtime", "size", contentf.chunk_list("content", chunk_bytes, alg).alias("chunks"))
     cached = last_synced.select("path", F.col("size").alias("_s"), F.col("chunks").alias("_c"))
     stored = docs.select(F.col("_id"), F.col("vclock").alias("_v"))
     same = F.col("_s").eqNullSafe(F.col("size")) & F.col("_c").eqNullSafe(F.col("chunks"))

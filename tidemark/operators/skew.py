@@ -36,6 +36,7 @@ def salted_join(
     spread_by: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` (keys may be hot) to ``one`` (keys unique) on ``key``.
 
@@ -43,12 +44,13 @@ def salted_join(
     usual case) this is a plain join.  Otherwise rows of a hot key are spread
     over ``_splits`` salts by a hash of ``spread_by``, and only the matching row
     of ``one`` is repeated, as often as that key needs.  ``how`` is inner, left,
-    left_semi or left_anti.
+    left_semi or left_anti.  ``hot`` is a written :func:`hot_keys` of the same rows, or
+    of more, where it is at hand.
     """
-    found = cut_lineage(hot_keys(many, key, hot_rows))
+    found = cut_lineage(hot_keys(many, key, hot_rows)) if hot is None else hot
     if found.isEmpty():
         return many.join(one, key, how)
-    hot = F.broadcast(found)
+    hot = broadcast_if_small(found)
     salted = many.join(hot, key, "left").withColumn(
         "_salt",
         F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_splits"), F.lit(1))).cast("int"),

@@ -22,6 +22,7 @@ from tidemark.operators.skew import broadcast_if_small
 from tidemark.plans.pull import only_ids
 from tidemark.schemas import (
     CLOCK_SKEW_MARGIN_MS,
+    DEFAULT_ALG,
     DEFAULT_MAX_FILE_MB,
     FILE_CHUNK_BYTES,
     FILE_SCHEMA_VERSION,
@@ -121,10 +122,11 @@ def _with_relation(occ: DataFrame) -> DataFrame:
 
 
 def classify_files(
-    disk: DataFrame, docs: DataFrame, baselines: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES
+    disk: DataFrame, docs: DataFrame, baselines: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """``(path_key, path, relation)`` of every disk file that has a doc."""
-    occ = occupants(disk_fingerprints(disk, baselines, chunk_bytes), docs, baselines)
+    occ = occupants(disk_fingerprints(disk, baselines, chunk_bytes, alg=alg), docs, baselines)
     return _with_relation(occ).filter(F.col("relation").isNotNull()).select(
         "path_key", F.col("file.path").alias("path"), "relation"
     )
@@ -140,6 +142,7 @@ def reconcile_plan(
     chunk_bytes: int = FILE_CHUNK_BYTES,
     local_chunks: DataFrame | None = None,
     remote_chunks: DataFrame | None = None,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """``(path_key, path, action, relation, bucket)``: one action per path, or one
     per variant where spellings collide.
@@ -148,8 +151,9 @@ def reconcile_plan(
     With ``local_chunks`` given, restores and pulls whose chunks are gone become
     quarantined (missing on both sides) or skipped (remote unknown).
     """
-    occ = occupants(disk_fingerprints(disk, baselines, chunk_bytes), docs, baselines, manifest)
-    rows = _with_relation(occ)
+    occ = occupants(disk_fingerprints(disk, baselines, chunk_bytes, alg=alg), docs, baselines, manifest)
+    # Written once: the plan and the search for clashing spellings both start here.
+    rows = cut_lineage(_with_relation(occ))
     crowded = (F.col("n_files") > 1) | (F.col("n_alive") > 1)
     has_file, has_doc = F.col("file").isNotNull(), F.col("doc").isNotNull()
     dead = F.coalesce(F.col("doc.deleted"), F.lit(False))
@@ -216,7 +220,9 @@ def reconcile_plan(
             F.col("doc._id").alias("doc_id"),
         )
     )
-    crowd = path_collisions(disk, docs, baselines, chunk_bytes=chunk_bytes)
+    crowd = path_collisions(
+        disk, docs, baselines, chunk_bytes=chunk_bytes, alg=alg, keys=rows.filter(crowded).select("path_key")
+    )
     crowd = crowd.filter(F.col("action") != "keep").select(
         "path_key", "path", "action", F.lit(None).cast("string").alias("relation"),
         # The report counts one resolved collision per path: its canonical row.
@@ -266,6 +272,8 @@ def path_collisions(
     baselines: DataFrame,
     pending: DataFrame | None = None,
     chunk_bytes: int = FILE_CHUNK_BYTES,
+    alg=DEFAULT_ALG,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Folded paths with more than one disk file or alive doc, one row per variant:
     ``(path_key, path, action, state, is_canonical)``.
@@ -274,23 +282,27 @@ def path_collisions(
     docs have one chunk list and no file has unpushed edits.  Then the canonical
     variant stays (collision-restore when it is not on disk) and the others are
     dedup-file (delete and tombstone) or tombstone.  Else collision-unresolved.
+    ``keys`` names those paths where a caller has counted them already.
     """
     files = with_path_key(disk.select("path"))
     live = keyed_docs(docs.filter(~F.coalesce("deleted", F.lit(False))))
-    counted = files.select("path_key", F.lit(1).alias("f"), F.lit(0).alias("d")).unionAll(
-        live.select("path_key", F.lit(0), F.lit(1))
-    )
-    keys = cut_lineage(
-        counted.groupBy("path_key")
-        .agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
-        .filter((F.col("f") > 1) | (F.col("d") > 1))
-        .select("path_key")
-    )
-    # Clashes are few: their files are filtered where they are read, then hashed.
+    if keys is None:
+        counted = files.select("path_key", F.lit(1).alias("f"), F.lit(0).alias("d")).unionAll(
+            live.select("path_key", F.lit(0), F.lit(1))
+        )
+        keys = cut_lineage(
+            counted.groupBy("path_key")
+            .agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
+            .filter((F.col("f") > 1) | (F.col("d") > 1))
+            .select("path_key")
+        )
+    # Clashes are few: where their checked size allows, files are filtered where they
+    # are read, then hashed, and no body is shuffled.
+    keys = broadcast_if_small(keys)
     clash_paths = cut_lineage(files.join(keys, "path_key", "left_semi").distinct())
-    clash_files = disk.drop("path_key").join(clash_paths, "path")
+    clash_files = disk.drop("path_key").join(broadcast_if_small(clash_paths), "path")
     clash_docs = live.join(keys, "path_key", "left_semi")
-    edits = has_unpushed(clash_files, clash_docs, baselines, pending, chunk_bytes)
+    edits = has_unpushed(clash_files, clash_docs, baselines, pending, chunk_bytes, alg)
     variants = cut_lineage(
         edits.select(
             "path_key", "path", F.lit(1).alias("f"), F.lit(0).alias("d"),
@@ -414,6 +426,7 @@ def has_unpushed(
     baselines: DataFrame,
     pending: DataFrame | None = None,
     chunk_bytes: int = FILE_CHUNK_BYTES,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """``(path_key, path, unpushed)`` per disk file; bytes are always hashed again.
 
@@ -422,7 +435,7 @@ def has_unpushed(
     known = [c for c in ("path_key",) if c in disk.columns]
     own = disk.select(
         "path", *known, F.col("size").alias("_size"),
-        contentf.chunk_list("content", chunk_bytes).alias("_own"),
+        contentf.chunk_list("content", chunk_bytes, alg).alias("_own"),
     )
     # Folded after hashing, so that no bodies queue behind the fold.
     own = own if known else with_path_key(own)
@@ -520,6 +533,7 @@ def ingest_files(
     exclude_re: str | None = None,
     max_mb: float = DEFAULT_MAX_FILE_MB,
     chunk_bytes: int = FILE_CHUNK_BYTES,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """``(path, path_key, outcome, ...new doc columns)`` for every disk file.
 
@@ -530,7 +544,7 @@ def ingest_files(
     scoped = with_path_key(
         with_scope(disk, include_re, exclude_re, max_mb)
         .withColumn(
-            "_own", F.when(F.col("scope") == "in", contentf.chunk_list("content", chunk_bytes))
+            "_own", F.when(F.col("scope") == "in", contentf.chunk_list("content", chunk_bytes, alg))
         )
         .drop("content")
     )
@@ -573,11 +587,11 @@ def ingest_files(
     )
 
 
-def ingest_chunks(disk: DataFrame, plan: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES) -> DataFrame:
+def ingest_chunks(disk: DataFrame, plan: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES, alg=DEFAULT_ALG) -> DataFrame:
     """Chunk rows of the files an ingest wrote, one per id."""
     written = plan.filter("outcome = 'written'").select("path")
     chosen = disk.join(broadcast_if_small(written), "path", "left_semi")
-    return split_into_chunks(chosen.select("path", "content"), chunk_bytes).select(
+    return split_into_chunks(chosen.select("path", "content"), chunk_bytes, alg).select(
         "_id", "content"
     ).dropDuplicates(["_id"])
 
@@ -635,17 +649,19 @@ def rename_docs(
     baselines: DataFrame,
     device: str,
     chunk_bytes: int = FILE_CHUNK_BYTES,
+    alg=DEFAULT_ALG,
 ) -> DataFrame:
     """``(old_path, path, outcome, vclock, old_outcome, old_vclock, chunks, size, mtime)``.
 
-    ingest: both paths are the same, a plain :func:`ingest_files`; renamed: the new doc strictly dominates the old path's tombstone; new-only:
+    ingest: both paths are the same, a plain :func:`ingest_files`; renamed: the new
+    doc strictly dominates the old path's tombstone; new-only:
     the old doc awaits a pull and is left alone; held: an unintegrated doc at the
     new path, or a case-only rename of a doc awaiting a pull; gone: the file is no
     longer on disk.  A case-only rename keeps the single baseline row.
     """
     r = with_path_key(with_path_key(renames.select("old_path", "path")), "old_path", "old_key")
     prints = disk.join(broadcast_if_small(renames.select("path").distinct()), "path", "left_semi").select(
-        "path", contentf.chunk_list("content", chunk_bytes).alias("chunks"), "size", "mtime"
+        "path", contentf.chunk_list("content", chunk_bytes, alg).alias("chunks"), "size", "mtime"
     )
     wanted = r.select(F.concat(F.lit("file:"), "path").alias("_id")).unionAll(
         r.select(F.concat(F.lit("file:"), "old_path"))
