@@ -10,6 +10,7 @@ from tidemark.operators import baselines, integrity, logs
 from tidemark.schemas import DAY_MS
 from tidemark.session import shared_dir
 from tidemark.sources import scan
+from tidemark.sources.store import DocStore
 
 NOW = 1704153600000  # 2024-01-02T00:00:00Z, inside the events table
 
@@ -95,13 +96,13 @@ def batch(t):
     return docs
 
 
-@query(
-    "A7_apply_batch",
-    f"""with {BATCH} select 'doc' as kind, _id, _version, (select max(_local_seq) + 1 from fx_stored_docs) as _local_seq from ok
+WHOLE_BATCH = f"""with {BATCH} select 'doc' as kind, _id, _version, (select max(_local_seq) + 1 from fx_stored_docs) as _local_seq from ok
         union all select 'doc', _id, _version, _local_seq from fx_stored_docs where _id not in (select _id from batch)
           and not (doc_id % 6 = 2)
-        union all select 'chunk', _id, null, null from fx_chunks where substr(_id, 12, 1) <> 'a'""",
-)
+        union all select 'chunk', _id, null, null from fx_chunks where substr(_id, 12, 1) <> 'a'"""
+
+
+@query("A7_apply_batch", WHOLE_BATCH)
 def _(t):
     deletes = t.stored_docs.filter(F.col("doc_id") % 6 == 2).select("_id").join(
         t.remote_docs.select("_id"), "_id", "left_anti"
@@ -112,6 +113,20 @@ def _(t):
     )
 
 
+@query("A7_durable_batch", WHOLE_BATCH)
+def _(t):
+    deletes = t.stored_docs.filter(F.col("doc_id") % 6 == 2).select("_id").join(
+        t.remote_docs.select("_id"), "_id", "left_anti"
+    )
+    held = DocStore(t.spark, f"{shared_dir(t.spark).rstrip('/')}/tidemark/store-{uuid.uuid4().hex}")
+    held.start(t.stored_docs, t.local_chunks)
+    for _ in range(2):  # the second time is a replay
+        held.apply(1, batch(t), t.remote_chunks, deletes)
+    return held.docs().select(F.lit("doc").alias("kind"), "_id", "_version", "_local_seq").unionByName(
+        held.chunks().select(F.lit("chunk").alias("kind"), "_id"), allowMissingColumns=True
+    )
+
+
 @query(
     "A7_apply_batch_conflicts",
     """select _id, l.vc as stored, r.vc as expected from fx_rel join fx_local_text l using (_id) join fx_remote_text r using (_id)
