@@ -94,6 +94,7 @@ def rules() -> dict[str, Column]:
 
     mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
     dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    distinct = per_word("n_distinct")
     bars = (F.col("n_words") - F.col("n_unbarred")) / F.greatest(F.col("n_words"), F.lit(1))
     return {
         "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
@@ -102,8 +103,10 @@ def rules() -> dict[str, Column]:
         "letters": vote(per_char("n_letters") < 0.75, per_char("n_letters") > 0.85),
         "repeats": vote(per_word("n_repeat_words") > 0.28, per_word("n_repeat_words") < 0.25),
         "lines": vote(dup > 0.3, dup < 0.1),
+        # Short texts repeat little, so a small share of distinct words tells there early.
         "variety": vote(
-            (F.col("n_words") >= 50) & (per_word("n_distinct") < 0.15), per_word("n_distinct") > 0.25
+            (distinct < 0.15) & (F.col("n_words") >= 50) | (distinct < 0.35) & (F.col("n_words") <= 100),
+            distinct > 0.4,
         ),
         "upper": vote(per_char("n_upper") > 0.3, per_char("n_upper") < 0.12),
         "shouts": vote(per_word("n_shouts") > 0.1, per_word("n_shouts") < 0.03),
