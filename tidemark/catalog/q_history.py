@@ -26,7 +26,15 @@ def _(t):
     )
 
 
-@query("H2_line_churn")
+LINES = "len(string_split({0}, chr(10))) - case when suffix({0}, chr(10)) or {0} = '' then 1 else 0 end"
+
+
+@query(
+    "H2_line_churn",
+    # Lines are only taken out, so all that is left is the longest common part.
+    f"""select doc_id, 0::bigint as added, ({LINES.format('old')} - ({LINES.format('new')}))::bigint as removed
+        from (select doc_id, text as old, regexp_replace(text, '(?m)^.*a\n', '', 'g') as new from documents)""",
+)
 def _(t):
     revised = t.files.select("doc_id", F.col("content").cast("string").alias("old")).withColumn(
         "new", F.regexp_replace("old", r"(?m)^.*a\n", "")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +43,8 @@ def capture_revisions(
         .filter(F.col("_before") != F.col("content"))
         .withColumn("base_hash", F.sha2(F.encode("_before", "UTF-8"), 256))
     )
-    counted = churn(changed, "_before", "content").drop("_before")
+    # Written once: ranges of the second look-back are counted before it runs.
+    counted = cut_lineage(churn(changed, "_before", "content").drop("_before"))
     linked = previous_row(counted, ["file_path"], ["timestamp"], {"timestamp": "parent_timestamp"}, slices)
     return linked.withColumn("conflict", F.lit(False))
 

@@ -8,6 +8,8 @@ broadcast, whatever the data looks like.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +93,9 @@ def slice_no(order: Column | str, cuts: Sequence) -> Column:
     o = F.col(order) if isinstance(order, str) else order
     if not cuts:
         return F.lit(0)
-    arr = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(arr, lambda c: c <= o))
+    # No lambda: the optimizer would carry its variable into filters it infers for
+    # the other side of a join, where the column it captures does not exist.
+    return reduce(add, (F.when(F.lit(c) <= o, 1).otherwise(0) for c in cuts))
 
 
 def previous_row(
