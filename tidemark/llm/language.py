@@ -149,7 +149,21 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, keep: list[str]
     return source.mapInArrow(run, schema)
 
 
+def _with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([len(trigrams(t.as_py())) > 0 for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def with_language(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """The rows of ``docs`` in which a language was found, with their columns."""
-    found = predict(wrapped(docs), langs, logs, ["doc_id", "text", "_rest"])
-    return unwrapped(found.filter(F.col("lang_pred") != UNKNOWN), docs.columns)
+    """The rows of ``docs`` with a letter; a NULL lang is the one found, if any was learned."""
+    rows = wrapped(docs)
+    if not langs:
+        return unwrapped(_with_letters(rows), docs.columns)
+    found = predict(rows, langs, logs, ["doc_id", "text", "_rest"]).filter(F.col("lang_pred") != UNKNOWN)
+    lang = {"lang": F.coalesce(F.col("_rest")["lang"], F.col("lang_pred"))} if "lang" in docs.columns else {}
+    return unwrapped(found, docs.columns, **lang)
