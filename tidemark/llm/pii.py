@@ -2,8 +2,8 @@
 
 Base spans come from four patterns.  They seed a bootstrap: every token that looks
 like an identifier is a candidate, in the lexical pattern made of its two words to
-the left, what stands before it, and its shape.  A pattern is scored by the share of
-its distinct instances that are known, an instance by the patterns it stands in; both are
+the left, what stands before it, and its shape.  A pattern is scored for each kind by the share of
+its distinct instances that are known as it, an instance by the patterns it stands in; both are
 sums over a bipartite graph, recomputed from one written table in each round.
 Patterns and instances of high confidence become known, and unseen instances of good
 patterns become spans of the kind that taught the pattern.
@@ -43,7 +43,6 @@ MIN_CHARS = 6
 MIN_SUPPORT = 3  # distinct known instances that a pattern needs
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.9
-ROUNDS = 3
 
 
 def _found(text: Column, pattern: str, may: Column) -> tuple[Column, Column]:
@@ -185,32 +184,45 @@ def with_candidates(spanned: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _leading(weights: dict[str, Column]) -> tuple[Column, Column]:
+    """The kind of the largest weight, NULL where two share it, and that weight."""
+    most = F.greatest(*weights.values())
+    at_top = F.array_compact(F.array(*[F.when(w == most, F.lit(k)) for k, w in weights.items()]))
+    return F.when(F.size(at_top) == 1, F.get(at_top, F.lit(0))), most
+
+
+def bootstrap(found: DataFrame) -> DataFrame:
     """``(pattern, value, kind)`` of unseen instances that became known.
 
-    Only distinct pattern-instance edges take part; each round is two groupings of
-    them, both combined before their shuffle.
+    Patterns and instances are weighed for each kind and take the leading one, if it has
+    its share; one stray seed decides nothing.  Rounds go on until none finds a fresh
+    instance; known values only grow, so they end.  Only distinct pattern-instance edges
+    take part; each round is two groupings of them, both combined before their shuffle.
     """
     edges = cut_lineage(
         found.groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
     )
     known = cut_lineage(edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("as_kind")))
     seeds = known
-    for _ in range(rounds):
+    while True:
         told = edges.select("pattern", "value").join(known, "value", "left")
         scored = told.groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("n"), F.count("as_kind").alias("hits"),
-            F.min("as_kind").alias("low"), F.max("as_kind").alias("high"),
+            F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("as_kind") == k).alias(f"_{k}") for k in KINDS]
+        )
+        kind, hits = _leading({k: F.col(f"_{k}") for k in KINDS})
+        good = scored.select("pattern", "n", kind.alias("pattern_kind"), hits.alias("hits")).filter(
+            F.col("pattern_kind").isNotNull() & (F.col("hits") >= MIN_SUPPORT) & (F.col("hits") >= MIN_PATTERN * F.col("n"))
+        ).select("pattern", "pattern_kind", (F.col("hits") / F.col("n")).alias("trust"))
+        weight = -F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))
+        weighed = edges.select("pattern", "value").join(good, "pattern").groupBy("value").agg(
+            *[F.sum(F.when(F.col("pattern_kind") == k, weight).otherwise(0.0)).alias(f"_{k}") for k in KINDS]
+        )
+        kind, most = _leading({k: F.col(f"_{k}") for k in KINDS})
+        reached = weighed.withColumn("as_kind", kind).filter(
+            F.col("as_kind").isNotNull() & (1 - F.exp(-most) >= MIN_INSTANCE)
+            & (most >= MIN_PATTERN * sum(F.col(f"_{k}") for k in KINDS))
         )
-        good = scored.filter(
-            (F.col("hits") >= MIN_SUPPORT) & (F.col("low") == F.col("high")) & (F.col("hits") >= MIN_PATTERN * F.col("n"))
-        ).select("pattern", F.col("low").alias("pattern_kind"), (F.col("hits") / F.col("n")).alias("trust"))
-        reached = edges.select("pattern", "value").join(good, "pattern").groupBy("value").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score"),
-            F.min("pattern_kind").alias("low"), F.max("pattern_kind").alias("high"),
-        ).filter((F.col("score") >= MIN_INSTANCE) & (F.col("low") == F.col("high")))
-        fresh = reached.select("value", F.col("low").alias("as_kind")).join(known, "value", "left_anti")
-        fresh = cut_lineage(fresh)
+        fresh = cut_lineage(reached.select("value", "as_kind").join(known, "value", "left_anti"))
         if fresh.isEmpty():
             break
         known = cut_lineage(known.unionByName(fresh))
