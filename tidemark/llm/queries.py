@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, lattice, lm, mixing, packing, pii, quality, sharding, simhash, warc
+from tidemark.llm import divergence, language, lattice, lm, mixing, packing, pii, quality, repair, sharding, simhash
+from tidemark.llm import urls, warc
 from tidemark.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,74 @@ def op10(docs: DataFrame) -> DataFrame:
     return language.predict(docs, langs, logs, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score"
     )
+
+
+#: The rules that op11 judges by.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@register(
+    "op11_urls", "pages",
+    """
+with rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+cut as (select row_number() over () as k, page_id,
+               case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (select k, page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+                 translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host
+          from cut),
+best as (select k, arg_max({'rule': h || p, 'verdict': v}, length(h) * 100000 + length(p)) as m
+         from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by k)
+select page_id, host, path, m.rule as rule, coalesce(m.verdict, 'allow') as verdict from parts left join best using (k)""",
+)
+def op11(pages: DataFrame) -> DataFrame:
+    rules = pages.sparkSession.createDataFrame(URL_RULES, urls.RULES)
+    return urls.judge(pages, rules, ["page_id"])
+
+
+@register("op12_repair", "conversations")
+def op12(rows: DataFrame) -> DataFrame:
+    return repair.repaired(repair.damaged(rows), rows)
+
+
+@register(
+    "op13_divergence", "documents",
+    r"""
+with d as (select row_number() over () as k, coalesce(text, '') as t, coalesce(lang, '') as lang,
+                  coalesce(source, '') as source from documents),
+tok as (select k, lang, source, unnest(regexp_extract_all(
+          translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from tok group by all having count(distinct k) >= 10),
+grp as (select lang, source, coalesce(v, 0) as v
+        from (select distinct lang, source from d) left join (select lang, count(*) as v from kept group by lang) using (lang)),
+c as (select lang, source, term, count(*) as n from tok semi join kept using (lang, term) group by all),
+gn as (select lang, source, sum(n) as total from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(n, 0) as n,
+             1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) as p
+      from grp g join kept k on k.lang = g.lang
+      left join gn on gn.lang = g.lang and gn.source = g.source
+      left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) as q
+      from c join (select lang, sum(n) as total from c group by lang) using (lang) join (select distinct lang, v from grp) using (lang)
+      group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s, 0) as value
+          from grp a join grp b on a.lang = b.lang and a.source <> b.source
+          left join (select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as s
+                     from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) z
+            on z.lang = a.lang and z.source = a.source and z.item = b.source),
+found as (select lang, source, 'pair' as part, item, value from pairs
+          union all
+          select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from p join q using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+where part = 'pair' or rank <= 10""",
+)
+def op13(docs: DataFrame) -> DataFrame:
+    return divergence.audit(docs)
