@@ -15,6 +15,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: The checksum folds over the bytes (hexadecimal ``h``) by a table that its polynomial gives.
+CRC_TABLE = """steps(i, k, c) as (
+  select i, 0, i from range(256) t(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+crc as (select list(c order by i) as t from steps where k = 8)"""
+CRC_OF_H = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h) // 2 + 1),
+                   lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint)),
+                 lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)])))"""
+
+
 def register(name: str, table: str, sql: str | None = None):
     def wrap(fn: Callable[[DataFrame], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(spark.read.parquet(f"{folder}/{table}.parquet"))
@@ -64,19 +75,12 @@ def op4(docs: DataFrame) -> DataFrame:
 
 @register(
     "op5_sharding", "documents",
-    # The checksum folds over the bytes by a table that its polynomial gives.
-    """
-with recursive steps(i, k, c) as (
-  select i, 0, i from range(256) t(i)
-  union all
-  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
-crc as (select list(c order by i) as t from steps where k = 8),
+    f"""
+with recursive {CRC_TABLE},
 d as (select doc_id, hex(encode(coalesce(text, ''))) as h, md5('17:' || coalesce(doc_id::varchar, '')) as o,
              coalesce('=' || source, '~') as k from documents),
 b as (select doc_id, o, k, length(h) // 2 + 1 as size,
-             xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(h) // 2 + 1),
-                   lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint)),
-                 lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)]))) as text_crc32 from d, crc),
+             {CRC_OF_H} as text_crc32 from d, crc),
 r as (select *, row_number() over (partition by k order by o, doc_id, size, text_crc32) - 1 as r,
              count(*) over (partition by k) as n, count(*) over () as total from b),
 g as (select *, row_number() over (order by (2 * r + 1)::double / (2 * n), k) - 1 as pos from r)
@@ -160,9 +164,64 @@ def op11(pages: DataFrame) -> DataFrame:
     return urls.judge(pages, rules, ["page_id"])
 
 
-@register("op12_repair", "conversations")
+def _plus(value: str, cost: str, edits: str) -> str:
+    """SQL for a cost of nine digits followed by its audit, with edits put before."""
+    return f"lpad((left({value}, 9)::int + {cost})::varchar, 9, '0') || '{edits}' || substr({value}, 10)"
+
+
+def _row_edits(state: int, added: int, kept: dict[str, int]) -> str:
+    """SQL for the best way to consume a row: NULL options are ignored by ``least``."""
+    keeps = " ".join(f"when '{i}' then {_plus(f'v{to}', 'cut', 'K')}" for i, to in kept.items())
+    change = f"case when not forced then {_plus(f'v{added}', '2 + cut', 'R')} end"
+    return f"least({_plus(f'v{state}', '3', 'D')}, {change}, case when not forced then case initial {keeps} end end) as r{state}"
+
+
+@register(
+    "op12_repair", "conversations",
+    # The lattice from its last row to its first: v0 to v3 are the best rest of each state.
+    rf"""
+with recursive {CRC_TABLE},
+d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+             hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as h from conversations),
+f as (select conv_id, turn, role, text, {CRC_OF_H} % 20 as fault from d, crc),
+x as (select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+             case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+             unnest(range(case when fault = 3 then 2 else 1 end)) from f where fault <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) as i
+      from x),
+g as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed, left(role, 1) as initial,
+             lag(left(role, 1)) over (partition by conv_id order by i) as before from o),
+c as (select *, trimmed = '' or again as forced,
+             case when trimmed <> '' and not again and right(trimmed, 1) not in ('.', '!', '?') then 1 else 0 end as cut from g),
+s as (
+  select conv_id, max(i) as i, '000000000' as v0, '000000004II' as v1, '000000002I' as v2, '000000000' as v3 from c group by conv_id
+  union all
+  select conv_id, i, least(r0, {_plus('r2', '2', 'I')}, {_plus('r3', '4', 'II')}),
+         least(r1, {_plus('r2', '2', 'I')}, {_plus('r3', '4', 'II')}), least(r2, {_plus('r3', '2', 'I')}), least(r3, {_plus('r2', '2', 'I')})
+  from (select s.conv_id, s.i - 1 as i, {_row_edits(0, 2, dict(s=1, u=2))}, {_row_edits(1, 2, dict(u=2))},
+               {_row_edits(2, 3, dict(a=3))}, {_row_edits(3, 2, dict(u=2))}
+        from s join c on c.conv_id is not distinct from s.conv_id and c.i = s.i)),
+best as (select conv_id, left(v0, 9)::bigint as cost, substr(v0, 10) as audit from s where i = 0),
+edits as (select conv_id, audit, p, substr(audit, p, 1) as e, p - length(replace(left(audit, p), 'I', '')) as added,
+                 length(replace(left(audit, p), 'D', '')) - 1 as place, length(replace(audit, 'D', '')) % 2 as odd
+          from (select *, unnest(range(1, length(audit) + 1)) as p from best)),
+lines as (select e.conv_id, p, case when e = 'K' then c.role when place % 2 = odd then 'user' else 'assistant' end
+                 || ':' || case when e = 'I' then '' else c.text end as line
+          from edits e left join c on c.conv_id is not distinct from e.conv_id and c.i = p - added and e <> 'I' where e <> 'D'),
+whole as (select conv_id, string_agg(line, chr(10) order by p) as w from lines group by conv_id),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+             count(*) filter (trimmed = '') as blank, count(*) filter (trimmed <> '' and again) as duplicate,
+             sum(cut) as truncated, count(*) filter (before || initial not in ('su', 'ua', 'au')) as illegal from c group by conv_id)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+       coalesce(audit, '') as audit, sha256(coalesce(w, '')) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join n on n.conv_id is not distinct from i.conv_id left join best b on b.conv_id is not distinct from i.conv_id
+left join whole on whole.conv_id is not distinct from i.conv_id""",
+)
 def op12(rows: DataFrame) -> DataFrame:
-    return repair.repaired(repair.damaged(rows), rows)
+    return repair.report(repair.damaged(rows), rows)
 
 
 @register(
