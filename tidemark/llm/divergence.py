@@ -138,11 +138,11 @@ def bitmaps(numbered: DataFrame) -> DataFrame:
     )
 
 
-def joint_cells(table: pa.Table) -> pa.Table:
+def joint_cells(table: pa.Table, width: int) -> pa.Table:
     """Per pair of groups of one block the sum over joint cells, with zeros taken out.
 
-    Rows are the bitset words of one or two tiles of groups; of two tiles only groups of
-    different ones are paired.
+    Rows are the bitset words of one or two tiles of ``width`` groups; of two tiles only
+    groups of different ones are paired.
     """
     gid, p = table.column("gid").to_numpy(), table.column("p").to_numpy()
     order = np.lexsort((p, gid))
@@ -155,7 +155,7 @@ def joint_cells(table: pa.Table) -> pa.Table:
     gid, p, p0 = gid[at], p[at], table.column("p0").to_numpy()[order][at]
     start = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    behind = int(np.searchsorted(gid, high * TILE))  # where the second tile starts
+    behind = int(np.searchsorted(gid, high * width))  # where the second tile starts
     lo, hi, value = [], [], []
     for s, e in zip(start, np.r_[start[1:], len(gid)]):
         first = int(e) if low == high else behind
@@ -191,7 +191,8 @@ def pair_values(maps: DataFrame, groups: DataFrame) -> DataFrame:
         maps.join(groups.select("lang", "source", "gid", "n_tiles", "total", "kept", "p0"), ["lang", "source"])
         .withColumn("p", p_of(F.col("count"), F.col("total"), F.col("kept")))
     )
-    tile = F.floor(F.col("gid") / TILE).cast("int")
+    width = TILE
+    tile = F.floor(F.col("gid") / width).cast("int")
     # Groups of one tile meet in its own cell; those of two tiles in a cell of both.
     met = rows.withColumn("tile", tile).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
     cells = met.select(
@@ -199,7 +200,7 @@ def pair_values(maps: DataFrame, groups: DataFrame) -> DataFrame:
         "gid", "p", "p0", "word", "bits",
     )
     joint = cells.groupBy("lang", "class", "slice", "low", "high").applyInArrow(
-        joint_cells, "lang string, gid long, hid long, joint long"
+        lambda table: joint_cells(table, width), "lang string, gid long, hid long, joint long"
     )
     joint = joint.groupBy("lang", "gid", "hid").agg(F.sum("joint").alias("joint"))
     both = joint.unionByName(joint.select("lang", F.col("hid").alias("gid"), F.col("gid").alias("hid"), "joint"))
