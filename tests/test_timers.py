@@ -125,27 +125,6 @@ def test_min_interval_against_plain_timers(spark):
     assert sorted((r["path"], r["run_at"] - BASE) for r in got.collect()) == plain_runs(rows, 60, 400)
 
 
-def test_stream_echoes(spark, tmp_path):
-    import time
-
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    for name, rows in (("w", [("x", 5), ("y", 2)]), ("c", [("x", 5), ("x", 6), ("y", 1), ("z", 1)])):
-        spark.createDataFrame(rows, "id string, seq long").write.parquet(f"{tmp_path}/{name}")
-    read = spark.readStream.schema("id string, seq long")
-    kept = feeds.stream_suppress_echoes(read.parquet(f"{tmp_path}/c"), read.parquet(f"{tmp_path}/w"))
-    q = kept.writeStream.format("memory").queryName("echo_kept").option("checkpointLocation", f"{tmp_path}/k").start()
-    try:
-        end = time.time() + 40
-        while time.time() < end and spark.table("echo_kept").count() < 2:
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert sorted(map(tuple, spark.table("echo_kept").collect())) == [("x", 6), ("z", 1)]
-
-
 def test_long_rename_chain(spark):
     rows = [(0, "p0", None, "modify")] + [(50 * i, f"p{i}", f"p{i - 1}", "rename") for i in range(1, 41)]
     assert fired(timers.debounce(events(spark, *rows), 200, "history", slices=4)) == [("p40", 2200)]
@@ -206,7 +185,48 @@ def test_retry_rows_leave_the_set(spark, tmp_path):
     for _ in range(3):
         state.compact()
     assert pending() == [] and state.docs().count() == 3
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["commits", "gen=2", "gen=3"]
+    # The newest commit and the one before stay, and the versions that they name.
+    assert sorted(p.name for p in (tmp_path / "commits").iterdir()) == ["no=2", "no=3"]
+    assert sorted(p.name for p in (tmp_path / "pending").iterdir()) == ["v=2", "v=3"]
+
+
+def test_pull_batch_opens_only_its_buckets(spark, tmp_path):
+    from tidemark.schemas import CHANGES, FILE_DOCS
+
+    def doc(i, n=1):
+        return (f"file:{i}", 2, [f"c{i}.{n}"], 1, 1, 1, False, {"x": n})
+
+    state = feeds.PullState(spark, str(tmp_path), buckets=16)
+    docs = spark.createDataFrame([(*doc(i), 1, 1) for i in range(400)], FILE_DOCS)
+    state.start(docs)
+    none = spark.createDataFrame([], "_id string")
+    chunks = spark.createDataFrame([(f"c7.{n}", b"1") for n in range(9)], "_id string, content binary")
+    first = state.head()["versions"]
+    one = spark.createDataFrame([("file:7", 5, False, doc(7, 2))], CHANGES)
+    wanted = one.select(F.col("id").alias("_id"))
+    opened = state.docs(wanted).inputFiles()
+    assert len({f.rsplit("/", 2)[1] for f in opened}) == 1 and len(set(first)) == 1
+    assert state.apply(one, 0, none, chunks, feed="file")
+    after = state.head()["versions"]
+    assert sum(a != b for a, b in zip(first, after)) == 1
+    got = {r["_id"]: r["chunks"] for r in state.docs().collect()}
+    assert len(got) == 400 and got["file:7"] == ["c7.2"] and got["file:8"] == ["c8.1"]
+    # The bucket's first version goes once two commits have passed it by.
+    for n in (3, 4):
+        again = spark.createDataFrame([("file:7", 5 + n, False, doc(7, n))], CHANGES)
+        assert state.apply(again, n, none, chunks, feed="file")
+    bucket = next(b for b, (x, y) in enumerate(zip(first, after)) if x != y)
+    assert not (tmp_path / "docs" / "v=0" / f"bucket={bucket}").exists()
+    assert state.docs(wanted).first()["chunks"] == ["c7.4"] and state.docs().count() == 400
+    with pytest.raises(RuntimeError, match="backwards"):
+        state.apply(one, 9, none, chunks, feed="file")
+    # Outgrown buckets are laid out anew.
+    before = sorted(map(str, state.docs().collect()))
+    state.buckets = 64
+    state.compact()
+    assert len(state.head()["versions"]) == 64 and sorted(map(str, state.docs().collect())) == before
+    assert state.apply(spark.createDataFrame([("file:9", 50, False, doc(9, 2))], CHANGES), 10, none, chunks)
+    assert state.docs().count() == 400 and [r["id"] for r in state.pending_apply().collect()] == ["file:9"]
 
 
 def test_text_sequences(spark):

@@ -9,7 +9,7 @@ from tidemark.functions import clocks
 from tidemark.operators import baselines, integrity, logs
 from tidemark.schemas import DAY_MS
 from tidemark.session import shared_dir
-from tidemark.sources import scan
+from tidemark.sources import feed, scan
 from tidemark.sources.store import DocStore
 
 NOW = 1704153600000  # 2024-01-02T00:00:00Z, inside the events table
@@ -46,6 +46,29 @@ def _(t):
     return rows.select("_id", "_local_seq", one).join(F.broadcast(cursor.select("*", one)), "k").drop("k")
 
 
+@query(
+    "A3_stream_changes",
+    """select _id, doc_id, size, _version, _local_seq from fx_stored_docs where _local_seq > 40
+       union all select _id, doc_id, size + 1, _version + 1, (select max(_local_seq) + 1 from fx_stored_docs)
+       from fx_stored_docs where doc_id % 10 = 5""",
+)
+def _(t):
+    # Drained, changed by a batch, and drained again from the checkpoint.
+    base = f"{shared_dir(t.spark).rstrip('/')}/tidemark/feed-{uuid.uuid4().hex}"
+    held = DocStore(t.spark, f"{base}/store")
+    none = t.spark.createDataFrame([], "_id string, content binary")
+    held.start(t.stored_docs, none)
+    columns = ["_id", "doc_id", "size", "_version", "_local_seq"]
+    edited = t.stored_docs.filter(F.col("doc_id") % 10 == 5).withColumn("expected_vclock", F.col("vclock"))
+    for again in (False, True):
+        if again:
+            held.apply(1, edited.withColumn("size", F.col("size") + 1), none)
+        feed.stream_changes(t.spark, f"{base}/store", 40, columns).writeStream.format("parquet").option(
+            "checkpointLocation", f"{base}/check"
+        ).trigger(availableNow=True).start(f"{base}/rows").awaitTermination()
+    return t.spark.read.parquet(f"{base}/rows").select(*columns)
+
+
 @query(
     "A4_bulk_get",
     "select _id, array_to_string(chunks, ',') as chunks from fx_stored_docs where not deleted and _id in (select id from fx_unpushed)",

@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.q_plans import PULL
+from tidemark.catalog.q_config import config_feed, config_pull_sql
+from tidemark.catalog.q_plans import CANDIDATES, PULL, pull_writes
 from tidemark.catalog.registry import query
 from tidemark.catalog.tables import Tables
 from tidemark.functions import clocks
@@ -113,6 +114,18 @@ def _(t):
     return feeds.suppress_echoes(t.changes, writes(t), 0)[0].select("id", "seq")
 
 
+@query(
+    "T2_stream_suppress_echoes",
+    f"with {LATEST} select c.id, c.seq from fx_changes c left join w using (id) where w.seq is null or c.seq > w.seq",
+)
+def _(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    fed = StreamTables(t.spark, t.folder)
+    changes = fed.changes.select("id", "seq", F.timestamp_millis((F.col("seq") - 1) * 1000).alias("ts"))
+    written = writes(fed).select("id", "seq", F.timestamp_millis("added_at").alias("ts"))
+    return run_to_table(feeds.stream_suppress_echoes(changes, written), t)
+
+
 @query(
     "T2_echo_records",
     """select _id as id, doc_id + 1 as seq, doc_id * 1000 as added_at from fx_stored_docs
@@ -126,6 +139,65 @@ def _(t):
     return feeds.suppress_echoes(seen, records, now, 150_000)[1]
 
 
+@query(
+    "P5_stream_candidates",
+    f"""with {CANDIDATES} select _id, origin from cand union all
+        select id, 'zombie' from fx_unpushed where id not in (select _id from fx_stored_docs)""",
+)
+def _(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    fed = StreamTables(t.spark, t.folder)
+    # One closing row an input, long after the last, moves the watermark past every wait.
+    last = t.source("documents").agg(F.max("doc_id")).first()[0]
+    end = stream(t, "documents").filter(F.col("doc_id") == last).select(
+        F.lit("closing").alias("id"), F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("queued"),
+        F.timestamp_millis(F.lit(4 * 10**12)).alias("ts"),
+    )
+    docs = fed.stored_docs.select("_id", "_local_seq", F.timestamp_millis(F.col("_local_seq") * 1000).alias("ts"))
+    written = pull_writes(fed).select("id", "seq", F.timestamp_millis(F.col("seq") * 1000).alias("ts"))
+    queue = fed.unpushed.select("id", F.lit(True).alias("queued"), F.timestamp_millis("added_at").alias("ts"))
+    return run_to_table(
+        feeds.stream_push_candidates(
+            docs.unionByName(end.select(F.col("id").alias("_id"), F.col("seq").alias("_local_seq"), "ts")),
+            written.unionByName(end.select("id", "seq", "ts")), queue.unionByName(end.select("id", "queued", "ts")), 20,
+        ),
+        t,
+    )
+
+
+@query(
+    "P25_stream_recreated",
+    f"""with outcomes as ({config_pull_sql(True)}),
+          taken as (select d._id, d.chunks, d.size, d.deleted from fx_config_docs d join outcomes using (_id)
+                    where side = 'r' and outcome in ('take-remote', 'silent-merge'))
+        select _id, array_to_string(chunks, ',') as chunks, size, deleted, cast(1 as bigint) as epoch from (
+          select * from taken
+          union all select _id, chunks, size, deleted from fx_config_docs where side = 'l' and _id not in (select _id from taken))""",
+)
+def _(t):
+    # The remote knew what is here; then it was made anew, and its sequences start over.
+    base = folder(t)
+    body = F.struct(*t.spark.createDataFrame([], config_feed(t).schema["doc"].dataType).columns)
+    known = t.config_local.withColumn("ctime", F.lit(0).cast("bigint")).select(
+        F.col("_id").alias("id"), (F.col("k") + 10_000_000).alias("seq"), F.lit(False).alias("deleted"), body.alias("doc")
+    )
+    known.write.parquet(f"{base}/remote/0")
+    config_feed(t).write.parquet(f"{base}/anew/0")
+    schema = config_feed(t).schema
+
+    def feed(epoch):
+        return t.spark.readStream.schema(schema).parquet(f"{base}/{'anew' if epoch else 'remote'}/*")
+
+    state = feeds.PullState(t.spark, f"{base}/state")
+    state.start(t.config_local.select("_id", "vclock", "chunks", "size", "mtime", "deleted"))
+    feeds.stream_config_pull(feed, state, f"{base}/check")
+    config_feed(t).filter(F.col("seq") % 5 == 0).write.parquet(f"{base}/remote/1")
+    epoch = feeds.stream_config_pull(feed, state, f"{base}/check")
+    return state.docs().select(
+        "_id", F.array_join("chunks", ",").alias("chunks"), "size", "deleted", F.lit(epoch).cast("bigint").alias("epoch")
+    )
+
+
 FIRINGS = f"""
 steps as (select epoch_us(ts) // 1000 as at_, 'notes/u' || user_id || '.md' as path,
             case event_type when 'error' then 'cancel' else 'arm' end as what from events),

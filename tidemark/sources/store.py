@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidemark.operators.skew import broadcast_if_small
 from tidemark.sources.scan import apply_batch
 
-COMMITS = T.StructType().add("part", "long")
+COMMITS = T.StructType().add("part", "long").add("seq", "long")
 
 
 class DocStore:
@@ -18,7 +18,8 @@ class DocStore:
     A batch writes its own parts first and one row of ``commits`` last; readers
     follow committed parts only, so a batch is seen whole or not at all, and a batch
     number that was committed before is a no-op.  A batch writes what it changes, not
-    the store: docs it wrote or removed, and chunks that were absent.
+    the store: docs it wrote or removed, and chunks that were absent.  A commit row also
+    holds the largest ``_local_seq`` so far, which the change feed reads on from.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -40,9 +41,12 @@ class DocStore:
     def _commit(self, part: int, **tables: DataFrame) -> None:
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/part={part}")
-        self.spark.range(1).select(F.lit(part).cast("long").alias("part")).coalesce(1).write.mode("append").parquet(
-            f"{self.folder}/commits"
-        )
+        written = self.spark.read.schema("_local_seq long").parquet(f"{self.folder}/docs/part={part}")
+        newest = written.agg(F.coalesce(F.max("_local_seq"), F.lit(0))).first()[0]
+        before = 0 if part == 0 else self._read("commits", COMMITS).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        self.spark.range(1).select(
+            F.lit(part).cast("long").alias("part"), F.lit(max(newest, before)).cast("long").alias("seq")
+        ).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def start(self, docs: DataFrame, chunks: DataFrame) -> None:
         """The first content; no-op when the store has any."""
@@ -51,7 +55,7 @@ class DocStore:
             self._commit(0, docs=docs.select("*", alive), chunks=chunks.select("_id", "content", alive))
 
     def _parts(self, name: str) -> DataFrame:
-        done = self._read("commits", COMMITS).distinct()
+        done = self._read("commits", COMMITS).select("part").distinct()
         return self._read(name).withColumn("part", F.col("part").cast("long")).join(done, "part", "left_semi")
 
     def docs(self) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,234 +14,15 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemark.functions import ids
 from tidemark.operators.skew import previous_row
-from tidemark.plans.pull import (
-    only_ids, pending_apply_rows, pending_apply_step, pending_conflicts_review, pull_plan,
-)
-from tidemark.schemas import CLOCK, CONFIG_SCHEMA_VERSION, ECHO_TTL_MS, FILE_SCHEMA_VERSION, IDS
+from tidemark.schemas import ECHO_TTL_MS
 from tidemark.session import cut_lineage
+from tidemark.streaming.state import PullState, SchemaMismatch, check_schema, check_sequence
 
-DOCS = T.StructType(
-    [
-        T.StructField("_id", T.StringType()),
-        T.StructField("vclock", CLOCK),
-        T.StructField("chunks", IDS),
-        T.StructField("size", T.LongType()),
-        T.StructField("mtime", T.LongType()),
-        T.StructField("deleted", T.BooleanType()),
-    ]
-)
-PENDING = T.StructType().add("id", "string").add("reason", "string").add("attempts", "integer")
-CONFLICT = T.StructType().add("id", "string").add("kind", "string")
-COMMITS = T.StructType(
-    [
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("last_seq", T.LongType()),
-        T.StructField("generation", T.LongType()),
-        T.StructField("committed_at", T.LongType()),
-    ]
-)
-
-
-class PullState:
-    """Docs, retry rows and cursor of a continuous pull, visible together.
-
-    Every batch writes its own part directories first and one row of the small
-    ``commits`` table last.  Readers only follow committed batches, so a batch
-    is seen whole or not at all, and a replayed batch id is a no-op.  A batch
-    writes only the docs it accepts; :meth:`compact` folds them into a new base.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self.folder = folder.rstrip("/")
-
-    def _path(self, generation: int, name: str, batch_id: int) -> str:
-        return f"{self.folder}/gen={generation}/{name}/batch={batch_id}"
-
-    def commits(self) -> DataFrame:
-        """Committed batches; an empty table before the first commit."""
-        seed = self.spark.createDataFrame([], COMMITS)
-        path = f"{self.folder}/commits"
-        try:
-            return self.spark.read.schema(COMMITS).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return seed
-            raise
-
-    def head(self):
-        """Newest commit of the newest generation, or None."""
-        return self.commits().orderBy(F.desc("generation"), F.desc("batch_id")).first()
-
-    def _commit(self, batch_id: int, last_seq: int, generation: int) -> None:
-        row = self.spark.range(1).select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(last_seq).cast("bigint").alias("last_seq"),
-            F.lit(generation).cast("bigint").alias("generation"),
-            F.unix_millis(F.current_timestamp()).alias("committed_at"),
-        )
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
-
-    def start(self, docs: DataFrame, last_seq: int = 0) -> None:
-        """Seed an empty state with the docs held so far; no-op when seeded."""
-        if self.head() is not None:
-            return
-        docs.select([F.col(f.name).cast(f.dataType) for f in DOCS]).write.mode("overwrite").parquet(
-            self._path(0, "docs", -1)
-        )
-        self._commit(-1, last_seq, 0)
-
-    def _parts(self, name: str, schema: T.StructType) -> DataFrame:
-        """Rows of the committed batches of the newest generation, with ``batch``."""
-        top = self.head()
-        empty = self.spark.createDataFrame([], schema.add("batch", T.LongType()))
-        if top is None:
-            return empty
-        path = f"{self.folder}/gen={top['generation']}/{name}"
-        done = self.commits().filter(F.col("generation") == top["generation"]).select(
-            F.col("batch_id").alias("batch")
-        )
-        try:
-            rows = self.spark.read.schema(schema.add("batch", T.LongType())).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return empty
-            raise
-        return rows.join(done.distinct(), "batch", "left_semi")
-
-    def docs(self, wanted: DataFrame | None = None) -> DataFrame:
-        """Current docs: latest committed version per id (of ``wanted`` ids)."""
-        rows = self._parts("docs", T.StructType(list(DOCS.fields)))
-        if wanted is not None:
-            rows = only_ids(rows, wanted)
-        body = F.struct(*[f.name for f in DOCS if f.name != "_id"])
-        return rows.groupBy("_id").agg(F.max_by(body, "batch").alias("d")).select("_id", "d.*")
-
-    def _latest(self, name: str, schema: T.StructType) -> DataFrame:
-        """Newest row per id; one whose second column is NULL took the id out."""
-        first = schema.fields[1].name
-        body = F.struct(*[f.name for f in schema.fields[1:]])
-        rows = self._parts(name, T.StructType(list(schema.fields)))
-        return rows.groupBy("id").agg(F.max_by(body, "batch").alias("r")).select("id", "r.*").filter(
-            F.col(first).isNotNull()
-        )
-
-    def pending_apply(self) -> DataFrame:
-        return self._latest("pending_apply", PENDING)
-
-    def pending_conflict(self) -> DataFrame:
-        return self._latest("pending_conflict", CONFLICT)
-
-    def _retried(self, plan: DataFrame, accepted: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Rows of the apply set after this batch: its own, one more try of the others,
-        and removals of what was applied, is moot or was replaced."""
-        before = self.pending_apply()
-        own = pending_apply_rows(plan, chunks)
-        touched = plan.select(F.col("_id").alias("id"))
-        others = before.join(touched, "id", "left_anti")
-        tried = pending_apply_step(others, self.docs(others.select(F.col("id").alias("_id"))), chunks).select(
-            "id", F.when(F.col("outcome") == "retry", F.col("reason")).alias("reason"), "attempts"
-        )
-        replaced = before.join(accepted.select(F.col("_id").alias("id")), "id", "left_semi").join(
-            own.select("id"), "id", "left_anti"
-        )
-        # A changed id whose new version was not taken keeps its old row as it is.
-        return own.unionByName(tried).unionByName(
-            replaced.select("id", F.lit(None).cast("string").alias("reason"), "attempts")
-        )
-
-    def _reviewed(self, plan: DataFrame, remote: DataFrame | None) -> DataFrame:
-        """Rows of the conflict set after this batch; a changed id is judged anew."""
-        found = plan.filter(F.col("pending_kind").isNotNull()).select(
-            F.col("_id").alias("id"), F.col("pending_kind").alias("kind")
-        )
-        gone = F.lit(None).cast("string").alias("kind")
-        before = self.pending_conflict()
-        touched = plan.select(F.col("_id").alias("id"))
-        settled = before.join(touched, "id", "left_semi").join(found.select("id"), "id", "left_anti")
-        rows = found.unionByName(settled.select("id", gone))
-        if remote is None:
-            return rows
-        others = before.join(touched, "id", "left_anti")
-        local = self.docs(others.select(F.col("id").alias("_id")))
-        dropped = pending_conflicts_review(others, local, remote).filter("decision = 'drop'")
-        return rows.unionByName(dropped.select("id", gone))
-
-    def apply(
-        self,
-        changes: DataFrame,
-        batch_id: int,
-        unpushed_ids: DataFrame,
-        chunks: DataFrame,
-        remote: DataFrame | None = None,
-    ) -> bool:
-        """Plan and commit one batch of changes; False when it was done before.
-
-        A file or settings doc of another schema version stops the batch before
-        anything is written.  Both retry sets are worked through: what this batch
-        makes complete or moot leaves them.
-        """
-        check_schema(changes)
-        top = self.head()
-        if top is not None and batch_id <= top["batch_id"]:
-            return False
-        generation = top["generation"] if top is not None else 0
-        local = self.docs(changes.select(F.col("id").alias("_id")))
-        plan = cut_lineage(pull_plan(changes, local, unpushed_ids))
-        accepted = plan.filter("accepted").select([F.col(f.name).cast(f.dataType) for f in DOCS])
-        accepted.write.mode("overwrite").parquet(self._path(generation, "docs", batch_id))
-        self._retried(plan, accepted, chunks).write.mode("overwrite").parquet(
-            self._path(generation, "pending_apply", batch_id)
-        )
-        self._reviewed(plan, remote).write.mode("overwrite").parquet(
-            self._path(generation, "pending_conflict", batch_id)
-        )
-        since = top["last_seq"] if top is not None else 0
-        last = plan.agg(F.coalesce(F.max("seq"), F.lit(since))).first()[0]
-        self._commit(batch_id, last, generation)
-        return True
-
-    def compact(self) -> None:
-        """Fold all committed batches into the base of a new generation.
-
-        The generation before stays for readers that hold it; older ones go.
-        """
-        top = self.head()
-        if top is None:
-            return
-        nxt = top["generation"] + 1
-        self.docs().write.mode("overwrite").parquet(self._path(nxt, "docs", top["batch_id"]))
-        self.pending_apply().write.mode("overwrite").parquet(
-            self._path(nxt, "pending_apply", top["batch_id"])
-        )
-        self.pending_conflict().write.mode("overwrite").parquet(
-            self._path(nxt, "pending_conflict", top["batch_id"])
-        )
-        self._commit(top["batch_id"], top["last_seq"], nxt)
-        self._remove(f"{self.folder}/gen={nxt - 2}")
-
-    def _remove(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-class SchemaMismatch(RuntimeError):
-    """A change carries a document of a schema version this code does not know."""
-
-
-def check_schema(changes: DataFrame) -> None:
-    """Raises :class:`SchemaMismatch` on a wrong version among file and settings docs."""
-    doc = changes.schema["doc"].dataType if "doc" in changes.columns else None
-    if doc is None or "schema_version" not in doc.names:
-        return
-    version = F.when(ids.is_config("id"), CONFIG_SCHEMA_VERSION).when(ids.is_file("id"), FILE_SCHEMA_VERSION)
-    wrong = changes.filter(
-        F.col("doc").isNotNull() & ~F.col("deleted") & version.isNotNull()
-        & ~F.col("doc.schema_version").eqNullSafe(version)
-    ).select("id").first()
-    if wrong is not None:
-        raise SchemaMismatch(f"unknown schema version of {wrong['id']}")
-
+__all__ = [
+    "EchoFilter", "PullState", "PushQueue", "SchemaMismatch", "check_schema", "check_sequence", "detect_recreate",
+    "feed_lag", "stream_config_pull", "stream_logs", "stream_pull", "stream_push_candidates", "stream_suppress_echoes",
+    "suppress_echoes",
+]
 
 def _now(table):
     """A table, or what a callable gives when it is asked."""
@@ -258,18 +40,13 @@ def stream_pull(
 ) -> StreamingQuery:
     """Continuous pull of a change stream into ``state``.
 
-    Side tables are read per batch; give callables where their files change.  A sequence that runs backwards means the remote was recreated: the file
-    feed fails (see :func:`check_sequence`).
+    Side tables are read per batch; give callables where their files change.  A sequence
+    that runs backwards means the remote was recreated: the file feed fails (see
+    :func:`check_sequence`).
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
-        top = state.head()
-        if top is not None and batch_id > top["batch_id"]:
-            newest = batch.agg(F.max("seq")).first()[0]
-            if newest is not None:
-                check_sequence(newest, top["last_seq"], "file")
-        state.apply(batch, batch_id, _now(unpushed_ids), _now(chunks), _now(remote))
+        state.apply(cut_lineage(batch), batch_id, _now(unpushed_ids), _now(chunks), _now(remote), "file")
 
     return (
         changes.writeStream.foreachBatch(each)
@@ -279,13 +56,36 @@ def stream_pull(
     )
 
 
-def check_sequence(last_seq: int, cursor: int, feed: str, resets: int = 0) -> str:
-    """``ok``, or ``reset`` (settings feed, once); otherwise the feed fails."""
-    if last_seq >= cursor:
-        return "ok"
-    if feed == "config" and resets == 0:
-        return "reset"
-    raise RuntimeError(f"{feed} feed ran backwards: {last_seq} after {cursor}")
+def stream_config_pull(
+    feed: Callable[[int], DataFrame], state: PullState, checkpoint: str, trigger: dict | None = None
+) -> int:
+    """Pull of a settings feed that starts itself anew, once, when the remote was recreated.
+
+    ``feed(epoch)`` is the remote's change stream from sequence 0.  When a sequence runs
+    backwards, the state commits a new epoch with the cursor at 0, the stream ends, and a new
+    one with a checkpoint of its own reads the feed from the start; up to the sequence that
+    gave the recreation away the remote has authority over local clocks.  Running backwards
+    in the new epoch fails the job.  Runs until the trigger ends it, resumes in the epoch
+    the state is in, and returns that epoch.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        state.apply_config(cut_lineage(batch), batch_id)
+
+    while True:
+        epoch = state.epoch()
+        query = (
+            feed(epoch).writeStream.foreachBatch(each)
+            .option("checkpointLocation", f"{checkpoint.rstrip('/')}/epoch={epoch}")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+        try:
+            query.awaitTermination()
+            return epoch
+        except StreamingQueryException:
+            if state.epoch() == epoch:
+                raise
 
 
 def _number(df: DataFrame, column: str):
@@ -328,23 +128,36 @@ def suppress_echoes(
     return kept, left
 
 
+def _fed(rows: DataFrame, delay: str, **columns) -> DataFrame:
+    """One input of a keyed job: its event time marked, then its columns, ``at`` in ms."""
+    marked = rows.withWatermark("ts", delay)
+    return marked.select(*[c.alias(n) for n, c in columns.items()], F.unix_millis("ts").alias("at"), "ts")
+
+
 class EchoFilter(StatefulProcessor):
-    """Per id: the newest pull write, forgotten once seen or after the TTL."""
+    """Per id: the newest pull write, forgotten once seen or when its time is over."""
 
     def __init__(self, ttl_ms: int = ECHO_TTL_MS):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.written = handle.getValueState("written", "seq bigint", self.ttl_ms)
+        self.handle = handle
+        self.written = handle.getValueState("written", "seq bigint, at bigint")
+
+    def _forget(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.written.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq = self.written.get()[0] if self.written.exists() else None
+        seq, at = self.written.get() if self.written.exists() else (None, None)
+        before = at
         seen = False
         frames = list(rows)  # one id's rows of one batch; a write may follow its echo
         for frame in frames:
-            writes = frame[frame["is_write"]]
-            if len(writes):
-                seq = int(writes["seq"].max()) if seq is None else max(seq, int(writes["seq"].max()))
+            writes = frame[frame["is_write"]].sort_values(["at", "seq"])
+            if len(writes) and (at is None or writes["at"].iloc[-1] >= at):
+                seq, at = int(writes["seq"].iloc[-1]), int(writes["at"].iloc[-1])
         for frame in frames:
             changes = frame[~frame["is_write"]]
             seen = seen or len(changes) > 0
@@ -353,27 +166,118 @@ class EchoFilter(StatefulProcessor):
             if len(changes):
                 yield changes[["id", "seq"]]
         if seen:
-            self.written.clear()
-        elif seq is not None:
-            self.written.update((seq,))
+            self._forget()
+        elif at != before:
+            self._forget()
+            self.written.update((seq, at))
+            self.handle.registerTimer(at + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.written.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def stream_suppress_echoes(
-    changes: DataFrame, pull_writes: DataFrame, ttl_ms: int = ECHO_TTL_MS
+    changes: DataFrame, pull_writes: DataFrame, ttl_ms: int = ECHO_TTL_MS, delay: str = "10 seconds"
 ) -> DataFrame:
-    """Streaming :func:`suppress_echoes`; both inputs are streams of ``id, seq``.
-    A write and its echo in one micro-batch are matched as well."""
-    both = pull_writes.select("id", "seq", F.lit(True).alias("is_write")).unionAll(
-        changes.select("id", "seq", F.lit(False).alias("is_write"))
+    """Streaming :func:`suppress_echoes`; both inputs are streams of ``id, seq, ts``.
+
+    A write and its echo in one micro-batch are matched as well.  Records expire by event
+    time: once the watermark, which follows the slower of the two inputs, is ``ttl_ms``
+    past the write.  ``ts`` is when a row entered its log; Spark drops rows that come more
+    than ``delay`` behind the watermark.
+    """
+    both = _fed(pull_writes, delay, id=F.col("id"), seq=F.col("seq"), is_write=F.lit(True)).unionByName(
+        _fed(changes, delay, id=F.col("id"), seq=F.col("seq"), is_write=F.lit(False))
     )
     return both.groupBy("id").transformWithStateInPandas(
         statefulProcessor=EchoFilter(ttl_ms),
         outputStructType=T.StructType().add("id", "string").add("seq", "long"),
         outputMode="append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
+    )
+
+
+class PushQueue(StatefulProcessor):
+    """Per id: its doc, the newest pull write, and whether it waits to be pushed again."""
+
+    def __init__(self, since: int, wait_ms: int):
+        self.since, self.wait = since, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(
+            "push", "seq bigint, alive boolean, written bigint, queued_at bigint, judge_at bigint"
+        )
+
+    def _judge(self, at: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seq, alive, written, queued_at, judge_at = self.state.get() if self.state.exists() else (None, False, None, None, None)
+        newest, due = seq, judge_at
+        for frame in rows:
+            docs = frame[frame["what"] == "doc"]
+            if len(docs) and (newest is None or docs["seq"].max() > newest):
+                row = docs.loc[docs["seq"].idxmax()]
+                newest, alive = int(row["seq"]), bool(row["flag"])
+            writes = frame[frame["what"] == "write"]
+            if len(writes):
+                written = max(int(writes["seq"].max()), -1 if written is None else written)
+            queue = frame[frame["what"] == "queue"].sort_values(["at", "flag"], ascending=[True, False])
+            if len(queue) and (queued_at is None or queue["at"].iloc[-1] >= abs(queued_at)):
+                # Leaving is kept as a negative time, so that an older entry can't undo it.
+                at, enters = int(queue["at"].iloc[-1]), bool(queue["flag"].iloc[-1])
+                queued_at, judge_at = (at, at + self.wait) if enters else (-at, None)
+        changed = newest is not None and newest != seq and newest > self.since
+        if changed and alive and (written is None or newest > written):
+            judge_at = None  # this push is the queued id's next try as well
+            yield pd.DataFrame({"_id": [key[0]], "origin": ["change"]})
+        if judge_at != due:
+            self._judge(judge_at)
+        self.state.update((newest, alive, written, queued_at, judge_at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seq, alive, written, queued_at, _ = self.state.get()
+        if not alive:
+            queued_at = -abs(queued_at)
+        self.state.update((seq, alive, written, queued_at, None))
+        yield pd.DataFrame({"_id": [key[0]], "origin": ["retry" if alive else "zombie"]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_push_candidates(
+    docs: DataFrame, pull_writes: DataFrame, queue: DataFrame, since: int = 0, wait_ms: int = 1000, delay: str = "10 seconds"
+) -> DataFrame:
+    """Streaming ``push_candidates``: ``(_id, origin)`` with origin change, retry or zombie.
+
+    ``docs`` (``_id, _local_seq, ts``, optional ``_deleted``) is the local feed,
+    ``pull_writes`` has ``id, seq, ts``, and ``queue`` (``id, queued, ts``) tells which ids
+    enter or leave the set of ids still to be pushed.  A changed doc that no pull wrote goes
+    out at once.  A queued id is judged ``wait_ms`` after it was queued, by event time: again
+    if its doc is there and did not go out meanwhile, else it is a zombie and leaves the set.
+    A try that fails is queued anew.
+    """
+    removed = F.coalesce(F.col("_deleted"), F.lit(False)) if "_deleted" in docs.columns else F.lit(False)
+    fed = [
+        _fed(docs.withColumnRenamed("_id", "id"), delay, id=F.col("id"), what=F.lit("doc"), seq=F.col("_local_seq"),
+             flag=~removed & ids.is_replicated("id")),
+        _fed(pull_writes, delay, id=F.col("id"), what=F.lit("write"), seq=F.col("seq"), flag=F.lit(True)),
+        _fed(queue, delay, id=F.col("id"), what=F.lit("queue"), seq=F.lit(0).cast("bigint"), flag=F.col("queued")),
+    ]
+    return fed[0].unionByName(fed[1]).unionByName(fed[2]).groupBy("id").transformWithStateInPandas(
+        statefulProcessor=PushQueue(since, wait_ms),
+        outputStructType=T.StructType().add("_id", "string").add("origin", "string"),
+        outputMode="append",
+        timeMode="EventTime",
     )
 
 
