@@ -6,6 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 
 from tests.llm import brute
+from tests.llm.test_llm_copies import near_copies
 from tidemark.llm import language
 
 
@@ -16,10 +17,8 @@ def plain(name, rows, columns):
     if name == "language":
         return Counter(p for p in pairs if any(c.isalpha() for c in p[1] or ""))
     if name == "simhash":
-        prints = [brute.fingerprint(t) for _, t in pairs]
-        near = [(i, j) for i in range(len(pairs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
         best = {}
-        for g, p in zip(brute.groups(len(pairs), near), pairs):
+        for p, g in zip(pairs, near_copies(pairs)):
             best[g] = min(best.get(g, p), p, key=lambda x: x[0])
         return Counter(best.values())
     return Counter((i, brute.redact(t)) for i, t in pairs)
@@ -70,5 +69,5 @@ def test_empty(spark, empty, folder, tmp_path):
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and language.UNKNOWN == "und"

@@ -164,6 +164,7 @@ def with_language(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFr
     rows = wrapped(docs)
     if not langs:
         return unwrapped(_with_letters(rows), docs.columns)
-    found = predict(rows, langs, logs, ["doc_id", "text", "_rest"]).filter(F.col("lang_pred") != UNKNOWN)
+    # A text without a letter has no language set; ``und`` may as well be a learned label.
+    found = predict(rows, langs, logs, ["doc_id", "text", "_rest"]).filter(F.size("lang_set") > 0)
     lang = {"lang": F.coalesce(F.col("_rest")["lang"], F.col("lang_pred"))} if "lang" in docs.columns else {}
     return unwrapped(found, docs.columns, **lang)

@@ -55,9 +55,25 @@ def _encoder(vocabulary: str):
     )
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str):
+    """The same vocabulary's ``tokenizers`` file."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
 def encode(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a whole text and the end id, as unsigned 32-bit numbers."""
-    ids = _encoder(vocabulary).encode(text or "", allowed_special="all")
+    """Ids of a whole text and the end id, as unsigned 32-bit numbers.
+
+    The encoder's pattern gives up on some very long runs of white space; such a text is
+    encoded by the slower tokenizer, which has no such limit.
+    """
+    try:
+        ids = _encoder(vocabulary).encode(text or "", allowed_special="all")
+    except ValueError:
+        ids = _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
     return np.array([*ids, END_ID], "<u4")
 
 
