@@ -1,11 +1,15 @@
 """Reconcile, ingest, deletes, renames and baselines."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.catalog.tables import CHUNK_BYTES, DEVICE, PREVIOUS_DEVICES
 from tidemark.functions import clocks, ids
-from tidemark.plans import reconcile
+from tidemark.plans import apply, reconcile
+from tidemark.session import shared_dir
+from tidemark.sources.store import DocStore
 
 
 def text(name):
@@ -23,10 +27,9 @@ def _(t):
     return reconcile.path_collisions(t.case_disk, t.case_docs, t.baselines, chunk_bytes=CHUNK_BYTES)
 
 
-@query(
-    "P10_ingest_files",
-    """with s as (select p.*, case when p.size / 1048576.0 > 0.015 then 'skipped'
-                    when regexp_matches(path, 'notes|NOTES') and not regexp_matches(path, '7[.]md') then 'in' else 'out' end as scope from fx_disk_prints p),
+def ingested(scope):
+    """SQL of the outcome of every file, given the SQL of its scope."""
+    return f"""s as (select p.*, {scope} as scope from fx_disk_prints p),
        j as (select s.*, d._id as doc, d.chunks as dchunks, d.deleted as dead, r.rel as brel,
                     b.path_key is not null as based, coalesce(b.deleted, false) as bdead, b.chunks is null or b.size is null as legacy,
                     coalesce(not b.deleted and b.size = s.size and b.chunks = s.own, false) as explained,
@@ -37,10 +40,19 @@ def _(t):
                     when brel = 'dominated' and legacy then 'hold' when brel = 'dominated' then 'hold' else 'go' end as verdict from j),
        o as (select *, case when scope = 'skipped' then 'skipped' when scope = 'out' then 'out-of-scope'
                     when doc is not null and not dead and dchunks = own then 'unchanged' when doc is null then 'written'
-                    when verdict = 'hold' then 'held' else 'written' end as outcome from rel)
+                    when verdict = 'hold' then 'held' else 'written' end as outcome from rel)"""
+
+
+SCOPE = """case when p.size / 1048576.0 > 0.015 then 'skipped'
+                    when regexp_matches(path, 'notes|NOTES') and not regexp_matches(path, '7[.]md') then 'in' else 'out' end"""
+
+
+@query(
+    "P10_ingest_files",
+    f"""with {ingested(SCOPE)}
        select path, outcome, case when outcome = 'written' then array_to_string(own, ',') end as chunks,
               case when outcome = 'written' then size end as size,
-              case when outcome = 'written' then coalesce(b.vc, '{dev-a:1}') end as vclock
+              case when outcome = 'written' then coalesce(b.vc, '{{dev-a:1}}') end as vclock
        from o left join fx_local_bump b on b._id = o.doc""",
 )
 def _(t):
@@ -51,16 +63,15 @@ def _(t):
 
 @query(
     "P10_ingest_chunks",
-    """select distinct p.chunk_id as _id, octet_length(p.piece) as bytes from fx_pieces p
-       where p.doc_id % 10 <> 3 and p.doc_id % 13 <> 0 and p.doc_id % 9 <> 0
-         and (p.doc_id % 7 = 0 or p.doc_id % 17 = 0)""",
+    f"""with {ingested("'in'")}
+       select distinct 'chunk:s256:' || sha256(content[i * 1024 + 1 : i * 1024 + 1024]) as _id,
+              octet_length(content[i * 1024 + 1 : i * 1024 + 1024]) as bytes
+       from fx_disk d, lateral (select unnest(range(0, greatest(1, (octet_length(d.content) + 1023) // 1024))) as i) t
+       where path in (select path from o where outcome = 'written')""",
 )
 def _(t):
-    # Unedited files with no doc of their exact path are written, all others not.
-    d = F.col("doc_id")
-    disk = t._disk.filter(d % 9 != 0).drop("doc_id")
-    made = reconcile.ingest_files(disk, t.local_docs, t.baselines, DEVICE, chunk_bytes=CHUNK_BYTES)
-    return reconcile.ingest_chunks(disk, made, CHUNK_BYTES).select(
+    made = reconcile.ingest_files(t.disk, t.local_docs, t.baselines, DEVICE, chunk_bytes=CHUNK_BYTES)
+    return reconcile.ingest_chunks(t.disk, made, CHUNK_BYTES).select(
         "_id", F.octet_length("content").cast("bigint").alias("bytes")
     )
 
@@ -110,6 +121,115 @@ def _(t):
     return plan(t, local_chunks=t.local_chunks, remote_chunks=t.remote_chunks)
 
 
+def clock_sql(rows, key):
+    """SQL of one clock text per key from ``(key, dev, n)`` rows."""
+    return f"""select {key}, '{{' || string_agg(dev || ':' || n, ',' order by dev) || '}}' as vc
+               from (select {key}, dev, sum(n)::bigint as n from ({rows}) group by 1, 2) group by 1"""
+
+
+ALL_CLOCKS = "select * from fx_case_vc where _id in (select _id from fx_case_docs)"
+
+APPLIED = f"""
+cvc as ({clock_sql(ALL_CLOCKS, "_id")}),
+cbump as ({clock_sql(ALL_CLOCKS + " union all select _id, 'dev-a', 1 from fx_case_docs", "_id")}),
+bvc as ({clock_sql("select * from fx_baselines_vc where path_key in (select path_key from fx_baselines)", "path_key")}),
+pushed as (select p.path_key, p.path, pr.own, pr.size, pr.mtime, coalesce(b.vc, '{{dev-a:1}}') as vc
+           from fx_plan p join fx_case_prints pr using (path) left join cbump b on b._id = 'file:' || p.path where p.action = 'push'),
+buried as (select p.path_key, r._id, b.vc from fx_plan p join fx_base_rel r on r._id = 'file:' || p.path and r.rel <> 'dominated'
+           join fx_baselines x on x.path_key = p.path_key join cbump b on b._id = r._id where p.action = 'delete'),
+dropped as (select b._id, b.vc from fx_plan join cbump b on b._id = 'file:' || path where action in ('dedup-file', 'tombstone')),
+tombs as (select _id, vc from buried union all select * from dropped),
+taken as (select p.path, d.size, d.mtime from fx_plan p join fx_case_docs d on d._id = p.doc
+          where action in ('restore', 'pull', 'collision-restore')),
+est as (select p.path_key, d._id, d.chunks, d.size, d.deleted as dead, v.vc as dvc,
+               case when action in ('restore', 'pull') or pr.path is null then d.mtime when pr.size = d.size then pr.mtime end as mt
+        from fx_plan p join fx_case_docs d on d._id = coalesce(p.doc, 'file:' || p.path) left join cvc v on v._id = d._id
+        left join fx_case_prints pr on pr.path = p.path
+        where action in ('restore', 'pull', 'vclock-adopt', 'delete-apply', 'baseline-align', 'collision-resolved')),
+al as (select o.path_key, o.doc as _id, dchunks as chunks, dsize as size, v.vc as dvc, case when fsize = dsize then fmtime end as mt
+       from fx_plan p join fx_occupants o using (path_key) left join cvc v on v._id = o.doc where p.action = 'align'),
+based as (select b.path_key, b.chunks, b.size, b.mtime, coalesce(b.deleted, false) as dead, v.vc from fx_baselines b left join bvc v using (path_key)),
+settled as (
+  select path_key, vc, array_to_string(own, ',') as chunks, size, mtime, false as deleted from pushed
+  union all select path_key, vc, '', 0, null, true from buried
+  union all
+  select e.path_key, dvc, case when e.dead then '' else array_to_string(e.chunks, ',') end, case when e.dead then 0 else e.size end,
+         case when not e.dead then mt end, e.dead
+  from est e left join based b using (path_key) left join fx_base_rel r on r._id = e._id
+  where not coalesce(b.path_key is not null and r.rel = 'equal' and case when e.dead then b.dead
+          else not b.dead and b.size = e.size and b.chunks = e.chunks and (mt is null or b.mtime is not distinct from mt) end, false)
+  union all
+  select a.path_key, coalesce(b.vc, dvc), array_to_string(a.chunks, ','), a.size, mt,
+         coalesce(b.size = a.size and b.chunks = a.chunks and b.dead, false)
+  from al a left join based b using (path_key)
+  where b.path_key is null or b.chunks is null or b.size is null
+     or not coalesce(b.size = a.size and b.chunks = a.chunks and (mt is null or b.mtime is not distinct from mt or b.dead), false))
+"""
+
+
+def applied_store(t, disk, docs):
+    """A store that a whole reconcile run was committed to, with the plan's disk work."""
+    base = f"{shared_dir(t.spark).rstrip('/')}/tidemark/settled-{uuid.uuid4().hex}"
+    held = DocStore(t.spark, base)
+    docs = docs.withColumn("_version", F.lit(1)).withColumn("_local_seq", F.lit(1).cast("bigint"))
+    held.start(docs, t.spark.createDataFrame([], "_id string, content binary"), baselines=t.baselines)
+    made = reconcile.reconcile_plan(
+        disk, docs, t.baselines, t.manifest, DEVICE, PREVIOUS_DEVICES, CHUNK_BYTES, with_doc=True
+    )
+    done = apply.apply_plan(made, disk, docs, t.baselines, DEVICE, chunk_bytes=CHUNK_BYTES)
+    started = disk.agg(F.max("mtime")).first()[0] + 5000
+    for _ in range(2):  # the second time is a replay
+        apply.settle(held, 1, disk, done, started)
+    return held
+
+
+@query(
+    "P12_apply_plan",
+    f"""with {APPLIED}
+       select 'doc' as kind, 'file:' || path as key, vc as vclock, array_to_string(own, ',') as chunks, size, mtime, false as deleted from pushed
+       union all select 'doc', d._id, x.vc, array_to_string(d.chunks, ','), d.size, d.mtime, true from fx_case_docs d join tombs x using (_id)
+       union all select 'doc', d._id, v.vc, array_to_string(d.chunks, ','), d.size, d.mtime, d.deleted from fx_case_docs d left join cvc v using (_id)
+         where d._id not in (select _id from tombs) and d._id not in (select 'file:' || path from pushed)
+       union all select 'baseline', path_key, vc, chunks, size, mtime, deleted from settled
+       union all select 'baseline', path_key, vc, array_to_string(chunks, ','), size, mtime, dead from based
+         where path_key not in (select path_key from settled)
+       union all select 'disk', path, null, null, size, mtime, null from fx_case_prints where path not in (select path from taken)
+         and path not in (select path from fx_plan where action = 'dedup-file' or (action = 'delete-apply' and doc = 'file:' || path))
+       union all select 'disk', path, null, null, size, mtime, null from taken
+       union all select 'conflict', path, action, null, null, null, null from fx_plan where action like 'conflict%' or action = 'collision-unresolved'""",
+)
+def _(t):
+    held = applied_store(t, t.case_disk, t.case_docs)
+    now = apply.listing(t.case_disk, held.written("disk", 1))
+    names = {v: k for k, v in apply.CONFLICTS.items()}
+    actions = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    more = ("chunks", "size", "mtime", "deleted")
+    return (
+        held.docs().select(F.lit("doc").alias("kind"), F.col("_id").alias("key"), "vclock", *more)
+        .unionByName(held.table("baselines", "path_key").select(
+            F.lit("baseline").alias("kind"), F.col("path_key").alias("key"), "vclock", *more))
+        .select("kind", "key", clocks.clock_text("vclock").alias("vclock"), F.array_join("chunks", ",").alias("chunks"),
+                "size", "mtime", "deleted")
+        .unionByName(now.select(F.lit("disk").alias("kind"), F.col("path").alias("key"), "size", "mtime"), allowMissingColumns=True)
+        .unionByName(held.written("conflicts", 1).select(
+            F.lit("conflict").alias("kind"), F.col("path").alias("key"), actions[F.col("kind")].alias("vclock")), allowMissingColumns=True)
+    )
+
+
+@query("P12_apply_settled", "select 'again' as scenario, false as needed union all select 'edited', true")
+def _(t):
+    # After the commit a second scan isn't needed, until a file changes.
+    disk = t.disk
+    held = applied_store(t, disk, t.local_docs.drop("doc_id"))
+    now = apply.listing(disk, held.written("disk", 1))
+    cursor, manifest = held.table("cursor", "name"), held.written("manifest", 1)
+
+    def run(name, files):
+        return reconcile.reconcile_needed(files, held.docs(), manifest, cursor).select(F.lit(name).alias("scenario"), "needed")
+
+    return run("again", now).unionAll(run("edited", now.withColumn("mtime", F.col("mtime") + 10_000)))
+
+
 @query(
     "P13_reconcile_report",
     """select count(*) filter (bucket = 'in-sync') as in_sync, count(*) filter (bucket = 'local-win') as local_wins,

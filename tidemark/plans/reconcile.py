@@ -143,9 +143,11 @@ def reconcile_plan(
     local_chunks: DataFrame | None = None,
     remote_chunks: DataFrame | None = None,
     alg=DEFAULT_ALG,
+    with_doc: bool = False,
 ) -> DataFrame:
     """``(path_key, path, action, relation, bucket)``: one action per path, or one
-    per variant where spellings collide.
+    per variant where spellings collide.  ``with_doc`` adds ``doc_id``, the doc that
+    stands for the path, as ``apply_plan`` needs it.
 
     ``manifest=None`` means "no earlier scan" and differs from an empty table.
     With ``local_chunks`` given, restores and pulls whose chunks are gone become
@@ -239,7 +241,7 @@ def reconcile_plan(
     plan = single.unionByName(crowd)
     if local_chunks is not None:
         plan = withhold_broken(plan, docs, local_chunks, remote_chunks)
-    return plan.drop("doc_id")
+    return plan if with_doc else plan.drop("doc_id")
 
 
 def withhold_broken(
@@ -468,17 +470,24 @@ def _disk_mtime() -> Column:
     return F.when(F.col("file.size") == F.col("doc.size"), F.col("file.mtime"))
 
 
-def update_baselines(baselines: DataFrame, docs: DataFrame, disk: DataFrame, mode: str = "align") -> DataFrame:
+def update_baselines(
+    baselines: DataFrame, docs: DataFrame, disk: DataFrame, mode: str = "align", paths: DataFrame | None = None
+) -> DataFrame:
     """Next baselines with an ``label`` per path that has a doc.
 
     ``align`` keeps the baseline clock and refreshes content (already-aligned,
     upgraded-legacy, recovered-stale, stamped-mtime); a tombstone gives a
     ``deleted`` baseline.  ``establish`` takes over the doc's clock as well
-    (established, or already-aligned).  Paths without a doc keep their row.
+    (established, or already-aligned).  Paths without a doc keep their row, and with
+    ``paths`` (``path_key``) all others do: a doc that no plan touched may await a pull.
     """
     stats = disk if "path_key" in disk.columns else with_path_key(disk)
     prints = stats.select("path_key", "path", "mtime", "size", F.lit(None).cast(IDS).alias("chunks"))
-    occ = occupants(prints, docs, baselines)
+    known = baselines
+    if paths is not None:
+        prints, known = only_ids(prints, paths, "path_key"), only_ids(baselines, paths, "path_key")
+        docs = only_ids(keyed_docs(docs), paths, "path_key").drop("path_key", "path")
+    occ = occupants(prints, docs, known)
     doc, base = F.col("doc"), F.col("base")
     mtime = _disk_mtime()
     has_base = base.isNotNull()

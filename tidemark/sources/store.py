@@ -48,11 +48,12 @@ class DocStore:
             F.lit(part).cast("long").alias("part"), F.lit(max(newest, before)).cast("long").alias("seq")
         ).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
-    def start(self, docs: DataFrame, chunks: DataFrame) -> None:
+    def start(self, docs: DataFrame, chunks: DataFrame, **tables: DataFrame) -> None:
         """The first content; no-op when the store has any."""
         if self.last() is None:
             alive = F.lit(False).alias("_gone")
-            self._commit(0, docs=docs.select("*", alive), chunks=chunks.select("_id", "content", alive))
+            more = {name: rows.select("*", alive) for name, rows in tables.items()}
+            self._commit(0, docs=docs.select("*", alive), chunks=chunks.select("_id", "content", alive), **more)
 
     def _parts(self, name: str) -> DataFrame:
         done = self._read("commits", COMMITS).select("part").distinct()
@@ -60,11 +61,19 @@ class DocStore:
 
     def docs(self) -> DataFrame:
         """Newest version of each doc that was not removed."""
-        rows = self._parts("docs")
-        body = F.struct(*[c for c in rows.columns if c not in ("_id", "part")])
-        latest = rows.groupBy("_id").agg(F.max_by(body, "part").alias("d")).select("_id", "d.*")
+        return self.table("docs", "_id")
+
+    def table(self, name: str, key: str) -> DataFrame:
+        """Newest row per key of a table that batches carry along."""
+        rows = self._parts(name)
+        body = F.struct(*[c for c in rows.columns if c not in (key, "part")])
+        latest = rows.groupBy(key).agg(F.max_by(body, "part").alias("d")).select(key, "d.*")
         return latest.filter(~F.col("_gone")).drop("_gone")
 
+    def written(self, name: str, part: int) -> DataFrame:
+        """What one committed batch wrote to a table."""
+        return self._parts(name).filter((F.col("part") == part) & ~F.col("_gone")).drop("_gone", "part")
+
     def chunks(self) -> DataFrame:
         """Chunks put after their last removal; bodies meet a list of removals only."""
         rows = self._parts("chunks")
@@ -73,10 +82,12 @@ class DocStore:
         return kept.filter(F.col("_last").isNull() | (F.col("part") >= F.col("_last"))).select("_id", "content")
 
     def apply(
-        self, part: int, new_docs: DataFrame, new_chunks: DataFrame, deletes: DataFrame | None = None
+        self, part: int, new_docs: DataFrame, new_chunks: DataFrame, deletes: DataFrame | None = None,
+        tables: dict[str, DataFrame] | None = None,
     ) -> DataFrame:
         """Commits one batch (:func:`apply_batch`); returns its conflicts, and writes
-        nothing where there are any."""
+        nothing where there are any.  ``tables`` are rows of other tables of the same
+        commit, with ``_gone`` where a key is taken out."""
         top = self.last()
         if top is not None and part <= top:
             return self.spark.createDataFrame([], "_id string, stored string, expected string")
@@ -96,5 +107,5 @@ class DocStore:
         if deletes is not None:
             named = gone.join(stored.select("_id"), "_id", "left_semi")
             chunks = chunks.unionByName(named.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
-        self._commit(part, docs=docs, chunks=chunks)
+        self._commit(part, docs=docs, chunks=chunks, **(tables or {}))
         return done.conflicts
