@@ -138,26 +138,101 @@ def _line_ids(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+MAX_EDITS = 1000  # beyond, the bit-parallel way is taken
+BLOCK_LINES = 16_384
+
+
+def _same_run(x: np.ndarray, i: int, y: np.ndarray, j: int) -> int:
+    """Length of the common run that starts at ``x[i]`` and ``y[j]``."""
+    n, step = 0, 32
+    while True:
+        a, b = x[i + n : i + n + step], y[j + n : j + n + step]
+        size = min(len(a), len(b))
+        apart = np.flatnonzero(a[:size] != b[:size])
+        if len(apart):
+            return n + int(apart[0])
+        n += size
+        if size < step:
+            return n
+        step = min(2 * step, 1 << 20)
+
+
+def _few_edits(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
+    """Fewest insertions and deletions that turn ``x`` into ``y``, if no more than ``most``.
+
+    Per number of edits the farthest row reached on each diagonal is kept, so memory
+    follows the number of edits and time the lines plus its square.
+    """
+    n, m = len(x), len(y)
+    first, second = x.tolist(), y.tolist()
+    far = {1: 0}
+    for d in range(min(most, n + m) + 1):
+        for k in range(-d, d + 1, 2):
+            down = k == -d or (k != d and far[k - 1] < far[k + 1])
+            i = far[k + 1] if down else far[k - 1] + 1
+            j = i - k
+            if i < n and j < m and i >= 0 and j >= 0 and first[i] == second[j]:
+                i += _same_run(x, i, y, j)
+                j = i - k
+            far[k] = i
+            if i >= n and j >= m:
+                return d
+    return None
+
+
+def _bit_lcs(x: np.ndarray, y: np.ndarray) -> int:
+    """Longest common subsequence by one bit per line of ``x``, a block of lines at a time.
+
+    A block hands the carries of its additions on to the next one, so that only the masks
+    of one block are held.  Lines of ``y`` that neither occur in the block nor carry into it
+    are passed over.
+    """
+    carry = np.zeros(len(y), bool)
+    order = np.argsort(y, kind="stable")
+    ranked = y[order]
+    zeros = 0
+    for at in range(0, len(x), BLOCK_LINES):
+        part = x[at : at + BLOCK_LINES]
+        match: dict[int, int] = {}
+        for i, v in enumerate(part.tolist()):
+            match[v] = match.get(v, 0) | (1 << i)
+        kinds = np.array(sorted(match))
+        lo, hi = np.searchsorted(ranked, kinds), np.searchsorted(ranked, kinds, side="right")
+        here = carry.copy()
+        for s, e in zip(lo.tolist(), hi.tolist()):
+            here[order[s:e]] = True
+        full = (1 << len(part)) - 1
+        row = full
+        out = np.zeros(len(y), bool)
+        for j in np.flatnonzero(here).tolist():
+            hit = row & match.get(int(y[j]), 0)
+            total = row + hit + int(carry[j])
+            out[j] = total > full
+            row = (total | (row - hit)) & full
+        carry = out
+        zeros += len(part) - row.bit_count()
+    return zeros
+
+
 def lcs_length(x: np.ndarray, y: np.ndarray) -> int:
-    """Longest common subsequence of two id arrays, one bit per line of ``x``."""
-    lo = 0
-    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
-        hi += 1
-    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    """Longest common subsequence of two arrays of line ids, exact and in bounded memory.
+
+    Lines of one side only can't be common and go first, then equal ends.  What is left
+    of alike texts is a few edits apart; texts farther apart are compared by bits.
+    """
+    size = int(max(x.max(initial=-1), y.max(initial=-1))) + 1
+    both = (np.bincount(x, minlength=size) > 0) & (np.bincount(y, minlength=size) > 0)
+    x, y = x[both[x]], y[both[y]]
+    lo = _same_run(x, 0, y, 0)
+    x, y = x[lo:], y[lo:]
+    hi = _same_run(x[::-1], 0, y[::-1], 0)
+    x, y = x[: len(x) - hi], y[: len(y) - hi]
     if not len(x) or not len(y):
         return lo + hi
-    match: dict[int, int] = {}
-    for i, v in enumerate(x.tolist()):
-        match[v] = match.get(v, 0) | (1 << i)
-    full = (1 << len(x)) - 1
-    row = full
-    for v in y.tolist():
-        hit = row & match.get(v, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return lo + hi + len(x) - row.bit_count()
+    # A search over d edits costs about d * d steps; short texts are cheaper by bits.
+    edits = _few_edits(x, y, MAX_EDITS) if min(len(x), len(y)) > 4 * MAX_EDITS else None
+    common = _bit_lcs(x, y) if edits is None else (len(x) + len(y) - edits) // 2
+    return lo + hi + common
 
 
 CHURN = T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType())])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.content import is_diffable_text, line_churn
 from tidemark.operators.paths import matches_any
-from tidemark.operators.skew import HOT_ROWS, previous_row, salted_join
+from tidemark.operators.skew import HOT_ROWS, broadcast_if_small, is_small, previous_row, salted_join
 from tidemark.schemas import DAY_MS
 from tidemark.session import cut_lineage
 
@@ -36,17 +36,29 @@ def capture_revisions(
     excluded globs are left out; a version equal to the one before makes none.
     """
     in_scope = ~F.col("file_path").startswith(".") & ~matches_any("file_path", exclude)
-    texts = versions.filter(in_scope & is_diffable_text(F.encode("content", "UTF-8")))
-    before = previous_row(texts, ["file_path"], ["timestamp"], {"content": "_before"}, slices)
-    changed = (
-        before.withColumn("_before", F.coalesce("_before", F.lit("")))
-        .filter(F.col("_before") != F.col("content"))
-        .withColumn("base_hash", F.sha2(F.encode("_before", "UTF-8"), 256))
+    texts = versions.filter(in_scope & is_diffable_text(F.encode("content", "UTF-8"))).withColumn(
+        "_hash", F.sha2(F.encode("content", "UTF-8"), 256)
+    )
+    # Digests are compared and linked; texts are looked up for the rows that are left.
+    light = cut_lineage(texts.drop("content"))
+    before = previous_row(light, ["file_path"], ["timestamp"], {"_hash": "_old"}, slices)
+    changed = cut_lineage(
+        before.withColumn("base_hash", F.coalesce("_old", F.sha2(F.lit(b""), 256))).drop("_old")
+        .filter(F.col("base_hash") != F.col("_hash"))
+    )
+    linked = cut_lineage(
+        previous_row(changed, ["file_path"], ["timestamp"], {"timestamp": "parent_timestamp"}, slices)
+    )
+    asked = linked.select("_hash").unionAll(linked.select(F.col("base_hash").alias("_hash"))).distinct()
+    bodies = texts.select("_hash", "content").join(broadcast_if_small(cut_lineage(asked)), "_hash", "left_semi")
+    bodies = bodies.dropDuplicates(["_hash"])
+    old = bodies.select(F.col("_hash").alias("base_hash"), F.col("content").alias("_before"))
+    spread = ["file_path", "timestamp"]
+    pairs = salted_join(salted_join(linked, bodies, "_hash", spread), old, "base_hash", spread)
+    counted = churn(pairs.withColumn("_before", F.coalesce("_before", F.lit(""))), "_before", "content")
+    return counted.select(
+        *versions.columns, "base_hash", "added", "removed", "parent_timestamp", F.lit(False).alias("conflict")
     )
-    # Written once: ranges of the second look-back are counted before it runs.
-    counted = cut_lineage(churn(changed, "_before", "content").drop("_before"))
-    linked = previous_row(counted, ["file_path"], ["timestamp"], {"timestamp": "parent_timestamp"}, slices)
-    return linked.withColumn("conflict", F.lit(False))
 
 
 def link_chain(revisions: DataFrame, slices: int = 64) -> DataFrame:
@@ -191,19 +203,24 @@ def revision_content(
     ``facts`` is the result of :func:`lineage` where already at hand.
     """
     facts = facts if facts is not None else lineage(revisions, heads)
-    texts = revisions.select("file_path", "id", F.col("content").alias("_text"))
     forks = facts.select("file_path", "id", "fork_id")
-    head = heads.select("file_path", F.col("content").alias("_head_text"), "head_record_id")
-    rows = (
-        picks.select("file_path", "id")
-        .join(texts, ["file_path", "id"], "left")
-        .join(forks, ["file_path", "id"], "left")
-        .join(head, "file_path", "left")
+    tops = heads.select("file_path", "head_record_id")
+    asked = picks.select("file_path", "id").join(forks, ["file_path", "id"], "left")
+    # Which text each pick gets is settled before any text is moved.
+    told = cut_lineage(
+        salted_join(asked, tops, "file_path", ["id"]).select(
+            "file_path", "id",
+            F.when(F.col("head_record_id") == F.col("id"), "head").when(F.col("fork_id").isNotNull(), "own").alias("_from"),
+        )
     )
-    content = F.when(F.col("head_record_id") == F.col("id"), F.col("_head_text")).when(
-        F.col("fork_id").isNotNull(), F.col("_text")
+    keys = ["file_path", "id"]
+    own, top = told.filter("_from = 'own'").select(keys), told.filter("_from = 'head'").select(keys)
+    texts = revisions.select(*keys, "content").join(broadcast_if_small(own.distinct()), keys, "left_semi")
+    shown = heads.select("file_path", "content").join(broadcast_if_small(top.select("file_path").distinct()), "file_path", "left_semi")
+    return (
+        own.join(texts, keys, "left").unionByName(top.join(shown, "file_path", "left"))
+        .unionByName(told.filter("_from is null").select(*keys, F.lit(None).cast("string").alias("content")))
     )
-    return rows.select("file_path", "id", content.alias("content"))
 
 
 def restore(heads: DataFrame, picks: DataFrame) -> DataFrame:
@@ -256,13 +273,20 @@ def history_retention(revisions: DataFrame, now: int, days: int) -> DataFrame:
 def rename_history(
     revisions: DataFrame, heads: DataFrame, renames: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``old_path`` move to ``new_path``; a head already there is replaced."""
-    moves = renames.select(F.col("old_path").alias("file_path"), "new_path")
+    """Rows of ``old_path`` move to ``new_path``; a head already there is replaced.
+
+    A list of renames of checked size goes to the texts; for a longer one a file's
+    revisions are spread by their ids.
+    """
+    moves = cut_lineage(renames.select(F.col("old_path").alias("file_path"), "new_path"))
+    small = is_small(moves)
 
     def moved(df: DataFrame) -> DataFrame:
-        return df.join(moves, "file_path", "left").withColumn(
-            "file_path", F.coalesce("new_path", "file_path")
-        )
+        if small:
+            met = df.join(F.broadcast(moves), "file_path", "left")
+        else:
+            met = salted_join(df, moves, "file_path", ["id"] if "id" in df.columns else ["file_path"])
+        return met.withColumn("file_path", F.coalesce("new_path", "file_path"))
 
     arriving = moved(heads.join(moves.select("file_path"), "file_path", "left_semi")).drop("new_path")
     staying = heads.join(moves.select("file_path"), "file_path", "left_anti").join(

@@ -12,6 +12,7 @@ from tidemark.operators.chunking import verify_chunks
 from tidemark.operators.integrity import alive
 from tidemark.operators.skew import broadcast_if_small
 from tidemark.schemas import DEFAULT_ALG, LOG_LEVELS
+from tidemark.session import cut_lineage
 
 
 def removed(df: DataFrame) -> Column:
@@ -166,7 +167,8 @@ class Replica:
 def replicate_all(docs: DataFrame, chunks: DataFrame, alg=DEFAULT_ALG) -> Replica:
     """Full clone: live docs, chunks whose bytes hash to their id, and the ids of
     the chunks that were dropped with the reason (never written empty)."""
-    checked = verify_chunks(chunks, alg)
+    # Every body is hashed and written once; the verdicts are read without it.
+    checked = cut_lineage(verify_chunks(chunks, alg))
     return Replica(
         strip_store_columns(docs.filter(~removed(docs))),
         checked.filter("verdict = 'ok'").drop("verdict"),
