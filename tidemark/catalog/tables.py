@@ -413,9 +413,9 @@ class Tables:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        from tidemark.operators.chunking import dedup_chunks
-
-        return dedup_chunks(self.pieces)
+        # Lengths beside the ids, so that presence and sizes never open a body.
+        sized = self.pieces.select("_id", "content", F.octet_length("content").cast("bigint").alias("bytes"))
+        return sized.dropDuplicates(["_id"])
 
     def _without(self, *digits: str) -> DataFrame:
         return self.chunks.filter(~F.substring("_id", 12, 1).isin(*digits))
