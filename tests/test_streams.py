@@ -143,6 +143,12 @@ def test_store_feed(spark, tmp_path, drain):
     store.apply(2, edit().limit(0), none, spark.createDataFrame([("b",)], "_id string"))
     store.apply(3, edit(("a", 3)), none)
     # A part without its commit row is not there.
-    store.docs().withColumn("_gone", F.lit(False)).write.parquet(f"{tmp_path}/store/docs/part=4")
+    store.docs().withColumn("_gone", F.lit(False)).write.parquet(f"{tmp_path}/store/docs/gen=0/part=4")
     second = sorted([*first, ("a", 2, 10), ("d", 1, 10), ("a", 3, 11)])
     assert run() == second and run() == second
+    # Folding the parts gives no row again; later ones go on.
+    store.compact()
+    assert run() == second
+    store.apply(4, edit(("c", 5)), none)
+    store.compact()
+    assert run() == sorted([*second, ("c", 5, 12)])

@@ -2,8 +2,9 @@
 
 Offsets are the ``_local_seq`` of committed parts: a micro-batch reads the parts committed
 since the last one, each part's files as tasks of their own, and nothing else of the store.
-Every committed version of a doc comes once, also over restarts from a checkpoint; parts
-without a commit row are never seen, and removals are no rows (as in ``changes_since``).
+Every committed version of a doc comes once, also over restarts from a checkpoint, or its
+newest one where parts were folded meanwhile; parts without a commit row are never seen,
+and removals are no rows (as in ``changes_since``).
 """
 
 from __future__ import annotations
@@ -29,38 +30,40 @@ def _system(folder: str):
 
 
 class PartFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, after: int):
+        self.path, self.after = path, after
 
 
 class FeedReader(DataSourceStreamReader):
     def __init__(self, folder: str, since: int, schema: StructType):
         self.folder, self.since, self.schema = folder.rstrip("/"), since, schema
 
-    def _commits(self) -> list[tuple[int, int]]:
-        """``(part, seq)`` of every committed part."""
+    def _commits(self) -> list[tuple[int, int, int]]:
+        """``(gen, part, seq)`` of every committed part of the newest generation."""
         import pyarrow.dataset as ds
 
         system, path = _system(self.folder)
-        rows = ds.dataset(f"{path}/commits", filesystem=system, format="parquet").to_table(columns=["part", "seq"])
-        return sorted({(r["part"], r["seq"]) for r in rows.to_pylist()})
+        table = ds.dataset(f"{path}/commits", filesystem=system, format="parquet").to_table(columns=["gen", "part", "seq"])
+        rows = {(r["gen"], r["part"], r["seq"]) for r in table.to_pylist()}
+        return sorted(r for r in rows if r[0] == max(rows)[0])
 
     def initialOffset(self) -> dict:
         return {"seq": self.since}
 
     def latestOffset(self) -> dict:
-        return {"seq": max([self.since, *(seq for _, seq in self._commits())])}
+        return {"seq": max([self.since, *(seq for *_, seq in self._commits())])}
 
     def partitions(self, start: dict, end: dict) -> list[PartFile]:
         from pyarrow import fs
 
         system, path = _system(self.folder)
         found = []
-        for part, seq in self._commits():
+        for gen, part, seq in self._commits():
             if start["seq"] < seq <= end["seq"]:
-                for info in system.get_file_info(fs.FileSelector(f"{path}/docs/part={part}")):
+                folder = fs.FileSelector(f"{path}/docs/gen={gen}/part={part}", recursive=True)
+                for info in system.get_file_info(folder):
                     if info.path.endswith(".parquet"):
-                        found.append(PartFile(info.path))
+                        found.append(PartFile(info.path, start["seq"]))
         return found
 
     def read(self, partition: PartFile) -> Iterator:
@@ -72,7 +75,7 @@ class FeedReader(DataSourceStreamReader):
         want = to_arrow_schema(self.schema)
         with system.open_input_file(partition.path) as file:
             for batch in pq.ParquetFile(file).iter_batches(columns=list({*want.names, "_gone", "_local_seq"})):
-                new = pc.and_(pc.invert(batch.column("_gone")), pc.greater(batch.column("_local_seq"), self.since))
+                new = pc.and_(pc.invert(batch.column("_gone")), pc.greater(batch.column("_local_seq"), partition.after))
                 kept = batch.filter(new).select(want.names)
                 if kept.num_rows:
                     yield kept.cast(want)

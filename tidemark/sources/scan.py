@@ -119,6 +119,7 @@ def apply_batch(
     new_docs: DataFrame,
     new_chunks: DataFrame,
     deletes: DataFrame | None = None,
+    seq: int | None = None,
 ) -> Written:
     """One atomic batch on ``docs`` and ``chunks``.
 
@@ -126,7 +127,8 @@ def apply_batch(
     any stored clock differs, ``conflicts`` names the offenders and the whole
     batch is rejected: docs and chunks are returned as they were.  The single
     driver check is whether conflicts is empty.  New docs get ``_version + 1``
-    and share one new ``_local_seq``; chunks are put only if absent.
+    and share one new ``_local_seq``; chunks are put only if absent.  A caller that
+    passes parts of the tables also passes ``seq``.
     """
     stored = docs.select("_id", F.col("vclock").alias("_vc"), F.col("_version").alias("_v"))
     facing = new_docs.join(
@@ -137,7 +139,8 @@ def apply_batch(
     ).select("_id", clocks.clock_text("_vc").alias("stored"), clocks.clock_text("expected_vclock").alias("expected"))
     if not conflicts.isEmpty():
         return Written(docs, chunks, conflicts)
-    seq = docs.agg(F.coalesce(F.max("_local_seq"), F.lit(0)) + 1).first()[0]
+    if seq is None:
+        seq = docs.agg(F.coalesce(F.max("_local_seq"), F.lit(0)) + 1).first()[0]
     columns = [c for c in docs.columns if c not in ("_version", "_local_seq")]
     fresh = facing.select(
         *columns,
