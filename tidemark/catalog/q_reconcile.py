@@ -173,10 +173,11 @@ def applied_store(t, disk, docs):
     held = DocStore(t.spark, base)
     docs = docs.withColumn("_version", F.lit(1)).withColumn("_local_seq", F.lit(1).cast("bigint"))
     held.start(docs, t.spark.createDataFrame([], "_id string, content binary"), baselines=t.baselines)
+    docs, bases = held.docs(), held.table("baselines", "path_key")
     made = reconcile.reconcile_plan(
-        disk, docs, t.baselines, t.manifest, DEVICE, PREVIOUS_DEVICES, CHUNK_BYTES, with_doc=True
+        disk, docs, bases, t.manifest, DEVICE, PREVIOUS_DEVICES, CHUNK_BYTES, with_doc=True
     )
-    done = apply.apply_plan(made, disk, docs, t.baselines, DEVICE, chunk_bytes=CHUNK_BYTES)
+    done = apply.apply_plan(made, disk, docs, bases, DEVICE, chunk_bytes=CHUNK_BYTES)
     started = disk.agg(F.max("mtime")).first()[0] + 5000
     for _ in range(2):  # the second time is a replay
         apply.settle(held, 1, disk, done, started)
