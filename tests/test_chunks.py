@@ -94,18 +94,26 @@ def test_newest_cut_keeps_exactly_n(spark):
 def test_read_disk(spark, tmp_path):
     from tidemark.sources.scan import read_disk
 
-    (tmp_path / "a b").mkdir()
-    (tmp_path / "a b" / "c+d é.md").write_bytes(b"hello")
-    (tmp_path / "e.md").write_bytes(b"")
-    full = {"a b/c+d é.md": (5, b"hello")}
-
-    def found(empty=None):
-        rows = read_disk(spark, str(tmp_path), empty=empty).collect()
+    want = {
+        "a b/c+d é.md": b"hello", "e.md": b"", ".config/x": b"hidden", "_y": b"under", ".config/deep/_z/w.md": b"w",
+        "k=1/_x=2.md": b"named", "empty/.keep": b"", "a b/t.tmp": b"tmp",
+    }
+    for name, body in want.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "a b" / ".c+d é.md.crc").write_bytes(b"checksum")
+    (tmp_path / "no files here").mkdir()
+
+    def found(**options):
+        rows = read_disk(spark, str(tmp_path), **options).collect()
+        assert len(rows) == len({r["path"] for r in rows})
         return {r["path"]: (r["size"], bytes(r["content"])) for r in rows}
 
-    assert found() == full  # Spark leaves zero-length files out
-    listed = spark.createDataFrame([("e.md", 7)], "path string, mtime bigint")
-    assert found(listed) == {**full, "e.md": (0, b"")}
+    assert found() == {n: (len(b), b) for n, b in want.items()}
+    assert set(found(path_glob="*.md")) == {n for n in want if n.endswith(".md")}
+    # Names and sizes come without opening a file.
+    plan = read_disk(spark, str(tmp_path)).select("path", "size")._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan and "ArrowEvalPython" not in plan
 
 
 def test_read_disk_strips_only_the_root(spark, tmp_path):

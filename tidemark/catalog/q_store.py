@@ -89,13 +89,19 @@ def _(t):
     """select 'docs/lang=' || lang || '/source=' || source as folder, cast(sum(octet_length(encode(text)) + 1) as bigint) as bytes,
           cast(sum(octet_length(encode(text)) + 1) as bigint) as body_bytes,
           cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines
-       from documents group by all""",
+       from documents group by all
+       union all select '.config', sum(octet_length(encode(source)) + 1)::bigint, sum(octet_length(encode(source)) + 1)::bigint, count(*) from documents
+       union all select 'docs/_y', sum(octet_length(encode(lang)) + 1)::bigint, sum(octet_length(encode(lang)) + 1)::bigint, count(*) from documents
+       union all select 'docs', 0, 0, 0""",
 )
 def _(t):
-    # The documents written as files, a folder per language and source, are the disk.
+    # The documents written as files, a folder per language and source, are the disk; each
+    # write leaves an empty file behind, and two folders have names that readers pass over.
     root = f"{shared_dir(t.spark).rstrip('/')}/tidemark/disk-{uuid.uuid4().hex}"
     docs = t.source("documents").select("lang", "source", "text")
     docs.repartition("lang", "source").write.partitionBy("lang", "source").text(f"{root}/docs")
+    docs.select("source").write.text(f"{root}/.config")
+    docs.select("lang").write.text(f"{root}/docs/_y")
     files = scan.read_disk(t.spark, root)
     body = F.decode("content", "UTF-8")
     return files.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(

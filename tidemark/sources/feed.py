@@ -15,20 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tidemark.sources.files import system_of
 from tidemark.sources.store import DocStore
 
 NAME = "tidemark_changes"
 
 
-def _system(folder: str):
-    """File system and path of a folder, for use without a Spark session."""
-    from pyarrow import fs
-
-    if "://" not in folder:
-        return fs.LocalFileSystem(), folder.removeprefix("file:")
-    return fs.FileSystem.from_uri(folder)
-
-
 class PartFile(InputPartition):
     def __init__(self, path: str, after: int):
         self.path, self.after = path, after
@@ -42,7 +34,7 @@ class FeedReader(DataSourceStreamReader):
         """``(gen, part, seq)`` of every committed part of the newest generation."""
         import pyarrow.dataset as ds
 
-        system, path = _system(self.folder)
+        system, path = system_of(self.folder)
         table = ds.dataset(f"{path}/commits", filesystem=system, format="parquet").to_table(columns=["gen", "part", "seq"])
         rows = {(r["gen"], r["part"], r["seq"]) for r in table.to_pylist()}
         return sorted(r for r in rows if r[0] == max(rows)[0])
@@ -56,7 +48,7 @@ class FeedReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[PartFile]:
         from pyarrow import fs
 
-        system, path = _system(self.folder)
+        system, path = system_of(self.folder)
         found = []
         for gen, part, seq in self._commits():
             if start["seq"] < seq <= end["seq"]:
@@ -71,7 +63,7 @@ class FeedReader(DataSourceStreamReader):
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        system, _ = _system(self.folder)
+        system, _ = system_of(self.folder)
         want = to_arrow_schema(self.schema)
         with system.open_input_file(partition.path) as file:
             for batch in pq.ParquetFile(file).iter_batches(columns=list({*want.names, "_gone", "_local_seq"})):

@@ -13,6 +13,7 @@ from tidemark.operators.integrity import alive
 from tidemark.operators.skew import broadcast_if_small
 from tidemark.schemas import DEFAULT_ALG, LOG_LEVELS
 from tidemark.session import cut_lineage
+from tidemark.sources import files
 
 
 def removed(df: DataFrame) -> Column:
@@ -71,15 +72,13 @@ def docs_under_folder(docs: DataFrame, folder: str) -> DataFrame:
     return docs.filter(F.col("_id").startswith(f"file:{folder.rstrip('/')}/") & alive())
 
 
-def read_disk(
-    spark: SparkSession, root: str, path_glob: str | None = None, empty: DataFrame | None = None
-) -> DataFrame:
+def read_disk(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
     """``(path, mtime, ctime, size, content)`` of all files under ``root``, paths
     relative to it.  Stat-only queries never open the files.
 
-    Spark's file sources leave out zero-length files and names that start with a dot
-    or an underscore; a caller that has a listing of empty files passes it as
-    ``empty`` (``path, mtime``).
+    Spark's file source reads all it does not pass over: files of a length, under names
+    that start with neither a dot nor an underscore.  Those it passes over come from a
+    listing of their own.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if path_glob:
@@ -90,20 +89,18 @@ def read_disk(
     system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     base = system.makeQualified(where).toString().rstrip("/") + "/"
     mtime = F.unix_millis("modificationTime")
-    files = reader.load(root).select(
+    read = reader.load(root).select(
         F.substring("path", F.lit(len(base) + 1), F.length("path")).alias("path"),
         mtime.alias("mtime"),
         mtime.alias("ctime"),
         F.col("length").alias("size"),
         "content",
     )
-    if empty is None:
-        return files
-    nothing = empty.select(
-        "path", "mtime", F.col("mtime").alias("ctime"), F.lit(0).cast("bigint").alias("size"),
-        F.lit(b"").alias("content"),
-    )
-    return files.unionByName(nothing)
+    rest = files.list_files(spark, root).filter(files.left_out(F.col("path")) | (F.col("size") == 0))
+    if path_glob:
+        rest = rest.filter(files.matches_name(F.col("path"), path_glob))
+    passed_over = files.with_content(rest, root).withColumn("ctime", F.col("mtime"))
+    return read.unionByName(passed_over.select(*read.columns))
 
 
 @dataclass
