@@ -151,11 +151,53 @@ def test_unchanged_runs_leave_the_window_open(spark):
     assert runs(timers.captures(df, 50, 1000, slices=4)) == [("a", 50), ("a", 350)]
 
 
-def test_history_has_no_stream(spark):
+def test_history_has_no_state_per_path(spark):
     with pytest.raises(ValueError):
         timers.stream_timers(events(spark, (0, "a", None, "modify")), 50, mode="history")
 
 
+def test_captures_in_batches_equal_the_whole(spark, tmp_path):
+    import random
+
+    from tidemark.streaming.captures import CaptureState
+
+    rng = random.Random(4)
+    rows, at, names = [], 0, list("abcd")
+    for k in range(160):
+        at += rng.choice([1, 7, 40, 120, 900])
+        path = rng.choice(names)
+        if rng.random() < 0.15:
+            names[names.index(path)] = new = f"{path[0]}{k}"
+            rows.append((at, new, path, "rename"))
+        else:
+            rows.append((at, path, None, "delete" if rng.random() < 0.1 else "modify"))
+    want = runs(timers.captures(events(spark, *rows), 50, 400, slices=4))
+    state = CaptureState(spark, str(tmp_path), 50, 400, delay_ms=100)
+    batch, at = 0, 0
+    while at < len(rows):
+        upto = at + rng.randint(1, 60)
+        some = rows[at:upto]
+        rng.shuffle(some)  # within the delay the order of arrival doesn't matter
+        some = sorted(some, key=lambda r: r[0] // 90)
+        assert state.apply(events(spark, *some), batch) and not state.apply(events(spark, *some), batch)
+        batch, at = batch + 1, upto
+    before = runs(state.runs())
+    assert set(before) <= set(want) and len(before) > len(want) // 2
+    state.close()
+    assert runs(state.runs()) == want
+    assert sorted(p.name for p in (tmp_path / "timers").iterdir()) == [f"no={batch - 1}", f"no={batch}"]
+
+
+def test_late_events_count_at_the_watermark(spark, tmp_path):
+    from tidemark.streaming.captures import CaptureState
+
+    state = CaptureState(spark, str(tmp_path), 50, 0, delay_ms=10)
+    state.apply(events(spark, (1000, "a", None, "modify")), 0)
+    state.apply(events(spark, (10, "late", None, "modify")), 1)
+    state.close()
+    assert runs(state.runs()) == [("a", 1050), ("late", 1040)]
+
+
 def test_retry_rows_leave_the_set(spark, tmp_path):
     from tidemark.schemas import CHANGES, FILE_DOCS
 

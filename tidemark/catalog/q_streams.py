@@ -10,7 +10,7 @@ from tidemark.catalog.registry import query
 from tidemark.catalog.tables import Tables
 from tidemark.functions import clocks
 from tidemark.session import shared_dir
-from tidemark.streaming import feeds, timers
+from tidemark.streaming import captures, feeds, timers
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 QUIET = 2 * 3600 * 1000
@@ -317,6 +317,91 @@ def _(t):
     return timers.captures(with_changes(t), QUIET, INTERVAL)
 
 
+# A path of its own hands its pending run down a chain of renames: of every fifth user the
+# second half of the events is renames of one path to the next.
+CHAINS = f"""
+with recursive raw as (
+  select user_id as u, event_id as e, epoch_us(ts) // 1000 as at_, event_type = 'error' as gone, event_id % 4 = 0 and event_type <> 'error' as moves
+  from events),
+hops as (select *, coalesce(sum(case when moves then 1 else 0 end) over (partition by u order by at_, gone, e rows between unbounded preceding and 1 preceding), 0) as hop,
+                row_number() over (partition by u order by at_, gone, e) as i from raw),
+ev as (select u, i, at_, gone, moves, hop from hops
+       union all select user_id, count(*) + 1, 9000000000000000, true, false, null from events group by user_id),
+fold as (
+  select distinct u, 0::bigint as i, 0::bigint as hop, null::bigint as armed, null::bigint as due, null::bigint as last, false as dirty,
+         null::bigint as r1, null::bigint as r2, null::bigint as r3, 0::bigint as at_hop from ev
+  union all
+  select u, i, case when moves then next_hop + 1 else next_hop end,
+         case when gone then null when moves then case when armed is not null or due is not null then at_ + {QUIET} end else at_ + {QUIET} end,
+         case when gone or moves then null else due end, case when gone then null else last end,
+         not gone and (dirty or not moves), r1, r2, r3, next_hop
+  from (
+    select u, i, at_, gone, moves, next_hop, r1, r2, case when due <= at_ then due end as r3,
+           case when due <= at_ and dirty then due else last end as last,
+           dirty and not coalesce(due <= at_, false) as dirty, case when due <= at_ then null else due end as due,
+           armed
+    from (
+      select u, i, at_, gone, moves, next_hop, r1, case when go and free then armed end as r2,
+             case when go and free and dirty then armed else last end as last,
+             dirty and not (go and free) as dirty,
+             case when go and not free then last + {INTERVAL} else due end as due, case when go then null else armed end as armed
+      from (
+        select *, coalesce(armed < at_, false) as go, last is null or armed - last >= {INTERVAL} as free
+        from (
+          select u, i, at_, gone, moves, next_hop, armed, case when first then due end as r1,
+                 case when first and dirty then due else last end as last, dirty and not first as dirty,
+                 case when first then null else due end as due
+          from (select a.u, a.i, a.at_, a.gone, a.moves, f.hop as next_hop, f.armed, f.due, f.last, f.dirty,
+                       coalesce(f.due <= a.at_ and (f.armed is null or f.armed >= a.at_ or f.due <= f.armed), false) as first
+                from fold f join ev a on a.u = f.u and a.i = f.i + 1)))))),
+runs as (select u, at_hop, unnest([r1, r2, r3]) as run_at from fold)
+select 'notes/u' || u || '.' || at_hop || '.md' as path, run_at from runs where run_at is not null
+"""
+
+
+def renaming(t):
+    """The event feed where every fourth event that deletes nothing renames its user's path."""
+    from pyspark.sql.window import Window
+
+    e = t.source("events")
+    gone = F.col("event_type") == "error"
+    moves = (F.col("event_id") % 4 == 0) & ~gone
+    order = Window.partitionBy("user_id").orderBy(F.unix_millis(F.col("ts").cast("timestamp")), gone, "event_id")
+    hop = F.coalesce(F.sum(moves.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def path(n):
+        return F.concat(F.lit("notes/u"), F.col("user_id").cast("string"), F.lit("."), n.cast("string"), F.lit(".md"))
+
+    return e.withColumn("hop", hop).select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        path(F.col("hop") + moves.cast("int")).alias("path"), F.when(moves, path(F.col("hop"))).alias("old_path"),
+        F.when(gone, "delete").when(moves, "rename").otherwise("modify").alias("kind"),
+    )
+
+
+@query("T4_captures_renamed", CHAINS)
+def _(t):
+    return timers.captures(renaming(t), QUIET, INTERVAL)
+
+
+@query("T4_stream_captures", CHAINS)
+def _(t):
+    # The feed comes in three pieces; what is pending at the end of one waits for the next.
+    base = folder(t)
+    events = renaming(t)
+    state = captures.CaptureState(t.spark, f"{base}/state", QUIET, INTERVAL)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    for k in range(3):
+        piece = events if k == 0 else events.filter(F.col("ts") >= first + k * third)
+        piece = piece if k == 2 else piece.filter(F.col("ts") < first + (k + 1) * third)
+        piece.write.parquet(f"{base}/events/{k}")
+        stream_ = t.spark.readStream.schema(events.schema).parquet(f"{base}/events/*")
+        captures.stream_captures(stream_, state, f"{base}/check").awaitTermination()
+    state.close()
+    return state.runs()
+
+
 @query("T4_stream_min_interval", PUSH)
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)

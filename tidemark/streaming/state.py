@@ -88,35 +88,57 @@ class FeedReset(RuntimeError):
     """The remote was recreated: its feed is to be read from the start."""
 
 
-class PullState:
-    """Docs, retry rows and cursor of a continuous pull, visible together.
+class Committed:
+    """Versions of a job's tables in a folder, of which the newest commit row names the valid ones."""
 
-    Docs lie in buckets of a hash of their id.  A batch reads the buckets of the ids it
-    names, writes those of the docs it accepts anew, and commits one row with the version
-    of every bucket; buckets it does not touch are neither read nor written.  Readers follow
-    the newest commit, so a batch is seen whole or not at all, and a replayed batch id is a
-    no-op.  The commit before stays readable; what only older ones hold is deleted.  The
-    driver sees bucket numbers and versions (at most ``MAX_BUCKETS``), never ids.
-    """
+    COMMITS: T.StructType
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self.buckets = buckets
 
     def commits(self) -> DataFrame:
         """The newest commits; an empty table before the first."""
         try:
-            return self.spark.read.schema(COMMITS).option("recursiveFileLookup", "true").parquet(f"{self.folder}/commits")
+            reader = self.spark.read.schema(self.COMMITS).option("recursiveFileLookup", "true")
+            return reader.parquet(f"{self.folder}/commits")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], COMMITS)
+                return self.spark.createDataFrame([], self.COMMITS)
             raise
 
     def head(self):
         """Newest commit, or None."""
         return self.commits().orderBy(F.desc("no")).first()
 
+    def _committed(self, row: DataFrame, no: int) -> list:
+        """Writes a commit row; returns the ones before, oldest first."""
+        before = sorted(self.commits().collect(), key=lambda r: r["no"])
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/no={no}")
+        return [r for r in before if r["no"] < no]
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class PullState(Committed):
+    """Docs, retry rows and cursor of a continuous pull, visible together.
+
+    Docs lie in buckets of a hash of their id.  A batch reads the buckets of the ids it
+    names, writes those of the docs it accepts anew, and commits one row with the version
+    of every bucket; buckets it does not touch are neither read nor written.  Readers follow
+    the newest commit, so a batch is seen whole or not at all, and a replayed batch id is a
+    no-op.  The commit before stays readable; what only older ones hold is deleted.  The
+    driver sees bucket numbers and versions (at most ``MAX_BUCKETS``), never ids.
+    """
+
+    COMMITS = COMMITS
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        super().__init__(spark, folder)
+        self.buckets = buckets
+
     def epoch(self) -> int:
         """How often the feed was started anew."""
         top = self.head()
@@ -125,7 +147,6 @@ class PullState:
     def _commit(
         self, no: int, batch_id: int, last_seq: int, versions: list[int], epoch: int = 0, until: int = 0
     ) -> None:
-        kept = sorted(self.commits().collect(), key=lambda r: r["no"])
         row = self.spark.range(1).select(
             F.lit(no).cast("bigint").alias("no"), F.lit(batch_id).cast("bigint").alias("batch_id"),
             F.lit(last_seq).cast("bigint").alias("last_seq"),
@@ -133,7 +154,7 @@ class PullState:
             F.lit(epoch).cast("bigint").alias("epoch"), F.lit(until).cast("bigint").alias("until"),
             F.unix_millis(F.current_timestamp()).alias("committed_at"),
         )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/no={no}")
+        kept = self._committed(row, no)
         if len(kept) > 1:
             self._forget(kept[:-1], [kept[-1]["versions"], versions])
 
@@ -151,10 +172,6 @@ class PullState:
             for name in (f"pending/v={commit['no']}", f"conflicts/v={commit['no']}", f"commits/no={commit['no']}"):
                 self._remove(name)
 
-    def _remove(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
     @staticmethod
     def _bucket(key: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

@@ -151,51 +151,72 @@ def captures(events: DataFrame, quiet_ms: int, interval_ms: int, slices: int = 6
     the paths of one segment, and the key itself comes from a distributed
     component search, so chains may have any length.
     """
+    rows = capture_rows(events)
+    rows = with_group(rows, rename_groups(rows))
+    rows = _segments(rows, quiet_ms + 2 * interval_ms, slices)
+    return _folded(rows, lambda: History(quiet_ms, interval_ms))
+
+
+def capture_rows(events: DataFrame) -> DataFrame:
+    """``(path, old, at, _rank, changed)`` of the events that history looks at."""
     kind = F.col("kind")
     old = F.col("old_path") if "old_path" in events.columns else F.lit(None).cast("string")
     changed = F.coalesce(F.col("changed"), F.lit(True)) if "changed" in events.columns else F.lit(True)
     rank = F.when(kind.isin("modify", "create"), 0).when(kind == "rename", 1).when(kind == "delete", 2)
-    rows = events.select(
+    return events.select(
         "path", F.when(kind == "rename", old).alias("old"), F.floor(F.unix_micros("ts") / 1000).alias("at"),
         rank.alias("_rank"), changed.alias("changed"),
     ).filter(F.col("_rank").isNotNull())
-    renames = cut_lineage(rows.filter("old is not null and old <> path").select(F.col("path").alias("a"), F.col("old").alias("b")).distinct())
+
+
+def rename_groups(rows: DataFrame) -> DataFrame | None:
+    """``(path, _joined)`` of the paths that renames join, None without any."""
+    renames = cut_lineage(
+        rows.filter("old is not null and old <> path").select(F.col("path").alias("a"), F.col("old").alias("b")).distinct()
+    )
     if renames.isEmpty():
-        rows = rows.withColumn("_key", F.col("path"))
-    else:
-        joined = components(renames).withColumnsRenamed({"id": "path", "component": "_joined"})
-        rows = rows.join(joined, "path", "left").withColumn("_key", F.coalesce("_joined", "path")).drop("_joined")
-    rows = _segments(rows, quiet_ms + 2 * interval_ms, slices)
+        return None
+    return components(renames).withColumnsRenamed({"id": "path", "component": "_joined"})
 
-    class History:
-        def __init__(self) -> None:
-            self.paths: dict[str, Capture] = {}
 
-        def _at(self, path: str, now: int) -> tuple[Capture, list[tuple[str, int]]]:
-            state = self.paths.setdefault(path, Capture(quiet_ms, interval_ms))
-            return state, [(path, t) for t in state.until(now)]
+def with_group(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Adds ``_key``: the group of a path, or the path itself."""
+    if groups is None:
+        return rows.withColumn("_key", F.col("path"))
+    return rows.join(groups, "path", "left").withColumn("_key", F.coalesce("_joined", "path")).drop("_joined")
 
-        def step(self, r) -> list[tuple[str, int]]:
-            now = int(r.at)
-            state, out = self._at(r.path, now)
-            if r.rank == 0:
-                state.armed, state.dirty = now + quiet_ms, state.dirty or bool(r.changed)
-            elif r.rank == 2:
-                self.paths.pop(r.path)
-            elif r.old is not None and r.old != r.path:
-                gone, more = self._at(r.old, now)
-                out += more
-                self.paths.pop(r.old)
-                state.last = gone.last if gone.last is not None else state.last
-                state.dirty = gone.dirty
-                if gone.armed is not None or gone.due is not None:
-                    state.armed = now + quiet_ms
-            return out
 
-        def finish(self) -> list[tuple[str, int]]:
-            return [(p, t) for p, s in self.paths.items() for t in s.until(None)]
+class History:
+    """Timers of the paths of one group; renames move them from path to path."""
+
+    def __init__(self, quiet_ms: int, interval_ms: int) -> None:
+        self.quiet, self.interval = quiet_ms, interval_ms
+        self.paths: dict[str, Capture] = {}
+
+    def _at(self, path: str, now: int) -> tuple[Capture, list[tuple[str, int]]]:
+        state = self.paths.setdefault(path, Capture(self.quiet, self.interval))
+        return state, [(path, t) for t in state.until(now)]
+
+    def step(self, r) -> list[tuple[str, int]]:
+        now = int(r.at)
+        state, out = self._at(r.path, now)
+        if r.rank == 0:
+            state.armed, state.dirty = now + self.quiet, state.dirty or bool(r.changed)
+        elif r.rank == 2:
+            self.paths.pop(r.path)
+        elif r.old is not None and r.old != r.path:
+            gone, more = self._at(r.old, now)
+            out += more
+            self.paths.pop(r.old)
+            state.last = gone.last if gone.last is not None else state.last
+            state.dirty = gone.dirty
+            if gone.armed is not None or gone.due is not None:
+                state.armed = now + self.quiet
+        return out
 
-    return _folded(rows, History)
+    def finish(self, now: int | None = None) -> list[tuple[str, int]]:
+        """Runs everything due before ``now``, or all that is left."""
+        return [(p, t) for p, s in self.paths.items() for t in s.until(now)]
 
 
 class Capture:
@@ -345,11 +366,11 @@ def stream_timers(
     """Streaming :func:`debounce` (``interval_ms=0``) or debounce plus
     :func:`min_interval`, with a watermark ``delay`` on the event time.
 
-    History follows renames from path to path, which a state per path can't; use
-    :func:`captures` on the batches instead.
+    History follows renames from path to path, which a state per path can't: see
+    ``stream_captures``.
     """
     if mode != "push":
-        raise ValueError(f"no streaming form of mode {mode!r}")
+        raise ValueError(f"no state per path for mode {mode!r}")
     rows = steps(events.withWatermark("ts", delay).withColumn("ts", F.col("ts")))
     return rows.groupBy("path").transformWithStateInPandas(
         statefulProcessor=PathTimers(quiet_ms, interval_ms, mode),
