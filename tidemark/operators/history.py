@@ -28,7 +28,7 @@ def churn(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def capture_revisions(
-    versions: DataFrame, exclude: Sequence[str] = (), slices: int = 64
+    versions: DataFrame, exclude: Sequence[str] = (), slices: int | None = None
 ) -> DataFrame:
     """One revision per changed diffable version of a file, in time order.
 
@@ -61,7 +61,7 @@ def capture_revisions(
     )
 
 
-def link_chain(revisions: DataFrame, slices: int = 64) -> DataFrame:
+def link_chain(revisions: DataFrame, slices: int | None = None) -> DataFrame:
     """``parent_id`` = previous id of the file by time."""
     return previous_row(
         revisions.drop("parent_id"), ["file_path"], ["timestamp", "id"], {"id": "parent_id"}, slices

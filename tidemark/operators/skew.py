@@ -8,9 +8,6 @@ broadcast, whatever the data looks like.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,8 +78,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def _cuts(df: DataFrame, order: str, slices: int) -> list:
-    """Equal-depth cut points of one numeric column (bounded: ``slices`` values)."""
+SLICE_ROWS = 100_000
+MAX_SLICES = 1024
+
+
+def _cuts(df: DataFrame, order: str, slices: int | None) -> list:
+    """Equal-depth cut points of one numeric column (at most ``MAX_SLICES`` values).
+
+    Where ``slices`` is not given it follows the number of rows.
+    """
+    if slices is None:
+        slices = max(1, min(MAX_SLICES, df.count() // SLICE_ROWS))
+    if slices < 2:
+        return []
     shares = [i / slices for i in range(1, slices)]
     row = df.agg(F.percentile_approx(order, shares, 10 * slices).alias("c")).first()
     return sorted(set(row["c"] or []))
@@ -91,11 +99,15 @@ def _cuts(df: DataFrame, order: str, slices: int) -> list:
 def slice_no(order: Column | str, cuts: Sequence) -> Column:
     """Number of cut points at or below the value: monotone in ``order``."""
     o = F.col(order) if isinstance(order, str) else order
-    if not cuts:
-        return F.lit(0)
     # No lambda: the optimizer would carry its variable into filters it infers for
     # the other side of a join, where the column it captures does not exist.
-    return reduce(add, (F.when(F.lit(c) <= o, 1).otherwise(0) for c in cuts))
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(o < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return F.when(o.isNull(), 0).otherwise(search(0, len(cuts))) if cuts else F.lit(0)
 
 
 def previous_row(
@@ -103,12 +115,13 @@ def previous_row(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, str],
-    slices: int = 64,
+    slices: int | None = None,
     cuts: Sequence | None = None,
 ) -> DataFrame:
     """``lag`` by key where one key may hold a large share of all rows.
 
-    The first order column is cut into ``slices`` equal-depth ranges and rows
+    The first order column is cut into equal-depth ranges, ``slices`` of them or as many
+    as the rows ask for, and rows
     are windowed per ``(keys, range)``.  Only the last row of each range is
     carried to the next range of the same key, so no task ever sees more than
     one range of a key.  ``values`` maps source column to output column.
@@ -140,7 +153,7 @@ def previous_row(
 
 
 def running_max(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, slices: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, slices: int | None = None
 ) -> DataFrame:
     """Adds ``out``: the largest ``value`` up to and with this row of its key.
 

@@ -93,7 +93,7 @@ def _number(df: DataFrame, column: str):
     return ids.seq_number(column) if df.schema[column].dataType.typeName() == "string" else F.col(column)
 
 
-def detect_recreate(batches: DataFrame, feed: str, slices: int = 64) -> DataFrame:
+def detect_recreate(batches: DataFrame, feed: str, slices: int | None = None) -> DataFrame:
     """``(batch_no, last_seq, action)`` over a table of feed batches.
 
     ok; reset: the first regression of a settings feed, pulled again from 0 with
@@ -281,7 +281,7 @@ def stream_push_candidates(
     )
 
 
-def feed_lag(ticks: DataFrame, grace_ms: int = 60_000, slices: int = 64) -> DataFrame:
+def feed_lag(ticks: DataFrame, grace_ms: int = 60_000, slices: int | None = None) -> DataFrame:
     """``(store, ts, lag, state)`` per health tick.
 
     ``ticks``: ``store, ts, remote_seq, consumed_seq, last_bytes_at``.  busy: bytes

@@ -37,7 +37,7 @@ def steps(events: DataFrame) -> DataFrame:
     ).filter(F.col("what").isNotNull())
 
 
-def _following(rows: DataFrame, slices: int) -> DataFrame:
+def _following(rows: DataFrame, slices: int | None) -> DataFrame:
     """Adds ``next_at`` and ``next_what``: the next step on the same path."""
     back = rows.withColumn("_neg", -F.col("at")).withColumn(
         # At one instant an arm comes before a cancel.
@@ -48,7 +48,7 @@ def _following(rows: DataFrame, slices: int) -> DataFrame:
     ).drop("_neg", "_tie")
 
 
-def debounce(events: DataFrame, quiet_ms: int, mode: str = "push", slices: int = 64) -> DataFrame:
+def debounce(events: DataFrame, quiet_ms: int, mode: str = "push", slices: int | None = None) -> DataFrame:
     """``(path, fire_at, next_at)``: one firing per burst, at last event + quiet.
 
     An armed path fires unless the next step on it comes within ``quiet_ms``;
@@ -70,7 +70,7 @@ def debounce(events: DataFrame, quiet_ms: int, mode: str = "push", slices: int =
 RUNS = T.StructType().add("path", "string").add("run_at", "long")
 
 
-def _segments(rows: DataFrame, gap_ms: int, slices: int) -> DataFrame:
+def _segments(rows: DataFrame, gap_ms: int, slices: int | None) -> DataFrame:
     """Adds ``_from``: the start of the row's run of rows of one ``_key`` without a gap.
 
     Timers of different segments know nothing of each other, so a busy key is
@@ -104,7 +104,7 @@ def _folded(rows: DataFrame, fold) -> DataFrame:
 
 
 def min_interval(
-    firings: DataFrame, interval_ms: int, resets: DataFrame | None = None, slices: int = 64
+    firings: DataFrame, interval_ms: int, resets: DataFrame | None = None, slices: int | None = None
 ) -> DataFrame:
     """``(path, run_at)``: push firings thinned to one run per ``interval_ms``.
 
@@ -137,7 +137,7 @@ def min_interval(
     return _folded(rows, Push)
 
 
-def captures(events: DataFrame, quiet_ms: int, interval_ms: int, slices: int = 64) -> DataFrame:
+def captures(events: DataFrame, quiet_ms: int, interval_ms: int, slices: int | None = None) -> DataFrame:
     """``(path, run_at)``: history runs, debounced and thinned, with renames.
 
     A burst runs ``quiet_ms`` after its last event; a run sooner than
