@@ -4,8 +4,8 @@ Letter trigrams are counted per language over all training documents, in a fixed
 number of hashed cells, and smoothed.  A document is a mixture: expectation-
 maximisation estimates the share of each language from the likelihoods of its
 trigrams.  Sets of its strongest languages are then fitted anew, and the set with the
-best likelihood less a penalty per language is its language set; the first language
-of that set is the prediction and its share of the whole mixture the score.
+best likelihood less a penalty per language is its language set; the language of the
+largest share in that set's own mixture is the prediction, and that share the score.
 
 Only text and language of training documents teach the model.  It holds ``CELLS``
 numbers per language, whatever the corpus; that is all the driver sees.
@@ -104,7 +104,11 @@ def _mixture(p: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int) -> tu
 
 
 def infer(text: str | None, logs: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> list[tuple[int, float]]:
-    """``(language, share)`` of the chosen language set, strongest first."""
+    """``(language, share)`` of the chosen language set, strongest first.
+
+    Shares are those of the mixture of the set alone.  Another language joins the set
+    while the likelihood gains more than the penalty by it.
+    """
     found = trigrams(text)
     if not len(found) or not len(logs):
         return []
@@ -115,22 +119,21 @@ def infer(text: str | None, logs: np.ndarray, rounds: int = ROUNDS, penalty: flo
     top = at.max(axis=0)
     p = np.exp(np.maximum(at - top, -50.0))
     k = len(logs)
-    share, _ = _mixture(p, n, np.full(k, 1 / k), rounds)
-    order = np.argsort(-share, kind="stable")
+    whole, _ = _mixture(p, n, np.full(k, 1 / k), rounds)
+    order = np.argsort(-whole, kind="stable")
     cost = penalty * np.log(max(2.0, n.sum())) / 2
-    best, reached = 1, float(n @ np.log(np.maximum(p[order[0]], 1e-300)))
+    chosen, share, reached = order[:1], np.ones(1), float(n @ np.log(np.maximum(p[order[0]], 1e-300)))
     for size in range(2, k + 1):
-        chosen = order[:size]
-        start = np.maximum(share[chosen], 1e-6)
-        _, value = _mixture(p[chosen], n, start / start.sum(), rounds // 2)
-        if value - cost <= reached:
+        start = np.maximum(whole[order[:size]], 1e-6)
+        fitted, value = _mixture(p[order[:size]], n, start / start.sum(), rounds)
+        if value - reached <= cost:
             break
-        best, reached = size, value - cost
-    return [(int(i), float(share[i])) for i in order[:best]]
+        chosen, share, reached = order[:size], fitted, value
+    return [(int(chosen[i]), min(float(share[i]), 1.0)) for i in np.argsort(-share, kind="stable")]
 
 
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row with lang_pred, score and lang_set."""
+    """Columns ``keep`` of every row with lang_pred, score, lang_set and the set's shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,14 +141,16 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, keep: list[str]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1],
                  pa.array([langs[s[0][0]] if s else UNKNOWN for s in sets], pa.string()),
-                 pa.array([min(s[0][1], 1.0) if s else 0.0 for s in sets], pa.float64()),
-                 pa.array([[langs[i] for i, _ in s] for s in sets], pa.list_(pa.string()))],
-                [*keep, "lang_pred", "score", "lang_set"],
+                 pa.array([s[0][1] if s else 0.0 for s in sets], pa.float64()),
+                 pa.array([[langs[i] for i, _ in s] for s in sets], pa.list_(pa.string())),
+                 pa.array([[share for _, share in s] for s in sets], pa.list_(pa.float64()))],
+                [*keep, "lang_pred", "score", "lang_set", "shares"],
             )
 
     source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = T.StructType(source.schema.fields[:-1])
-    schema = schema.add("lang_pred", "string").add("score", "double").add("lang_set", T.ArrayType(T.StringType()))
+    schema = schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add("lang_set", T.ArrayType(T.StringType())).add("shares", T.ArrayType(T.DoubleType()))
     return source.mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ shard's source counts are multinomial; the last shards settle what each source s
 lacks.  A source's q-th slot takes block ``perm(q mod blocks)`` of pass ``q div
 blocks``, where ``perm`` is a swap-or-not permutation keyed by source and pass, so no
 block comes more than once in a pass and targets of twice the size take two passes.
-Blocks and slots are joined by index.
+Blocks and slots are joined by index; ``shards`` is the output in shard order.
 
 Defined results: NULL and empty texts have size 0 and are never taken; NULL sources
 form one source, last; equal targets need no tie rule; repeated rows are separate
@@ -120,8 +120,10 @@ def slots(per_source: DataFrame, seed: int = SEED) -> DataFrame:
         )
     )
     rest = lacking.agg(F.sum("_n")).first()[0] or 0
+    # The settling slots are dealt over their shards, so that none is a run of one source.
+    dealt = _permuted(F.col("id"), F.lit(max(rest, 1)).cast("long"), F.lit(seed), F.lit("settled"))
     settled = _owner(spark.range(rest).withColumn("_v", F.col("id")), lacking, max(rest, 1)).select(
-        (F.col("id") + full * SLOTS).alias("id"), "_key", "blocks",
+        (dealt + full * SLOTS).alias("id"), "_key", "blocks",
         (F.col("_had") + F.col("_v") - F.col("_lo")).alias("_q"),
     )
     q = drawn.select("id", "_key", "blocks", "_q").unionByName(settled)
@@ -133,8 +135,8 @@ def slots(per_source: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per document: sizes, target, ``taken`` and ``pieces`` (first word, words, times)."""
+def _pieces(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents without texts, sources, and the pieces of documents that blocks hold."""
     light = cut_lineage(
         docs.select(
             "doc_id", "source", null_last(F.col("source")).alias("_key"),
@@ -145,9 +147,6 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         )
     )
     per = cut_lineage(targets(light))
-    times = slots(per, seed).groupBy("_key", F.col("block_no").alias("_block")).agg(
-        F.count(F.lit(1)).alias("_times")
-    )
     some = light.filter("size > 0").withColumn("_slice", hash_slice(F.col("_order"), n_slices(light.count())))
     placed = running_total(
         some, ["_key"], "_slice", ["_order", "doc_id", "size", "_hash"], F.col("size"), "_start"
@@ -158,6 +157,33 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     pieces = full.withColumn("_block", F.explode(F.sequence(whole(first), whole(last - 1)))).withColumn(
         "_from", F.greatest(first, F.col("_block") * F.col("block"))
     ).withColumn("_to", F.least(last, (F.col("_block") + 1) * F.col("block")))
+    return light, per, pieces
+
+
+def shards(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The output shards: ``(shard, slot, source, block_no, doc_id, first, n)``.
+
+    A slot's block is joined by index to the pieces that it holds, in document order by
+    ``at``: ``n`` words of a document from its word ``first`` on.
+    """
+    _, per, pieces = _pieces(docs, seed)
+    held = pieces.select(
+        "_key", F.col("_block").alias("block_no"), "source", "doc_id", (F.col("_from") - F.col("_start")).alias("first"),
+        (F.col("_to") - F.col("_from")).alias("n"), (F.col("_from") - F.col("_block") * F.col("block")).alias("at"),
+    )
+    return slots(per, seed).join(held, ["_key", "block_no"]).select(
+        "shard", "slot", "source", "block_no", "at", "doc_id", "first", "n"
+    )
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Per document: sizes, target, ``taken``, ``pieces`` (first word, words, times), and the
+    first output shard and the number of slots that hold words of it."""
+    light, per, pieces = _pieces(docs, seed)
+    times = slots(per, seed).groupBy("_key", F.col("block_no").alias("_block")).agg(
+        F.count(F.lit(1)).alias("_times"), F.min("shard").alias("_shard")
+    )
+    first = F.col("_start")
     joined = pieces.join(times, ["_key", "_block"], "left")
     taken = joined.groupBy("_key", "_start").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "_hash", "source_size", "target")],
@@ -167,11 +193,14 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
             F.struct((F.col("_from") - first).alias("first"), (F.col("_to") - F.col("_from")).alias("n"),
                      F.col("_times").alias("times")),
         ))).alias("pieces"),
+        F.min("_shard").alias("first_shard"), F.sum(F.coalesce("_times", F.lit(0))).cast("long").alias("n_slots"),
     )
-    none = light.filter("size = 0").join(per, "_key").withColumn("taken", F.lit(0).cast("long")).withColumn(
-        "pieces", F.lit(None).cast(taken.schema["pieces"].dataType)
-    )
-    out = ("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "_hash")
+    nothing = F.lit(0).cast("long")
+    none = light.filter("size = 0").join(per, "_key").withColumns({
+        "taken": nothing, "n_slots": nothing, "first_shard": F.lit(None).cast("long"),
+        "pieces": F.lit(None).cast(taken.schema["pieces"].dataType),
+    })
+    out = ("doc_id", "source", "size", "source_size", "target", "taken", "first_shard", "n_slots", "pieces", "_hash")
     return taken.select(*out).unionByName(none.select(*out))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, cut_lineage, row_key, unwrapped, wrapped
+from tidemark.operators.skew import hot_keys, salted_join
 
 # A match starts where the last one ended or where its run of characters starts, and
 # runs are possessive: no other start or shorter run can match, and none is tried.
@@ -40,6 +41,7 @@ NO_SPANS = f"array<{SPAN}>"
 
 CANDIDATE = f"[^{SPACE}]*[0-9@][^{SPACE}]*"
 MIN_CHARS = 6
+HOT_EDGES = 256  # edges of a pattern beyond which they are spread
 MIN_SUPPORT = 3  # distinct known instances that a pattern needs
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.9
@@ -204,6 +206,8 @@ def bootstrap(found: DataFrame) -> DataFrame:
     )
     known = cut_lineage(edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("as_kind")))
     seeds = known
+    # A common context has a fixed share of all edges; its edges are spread in each round.
+    hot = cut_lineage(hot_keys(edges, "pattern", HOT_EDGES))
     while True:
         told = edges.select("pattern", "value").join(known, "value", "left")
         scored = told.groupBy("pattern").agg(
@@ -214,7 +218,8 @@ def bootstrap(found: DataFrame) -> DataFrame:
             F.col("pattern_kind").isNotNull() & (F.col("hits") >= MIN_SUPPORT) & (F.col("hits") >= MIN_PATTERN * F.col("n"))
         ).select("pattern", "pattern_kind", (F.col("hits") / F.col("n")).alias("trust"))
         weight = -F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))
-        weighed = edges.select("pattern", "value").join(good, "pattern").groupBy("value").agg(
+        met = salted_join(edges.select("pattern", "value"), good, "pattern", ["value"], "inner", HOT_EDGES, hot)
+        weighed = met.groupBy("value").agg(
             *[F.sum(F.when(F.col("pattern_kind") == k, weight).otherwise(0.0)).alias(f"_{k}") for k in KINDS]
         )
         kind, most = _leading({k: F.col(f"_{k}") for k in KINDS})

@@ -63,7 +63,7 @@ def op2(vectors: DataFrame) -> DataFrame:
 
 @register("op3_mixing", "documents")
 def op3(docs: DataFrame) -> DataFrame:
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_shard", "n_slots")
 
 
 @register("op4_packing", "documents")
@@ -83,7 +83,7 @@ b as (select doc_id, o, k, length(h) // 2 + 1 as size,
              {CRC_OF_H} as text_crc32 from d, crc),
 r as (select *, row_number() over (partition by k order by o, doc_id, size, text_crc32) - 1 as r,
              count(*) over (partition by k) as n, count(*) over () as total from b),
-g as (select *, row_number() over (order by (2 * r + 1)::double / (2 * n), k) - 1 as pos from r)
+g as (select *, row_number() over (order by (r + ('0x' || substr(md5('17:' || k), 1, 8))::bigint / 4294967296.0::double) / n, k) - 1 as pos from r)
 select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'rows' as law,
        cast((pos * 8) // total as integer) as shard,
        cast(pos - ceil(((pos * 8) // total) * total / 8.0) as bigint) as slot, cast(null as integer) as grown_shard
@@ -131,7 +131,7 @@ def op10(docs: DataFrame) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 4) == 2
     langs, logs = language.fit(docs, ~held_out)
     return language.predict(docs, langs, logs, ["doc_id"]).select(
-        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_set", "shares"
     )
 
 

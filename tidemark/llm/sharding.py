@@ -1,9 +1,10 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are ranked in a seeded order within their source; the rank divided by the
-source's size is a position in (0, 1); all rows sorted by position are cut into runs
-of equal length.  Each source is spread evenly over the positions, so every shard has
-its share of every source, to one row, and shards differ by one row at most.
+Rows are ranked in a seeded order within their source; the rank, with a seeded offset
+below one for the source, divided by the source's size is a position in (0, 1); all rows
+sorted by position are cut into runs of equal length.  Each source is spread evenly over
+the positions, so every shard has its share of every source, to one row, and shards differ
+by one row at most.  The offsets spread the rows of many small sources as well.
 
 Defined results: NULL sources form one source, sorted last; a NULL text has size 1
 and the checksum of the empty text; repeated rows and ids are ranked by their other
@@ -44,8 +45,10 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
         light.withColumn("_slice", hash_slice(F.col("_order"), slices)),
         ["_key"], "_slice", ["_order", "doc_id", "size", "text_crc32"], one, "_rank",
     )
+    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_key").cast("binary")), 1, 8)
+    offset = F.conv(head, 16, 10).cast("long") / F.lit(float(1 << 32))
     placed = ranked.join(totals, "_key").withColumn(
-        "_place", (2 * F.col("_rank") + 1) / (2 * F.col("_of"))
+        "_place", (F.col("_rank") + offset) / F.col("_of")
     ).withColumn("_part", F.floor(F.col("_place") * slices).cast("int"))
     cut = running_total(
         placed.withColumn("_all", F.lit(0)), ["_all"], "_part", ["_place", "_key"], one, "_at"

@@ -20,6 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import salted_join
 from tidemark.session import cut_lineage, shared_dir
 
 MIN_BYTES = 100
@@ -100,17 +101,18 @@ def _field(name: str) -> Column:
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Every record: parsed fields, its header, block payload and whole bytes.
 
-    Fails where stored bytes don't have the digest they are stored under.  The
-    payload's length and digest are taken from the bytes beside the scan, so that a
-    query without ``payload`` and ``record`` joins no bytes.
+    A response's payload length and digest are those of the record rebuilt by the join,
+    behind its header; a revisit's block is empty, and its figures are those of the stored
+    payload that it refers to.  Fails where stored bytes don't have the digest they are
+    stored under.  The records of a payload with very many copies are spread.
     """
     stored = spark.read.parquet(f"{folder}/payloads").select(
         "digest", "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("_bytes"),
+        F.sha2("payload", 256).alias("_found"),
     ).withColumn(
-        "payload_digest",
-        F.when(F.col("digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(
+        "_found",
+        F.when(F.col("digest") == F.col("_found"), F.col("_found")).otherwise(
             F.raise_error(F.concat(F.lit("broken payload "), F.col("digest")))
         ),
     )
@@ -125,9 +127,14 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         _field("WARC-Target-URI").alias("url"),
     )
     end = F.lit(CRLF * 2).cast("binary")
-    joined = parsed.join(stored, "digest")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.withColumn("record", F.concat("header", body, end)).select(
+    joined = salted_join(parsed, stored, "digest", ["page_id", "url"], "inner")
+    response = F.col("record_type") == "response"
+    rebuilt = joined.withColumn("record", F.concat("header", F.when(response, F.col("payload")).otherwise(F.lit(b"")), end))
+    size = F.octet_length("record") - F.octet_length("header") - len(CRLF * 2)
+    block = F.substr("record", F.octet_length("header") + 1, size)
+    return rebuilt.withColumn(
+        "payload_bytes", F.when(response, size.cast("long")).otherwise(F.col("_bytes"))
+    ).withColumn("payload_digest", F.when(response, F.sha2(block, 256)).otherwise(F.col("_found"))).select(
         "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to",
         "header", "payload", "record",
     )
