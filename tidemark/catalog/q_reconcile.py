@@ -8,7 +8,7 @@ from tidemark.catalog.registry import query
 from tidemark.catalog.tables import CHUNK_BYTES, DEVICE, PREVIOUS_DEVICES
 from tidemark.functions import clocks, ids
 from tidemark.plans import apply, reconcile
-from tidemark.session import shared_dir
+from tidemark.session import work_dir
 from tidemark.sources.store import DocStore
 
 
@@ -169,7 +169,7 @@ settled as (
 
 def applied_store(t, disk, docs):
     """A store that a whole reconcile run was committed to, with the plan's disk work."""
-    base = f"{shared_dir(t.spark).rstrip('/')}/tidemark/settled-{uuid.uuid4().hex}"
+    base = f"{work_dir(t.spark)}/settled-{uuid.uuid4().hex}"
     held = DocStore(t.spark, base)
     docs = docs.withColumn("_version", F.lit(1)).withColumn("_local_seq", F.lit(1).cast("bigint"))
     held.start(docs, t.spark.createDataFrame([], "_id string, content binary"), baselines=t.baselines)

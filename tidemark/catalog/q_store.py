@@ -8,7 +8,7 @@ from tidemark.catalog.registry import query
 from tidemark.functions import clocks
 from tidemark.operators import baselines, integrity, logs
 from tidemark.schemas import DAY_MS
-from tidemark.session import shared_dir
+from tidemark.session import work_dir
 from tidemark.sources import feed, scan
 from tidemark.sources.store import DocStore
 
@@ -54,7 +54,7 @@ def _(t):
 )
 def _(t):
     # Drained, changed by a batch, and drained again from the checkpoint.
-    base = f"{shared_dir(t.spark).rstrip('/')}/tidemark/feed-{uuid.uuid4().hex}"
+    base = f"{work_dir(t.spark)}/feed-{uuid.uuid4().hex}"
     held = DocStore(t.spark, f"{base}/store")
     none = t.spark.createDataFrame([], "_id string, content binary")
     held.start(t.stored_docs, none)
@@ -97,7 +97,7 @@ def _(t):
 def _(t):
     # The documents written as files, a folder per language and source, are the disk; each
     # write leaves an empty file behind, and two folders have names that readers pass over.
-    root = f"{shared_dir(t.spark).rstrip('/')}/tidemark/disk-{uuid.uuid4().hex}"
+    root = f"{work_dir(t.spark)}/disk-{uuid.uuid4().hex}"
     docs = t.source("documents").select("lang", "source", "text")
     docs.repartition("lang", "source").write.partitionBy("lang", "source").text(f"{root}/docs")
     docs.select("source").write.text(f"{root}/.config")
@@ -147,7 +147,7 @@ def _(t):
     deletes = t.stored_docs.filter(F.col("doc_id") % 6 == 2).select("_id").join(
         t.remote_docs.select("_id"), "_id", "left_anti"
     )
-    held = DocStore(t.spark, f"{shared_dir(t.spark).rstrip('/')}/tidemark/store-{uuid.uuid4().hex}")
+    held = DocStore(t.spark, f"{work_dir(t.spark)}/store-{uuid.uuid4().hex}")
     held.start(t.stored_docs, t.local_chunks)
     for _ in range(2):  # the second time is a replay
         held.apply(1, batch(t), t.remote_chunks, deletes)

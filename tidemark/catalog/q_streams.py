@@ -9,7 +9,7 @@ from tidemark.catalog.q_plans import CANDIDATES, PULL, pull_writes
 from tidemark.catalog.registry import query
 from tidemark.catalog.tables import Tables
 from tidemark.functions import clocks
-from tidemark.session import shared_dir
+from tidemark.session import work_dir
 from tidemark.streaming import captures, feeds, timers
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,7 +18,7 @@ INTERVAL = 12 * 3600 * 1000
 
 
 def folder(t) -> str:
-    return f"{shared_dir(t.spark).rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
+    return f"{work_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(t, name):

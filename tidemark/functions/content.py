@@ -220,6 +220,7 @@ def lcs_length(x: np.ndarray, y: np.ndarray) -> int:
     Lines of one side only can't be common and go first, then equal ends.  What is left
     of alike texts is a few edits apart; texts farther apart are compared by bits.
     """
+    x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
     size = int(max(x.max(initial=-1), y.max(initial=-1))) + 1
     both = (np.bincount(x, minlength=size) > 0) & (np.bincount(y, minlength=size) > 0)
     x, y = x[both[x]], y[both[y]]

@@ -27,14 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def work_dir(spark: SparkSession) -> str:
+    """Where this application writes what it needs only while it runs."""
+    return f"{shared_dir(spark).rstrip('/')}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; call it between jobs, when no
+    DataFrame that still has to be read stands on them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
     Ends the growth of a plan that is used several times, survives executor
     loss, and gives Catalyst real sizes: a short table is broadcast by its
-    measured size, a long one is shuffled.
+    measured size, a long one is shuffled.  :func:`clear` deletes such tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
