@@ -47,7 +47,7 @@ TOP = 10
 SCALE = 1_000_000_000
 BLOCK_TERMS = 384
 TILE = 64  # groups of a language that meet in one task
-HELD = 200_000  # counters a task holds before it passes them on
+HELD = 500_000  # counters a task holds before it passes them on
 
 _BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -60,52 +60,70 @@ def terms(text: str | None) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents with the term.
+    """``(lang, source, term, n)`` of parts of the corpus: occurrences per group, and with a
+    NULL source the documents of the language that have the term.
 
-    A task counts in a bounded table first, so that a frequent term is one row a task.
-    Each group also has a row with a NULL term, be there terms or not.
+    A task counts in a bounded table first, so that a frequent term is few rows a task.
     """
 
-    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        lang, source, term, n, of = [], [], [], [], []
-        for (la, so), (count, seen) in held.items():
-            lang += [la] * (len(count) + 1)
-            source += [so] * (len(count) + 1)
-            term += [None, *count]
-            n += [0, *count.values()]
-            of += [0, *(seen[t] for t in count)]
+    def rows(lang: str, source: str | None, held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(source, pa.string()),
-             pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(of, pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
+            [pa.repeat(pa.scalar(lang, pa.string()), len(held)), pa.repeat(pa.scalar(source, pa.string()), len(held)),
+             pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
+            ["lang", "source", "term", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str | None], Counter] = {}
         size = 0
         for batch in batches:
             for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
-                count, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(count)
+                count, seen = held.setdefault((lang, source), Counter()), held.setdefault((lang, None), Counter())
+                size -= len(count) + len(seen)
                 found = terms(text)
                 count.update(found)
                 seen.update(set(found))
-                size += 1 + len(count) - before
-                if size > HELD:
-                    yield rows(held)
+                size += len(count) + len(seen)
+                if size + len(held) > HELD:
+                    yield from (rows(*key, counted) for key, counted in held.items() if counted)
                     held, size = {}, 0
-        if held:
-            yield rows(held)
+        yield from (rows(*key, counted) for key, counted in held.items() if counted)
 
-    plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    found = plain.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return plain_columns(docs, "text").mapInArrow(run, "lang string, source string, term binary, n long")
+
+
+def plain_columns(docs: DataFrame, *more: str) -> DataFrame:
+    """Columns ``more``, lang and source with NULL as the empty string."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*more, "lang", "source")])
+
+
+def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
+    """``(lang, source, term, n, total, class, first)`` of the kept terms of each group.
+
+    One shuffle by language and term brings the parts of a term together; its groups, its
+    documents and its occurrences ``total`` are added up there.  ``first`` marks one row a term.
+    """
+    counted = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    of_term = Window.partitionBy("lang", "term")
+    group = F.col("source").isNotNull()
+    return (
+        counted.withColumns({
+            "_docs": F.sum(F.when(~group, F.col("n"))).over(of_term),
+            "total": F.sum(F.when(group, F.col("n"))).over(of_term),
+            "_no": F.row_number().over(of_term.orderBy(F.col("source").asc_nulls_first())),
+        })
+        .filter(group & (F.col("_docs") >= min_docs))
+        .select("lang", "source", "term", "n", "total", F.floor(F.log2("total")).cast("int").alias("class"),
+                (F.col("_no") == 2).alias("first"))
+    )
 
 
 def p_of(count: Column, total: Column, kept: Column) -> Column:
-    """``1 + floor(SCALE * (count + 2) / (N + 2 V))``, in decimals beyond 64 bits."""
+    """``1 + floor(SCALE * (count + 2) / (N + 2 V))``, in decimals where 64 bits don't hold it."""
     wide = (F.lit(SCALE).cast("decimal(10,0)") * (count + 2).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return F.call_function("div", wide, (total + 2 * kept).cast("decimal(38,0)")) + 1
+    far = F.call_function("div", wide, (total + 2 * kept).cast("decimal(38,0)"))
+    near = F.call_function("div", (count + 2) * F.lit(SCALE).cast("long"), total + 2 * kept)
+    return F.when(count < F.lit((1 << 63) // SCALE - 2), near).otherwise(far) + 1
 
 
 def f_of(p: Column, q: Column) -> Column:
@@ -113,26 +131,25 @@ def f_of(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _numbered(kept: DataFrame) -> DataFrame:
-    """``kept`` (lang, term, total) with block (class, slice) and bit of every term.
+def numbered(kept: DataFrame) -> DataFrame:
+    """Adds ``slice`` and ``bit``, the term's place in its block of language, class and slice.
 
     Classes are powers of two of the frequency; a class of a language is cut by a hash into
-    slices of about ``BLOCK_TERMS`` terms, so no window holds more than a slice.
+    slices of about ``BLOCK_TERMS`` terms, so a window holds the groups of so many terms.
     """
-    kept = kept.withColumn("class", F.floor(F.log2(F.col("total"))).cast("int"))
-    sizes = kept.groupBy("lang", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TERMS)).alias("_slices"))
-    sliced = kept.join(broadcast_if_small(sizes), ["lang", "class"]).withColumn(
+    sizes = kept.filter("first").groupBy("lang", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TERMS)).alias("_slices"))
+    sliced = kept.join(broadcast_if_small(cut_lineage(sizes)), ["lang", "class"]).withColumn(
         "slice", F.pmod(F.xxhash64("term"), F.col("_slices")).cast("int")
     )
     place = Window.partitionBy("lang", "class", "slice").orderBy("term")
-    return sliced.select("lang", "term", "total", "class", "slice", (F.row_number().over(place) - 1).alias("bit"))
+    return sliced.withColumn("bit", F.dense_rank().over(place) - 1).drop("_slices")
 
 
-def bitmaps(numbered: DataFrame) -> DataFrame:
+def bitmaps(terms_of: DataFrame) -> DataFrame:
     """``(lang, class, slice, source, count, word, bits)``: the stored count-level bitsets."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("bit"), F.lit(64)))
     return (
-        numbered.withColumn("word", F.floor(F.col("bit") / 64).cast("int")).withColumn("_one", bit)
+        terms_of.withColumn("word", F.floor(F.col("bit") / 64).cast("int")).withColumn("_one", bit)
         .groupBy("lang", "class", "slice", "source", F.col("n").alias("count"), "word")
         .agg(F.bit_or("_one").alias("bits"))
     )
@@ -230,19 +247,12 @@ def pair_values(maps: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``(lang, source, part, item, value, rank)`` of parts ``pair`` and ``term``."""
-    counts = cut_lineage(term_counts(docs))
-    by_term = counts.filter("term is not null").groupBy("lang", "term").agg(
-        F.sum("docs").alias("_docs"), F.sum("n").alias("total")
-    )
-    kept = cut_lineage(_numbered(by_term.filter(F.col("_docs") >= min_docs).drop("_docs")))
-    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_total"))
-    rows = cut_lineage(
-        counts.filter("term is not null").select("lang", "source", "term", "n").join(kept, ["lang", "term"])
-    )
+    rows = cut_lineage(kept_terms(docs, min_docs))
+    vocabulary = rows.filter("first").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_total"))
     sums = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     place = Window.partitionBy("lang").orderBy("source")
     listed = (
-        counts.filter("term is null").select("lang", "source")
+        plain_columns(docs).distinct()
         .join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left")
         .na.fill(0, ["total", "kept", "lang_total"])
         .withColumn("gid", (F.row_number().over(place) - 1).cast("long"))
@@ -254,7 +264,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
             "n_tiles", F.ceil(F.count(F.lit(1)).over(of_lang) / F.lit(TILE)).cast("int"))
     )
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pair_values(bitmaps(rows), groups).select(
+    pairs = pair_values(bitmaps(numbered(rows)), groups).select(
         "lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(ranked).alias("rank")
     )
 
