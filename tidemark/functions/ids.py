@@ -127,14 +127,22 @@ def ancestors(c: Column | str) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+# --- fixed values: what is said of a path that must not be written -----------
+EMPTY = "empty path"
+BACKSLASH = "backslash separator"
+ABSOLUTE = "absolute path"
+DRIVE = "drive letter"
+TRAVERSAL = "parent-directory traversal (..)"
+# -----------------------------------------------------------------------------
+
+
 def unsafe_reason(c: Column | str) -> Column:
+    """Why a path could leave its root, NULL where it can't."""
     p = F.coalesce(_col(c), F.lit(""))
+    climbs = F.array_contains(F.split(p, "/", -1), "..")
     return (
-        F.when(p == "", "empty path")
-        .when(p.contains("\\"), "backslash separator")
-        .when(p.startswith("/"), "absolute path")
-        .when(p.rlike("^[a-zA-Z]:"), "drive letter")
-        .when(F.array_contains(F.split(p, "/", -1), ".."), "parent-directory traversal (..)")
+        F.when(p == "", EMPTY).when(p.contains("\\"), BACKSLASH).when(p.startswith("/"), ABSOLUTE)
+        .when(p.rlike("^[a-zA-Z]:"), DRIVE).when(climbs, TRAVERSAL)
     )
 
 

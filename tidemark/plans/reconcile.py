@@ -598,7 +598,8 @@ def ingest_files(
 
 def ingest_chunks(disk: DataFrame, plan: DataFrame, chunk_bytes: int = FILE_CHUNK_BYTES, alg=DEFAULT_ALG) -> DataFrame:
     """Chunk rows of the files an ingest wrote, one per id."""
-    written = plan.filter("outcome = 'written'").select("path")
+    # Written once: the plan hashes files, and its paths are counted before they are joined.
+    written = cut_lineage(plan.filter("outcome = 'written'").select("path"))
     chosen = disk.join(broadcast_if_small(written), "path", "left_semi")
     return split_into_chunks(chosen.select("path", "content"), chunk_bytes, alg).select(
         "_id", "content"
