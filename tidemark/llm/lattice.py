@@ -5,8 +5,9 @@ decodes each group to the nearest point of the E8 lattice.  A vector stands in t
 cell of its point and probes the cells of the neighbouring points nearest to it;
 vectors that meet are compared by cosine in double precision.  Several independent
 tables bring the chance to meet at a cosine of 0.9 to about 0.985, and to nearly one
-above 0.95.  More vectors get more groups to a table (finer cells), and so many more
-tables that the chance stays.
+above 0.95.  The tables are the same for any number of vectors, so that links don't
+depend on the size of the input; large cells are compared in blocks, by a product in
+single precision with a margin first.
 
 Equal vectors are one class and never compared with each other.  A pair that meets
 often counts where it meets first: in the lowest table and cell.  No pairs leave a
@@ -37,10 +38,12 @@ THRESHOLD = 0.9
 SEED = 5
 SCALE = 2.0
 PROBES = 1
-CELL_ROWS = 1024
-#: Vectors up to which a number of groups to a table, and of tables, is used.
-#: Each plan has the chance to meet at a cosine of 0.9 of the small one: 0.985 or more.
-PLANS = ((300_000, 1, 6), (20_000_000, 2, 16), (None, 3, 40))
+CELL_ROWS = 4096
+#: Groups to a table, and tables, for any number of vectors: a link that is found does not
+#: depend on how many other rows there are.  The chance to meet at a cosine of 0.9 is 0.985.
+PLANS = ((None, 1, 6),)
+#: Rows that a cell compares with columns at a time.
+BLOCK = (512, 2048)
 
 
 def neighbours() -> np.ndarray:
@@ -187,24 +190,39 @@ def _compare(dtype, groups: int, tables: int, seed: int, threshold: float):
             x = _matrix(raw.slice(lo, hi - lo), dtype)[0][1]  # the length is part of the key
             node, n, part = (col[c][lo:hi] for c in ("node", "n", "part"))
             unit = _unit(x)
+            single = unit.astype(np.float32)
+            least = np.float32(threshold - 2 * x.shape[1] * np.finfo(np.float32).eps)
+            level, key, same = int(col["table"][lo]), int(col["key"][lo]), bool(col["same"][lo])
+            own = np.zeros((hi - lo, level + 1, (1 + PROBES) ** groups), np.int64)
+            told = np.zeros(hi - lo, bool)
+            linked = np.zeros(hi - lo, np.int64)
+            moved = to = np.empty(0, np.int64)
             at = np.flatnonzero(home)
-            near = unit[at] @ unit.T >= threshold
-            i, j = np.nonzero(near)
-            i = at[i]
-            # Each pair once; of one part only in the cell where that part meets itself.
-            keep = (node[i] != node[j]) & (~home[j] | (node[i] < node[j]))
-            keep &= (part[i] != part[j]) | bool(col["same"][lo])
-            i, j = i[keep], j[keep]
-            if not len(i):
+            for r, c in product(range(0, len(at), BLOCK[0]), range(0, hi - lo, BLOCK[1])):
+                rows = at[r:r + BLOCK[0]]
+                near = single[rows] @ single[c:c + BLOCK[1]].T >= least
+                ri, ci = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(ri):
+                    continue
+                i, j = np.nonzero(near[np.ix_(ri, ci)] & (unit[rows[ri]] @ unit[c + ci].T >= threshold))
+                i, j = rows[ri][i], c + ci[j]
+                # Each pair once; of one part only in the cell where that part meets itself.
+                keep = (node[i] != node[j]) & (~home[j] | (node[i] < node[j]))
+                keep &= (part[i] != part[j]) | same
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                new = np.unique(np.r_[i, j])
+                new = new[~told[new]]
+                if len(new):
+                    own[new] = _tables(x.shape[1], groups, tables, seed).cells(unit[new])[:, : level + 1]
+                    told[new] = True
+                first = _first_meeting(own, i, j, level, key)
+                np.add.at(linked, i[first], n[j[first]])
+                np.add.at(linked, j[first], n[i[first]])
+                moved, to = forest(np.r_[moved, i], np.r_[to, j], hi - lo)
+            if not len(moved):
                 continue
-            used = np.unique(np.r_[i, j])
-            own = np.zeros((hi - lo, int(col["table"][lo]) + 1, (1 + PROBES) ** groups), np.int64)
-            own[used] = _tables(x.shape[1], groups, tables, seed).cells(unit[used])[:, : own.shape[1]]
-            first = _first_meeting(own, i, j, int(col["table"][lo]), int(col["key"][lo]))
-            moved, to = forest(i, j, hi - lo)
-            linked = np.zeros(hi - lo, np.int64)
-            np.add.at(linked, i[first], n[j[first]])
-            np.add.at(linked, j[first], n[i[first]])
             some = np.flatnonzero(linked)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.r_[node[moved], node[some]]), pa.array(np.r_[node[to], node[some]]),
@@ -222,8 +240,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     if dtype is np.float64 and element != "double":
         vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     classes = _classes(vectors)
-    total = classes.count()
-    groups, tables = next((g, t) for most, g, t in PLANS if most is None or total <= most)
+    (_, groups, tables), = PLANS
     rows = _probe_rows(classes, dtype, groups, tables, seed)
     cells = spread(rows, ["table", "dim", "key"], F.col("node"), CELL_ROWS)
     cells = cells.select("cell", "node", "n", "vector", "table", "key", "home", "part", "same")
