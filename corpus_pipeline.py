@@ -2,7 +2,8 @@
 
 language   drops documents without a letter; a NULL lang becomes the inferred language
 simhash    keeps the document of smallest doc_id of each group of near copies: shingles
-           of five words with a Jaccard similarity of 0.8 or more, verified exactly
+           of five words with a Jaccard similarity of 0.8 or more, verified exactly;
+           near SimHash fingerprints first, MinHash bands for what they leave apart
 pii        replaces personal data by its kind
 mixing     takes words of each source to its target weight
 packing    packs what is left into sequences (rows are pieces)

@@ -1,13 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles, verified exactly.
-
-Candidates come from MinHash bands over the hashes of a text's word shingles: with
-``BANDS`` bands of ``BAND_ROWS`` minima two texts at a similarity of exactly 0.8 meet
-in some band with a chance of 0.9999, more similar ones with more.  Texts of equal
-shingle sets are one node.  Nodes that meet in a bucket are compared by their whole
-shingle sets, and only links that reach the threshold go into the component search.
-A few bands come first; of the others only buckets are compared that still hold
-different components.  Of the links of a cell only a spanning forest is returned, so
-groups don't yield all pairs.
+"""Near copies by SimHash and MinHash of word shingles, verified by exact Jaccard similarity.
+
+Texts of equal shingle sets are one node.  First come SimHash fingerprints of the sets:
+fingerprints within ``RADIUS`` bits are linked (``simhash.links``, which loses no such
+pair), and nodes whose fingerprints links reach are compared.  A pair at a similarity of
+0.8 differs in 10 of 64 bits on average, more than an exact search over blocks can take,
+so the texts that SimHash left apart meet in MinHash bands over the same hashes: with
+``BANDS`` bands of ``BAND_ROWS`` minima two texts at exactly 0.8 meet with a chance of
+0.9999, more similar ones with more.  All that meet are compared by their whole shingle
+sets, and only links that reach the threshold go into the component search.  A few bands
+come before the others, and only groups are compared that still hold different
+components.  Of the links of a cell only a spanning forest is returned, so groups don't
+yield all pairs.
 
 Defined results: letters are folded in ASCII only; fewer words than a shingle are one
 shingle; NULL, empty and blank texts are copies of each other and of nothing else;
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.buckets import by_cell, spread
 from tidemark.llm.common import cut_lineage, row_key, unwrapped, wrapped
 from tidemark.llm.components import components
+from tidemark.llm.simhash import hashes, majority, with_component
 
 WORDS = 5
 SIMILARITY = 0.8
 BAND_ROWS = 5
 BANDS = 24
 FIRST_BANDS = 2
-HASH_SEED = 42
+RADIUS = 6
 CELL_ROWS = 1024
 _RNG = np.random.default_rng(7)
 TIMES = _RNG.integers(1, 2**63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,17 +45,7 @@ PLUS = _RNG.integers(0, 2**63, size=BANDS * BAND_ROWS, dtype=np.uint64)
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a whole text."""
-    from xxhash import xxh64_intdigest
-
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return np.empty(0, np.uint64)
-    n = max(1, len(ws) - words + 1)
-    line = b" ".join(ws)
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[min(words, len(ws)) - 1:].tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], HASH_SEED) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.unique(hashes(text, words))
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -71,24 +65,26 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """``(doc_id, key, node, bands)``: equal shingle sets share a node."""
+    """``(doc_id, key, node, fp, bands)``: equal shingle sets share a node and a fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest
 
         for batch in batches:
-            node, marks = [], []
+            node, prints, marks = [], [], []
             for t in batch.column(2):
                 found = shingles(t.as_py())
                 node.append(xxh3_128_hexdigest(found.tobytes()))
+                prints.append(majority(found))
                 marks.append(bands(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node, pa.string()), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "key", "node", "bands"],
+                [batch.column(0), batch.column(1), pa.array(node, pa.string()),
+                 pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "key", "node", "fp", "bands"],
             )
 
     source = rows.select(F.col("doc_id").cast("long"), F.col("_key").alias("key"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, key string, node string, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, key string, node string, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -174,11 +170,17 @@ def _links(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def _grouped(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """``(node, component)`` of every shingle set."""
     nodes = cut_lineage(
-        marks.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
-        .withColumn("component", F.col("node"))
+        marks.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    )
+    prints = with_component(cut_lineage(nodes.select("fp").distinct()), RADIUS).withColumnRenamed("component", "near")
+    # An empty set is like no other; it has no bands and meets none here either.
+    near = F.when(F.size("bands") > 0, F.array("near")).otherwise(F.array().cast("array<long>"))
+    nodes = cut_lineage(
+        nodes.join(prints, "fp").withColumn("near", near).withColumn("component", F.col("node")).drop("fp")
     )
-    for first, count in ((1, FIRST_BANDS), (1 + FIRST_BANDS, BANDS - FIRST_BANDS)):
-        some = nodes.withColumn("bands", F.slice("bands", first, count))
+    first, rest = F.slice("bands", 1, FIRST_BANDS), F.slice("bands", 1 + FIRST_BANDS, BANDS - FIRST_BANDS)
+    for buckets in (F.col("near"), first, rest):
+        some = nodes.withColumn("bands", buckets)
         edges = _links(some, rows.select("_key", "text"), similarity)
         # Edges join nodes; what was one component before stays one.
         before = nodes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))

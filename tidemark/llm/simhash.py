@@ -38,24 +38,33 @@ BUCKET_ROWS = 64
 SLICE = 8  # planes between two looks at which comparisons can be abandoned
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Majority of the bits of the hashes of all word shingles, as unsigned."""
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of all word shingles of a whole text, repeats included."""
     from xxhash import xxh64_intdigest
 
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(ws) - words + 1)
     line = b" ".join(ws)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(words, len(ws)) - 1:].tolist()
-    hashed = np.fromiter((xxh64_intdigest(line[a:b], HASH_SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(line[a:b], HASH_SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The bits set in more than half of the hashes, as unsigned; zero without any."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(hashed), 65_536):
         bits = np.unpackbits(hashed[at:at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashed), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Majority of the bits of the hashes of all word shingles, as unsigned."""
+    return majority(hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, key: Column | None = None) -> DataFrame:
@@ -187,14 +196,19 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return by_cell(cells, run, "a long, b long")
 
 
-def _grouped(prints: DataFrame, radius: int) -> DataFrame:
-    """Adds ``component`` (a fingerprint) and ``component_id`` to fingerprints."""
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def with_component(nodes: DataFrame, radius: int) -> DataFrame:
+    """Adds ``component`` to rows of distinct fingerprints: one of those that links reach."""
     # A fingerprint is its own node id: doc_ids need be neither unique nor present.
     found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
-    labelled = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
+    return nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
+
+
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """Adds ``component`` (a fingerprint) and ``component_id`` to fingerprints."""
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labelled = with_component(nodes, radius)
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     return prints.join(labelled.join(least, "component").select("fp", "component", "component_id"), "fp")
 
