@@ -131,3 +131,22 @@ def test_baselines_of_named_paths_only(spark):
     keys = spark.createDataFrame([("pull.md",)], "path_key string")
     rows = {r["path_key"]: r["label"] for r in reconcile.update_baselines(bases, docs, disk, "establish", keys).collect()}
     assert rows.pop("pull.md") == "established" and set(rows.values()) == {"unchanged"} and "waits.md" in rows
+
+
+def test_a_replay_reads_no_docs_and_baselines_fold_once(spark, tmp_path, monkeypatch):
+    disk, docs, bases, _ = tables(spark)
+    folded = []
+    fold = reconcile.with_path_key
+    monkeypatch.setattr(reconcile, "with_path_key", lambda df, *a: folded.append(df.columns) or fold(df, *a))
+    _, done = run(spark, disk, docs, bases)
+    # The docs as they are after the run are folded once, not again in each mode.
+    assert not [c for c in folded if "path_key" in c]
+    store = DocStore(spark, str(tmp_path))
+    store.start(docs, spark.createDataFrame([], NONE), baselines=bases)
+    assert apply.settle(store, 1, disk, done, 10**6).isEmpty()
+    assert store.docs(columns=["_local_seq"]).columns == ["_id", "_local_seq"]
+    assert sorted(map(tuple, store.docs(columns=["_local_seq"]).collect())) == sorted(
+        map(tuple, store.docs().select("_id", "_local_seq").collect())
+    )
+    monkeypatch.setattr(store, "docs", None)
+    assert apply.settle(store, 1, disk, done, 10**6).isEmpty() and store.last() == 1

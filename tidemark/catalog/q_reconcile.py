@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import query
 from tidemark.catalog.tables import CHUNK_BYTES, DEVICE, PREVIOUS_DEVICES
 from tidemark.functions import clocks, ids
+from tidemark.operators.paths import with_path_key
 from tidemark.plans import apply, reconcile
-from tidemark.session import work_dir
+from tidemark.session import cut_lineage, work_dir
 from tidemark.sources.store import DocStore
 
 
@@ -173,7 +174,7 @@ def applied_store(t, disk, docs):
     held = DocStore(t.spark, base)
     docs = docs.withColumn("_version", F.lit(1)).withColumn("_local_seq", F.lit(1).cast("bigint"))
     held.start(docs, t.spark.createDataFrame([], "_id string, content binary"), baselines=t.baselines)
-    docs, bases = held.docs(), held.table("baselines", "path_key")
+    docs, bases = cut_lineage(held.docs()), cut_lineage(held.table("baselines", "path_key"))
     made = reconcile.reconcile_plan(
         disk, docs, bases, t.manifest, DEVICE, PREVIOUS_DEVICES, CHUNK_BYTES, with_doc=True
     )
@@ -222,11 +223,12 @@ def _(t):
     # After the commit a second scan isn't needed, until a file changes.
     disk = t.disk
     held = applied_store(t, disk, t.local_docs.drop("doc_id"))
-    now = apply.listing(disk, held.written("disk", 1))
+    now = cut_lineage(with_path_key(apply.listing(disk, held.written("disk", 1))))
+    docs = cut_lineage(held.docs(columns=["_local_seq"]))
     cursor, manifest = held.table("cursor", "name"), held.written("manifest", 1)
 
     def run(name, files):
-        return reconcile.reconcile_needed(files, held.docs(), manifest, cursor).select(F.lit(name).alias("scenario"), "needed")
+        return reconcile.reconcile_needed(files, docs, manifest, cursor).select(F.lit(name).alias("scenario"), "needed")
 
     return run("again", now).unionAll(run("edited", now.withColumn("mtime", F.col("mtime") + 10_000)))
 

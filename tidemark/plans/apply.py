@@ -16,10 +16,10 @@ from tidemark.operators.integrity import docs_signature
 from tidemark.operators.paths import with_path_key
 from tidemark.operators.skew import broadcast_if_small
 from tidemark.plans.pull import only_ids
-from tidemark.plans.reconcile import ingest_chunks, ingest_files, mark_deleted, update_baselines
+from tidemark.plans.reconcile import ingest_chunks, ingest_files, keyed_docs, mark_deleted, update_baselines
 from tidemark.schemas import DEFAULT_ALG, DEFAULT_MAX_FILE_MB, FILE_CHUNK_BYTES, IDS
 from tidemark.session import cut_lineage
-from tidemark.sources.store import DocStore
+from tidemark.sources.store import CONFLICT_ROWS, DocStore
 
 TAKES = ("restore", "pull", "collision-restore")
 ESTABLISHED = (*TAKES, "vclock-adopt", "delete-apply", "baseline-align", "collision-resolved")
@@ -90,7 +90,8 @@ def apply_plan(
     where the tombstone names its exact spelling.  These and the aligning actions set the
     baselines of their own paths and of no others.  Of colliding spellings the losers
     become tombstones and the canonical doc's baseline is established.  Conflicts and
-    quarantined paths change nothing and are listed.
+    quarantined paths change nothing and are listed.  ``docs`` and ``baselines`` are read
+    several times: a table is better than a plan that folds versions.
     """
     plan = cut_lineage(plan)
     a = F.col("action")
@@ -135,12 +136,15 @@ def apply_plan(
         F.lit(None).cast("bigint").alias("mtime"), F.lit(True).alias("deleted"),
     )
     # One spelling a path is left; its doc and its file as they are after all of the above.
-    now = listing(disk, ops)
+    # Both modes start from the rows of their paths, which are folded and written once.
+    keys = cut_lineage(plan.filter(a.isin("align", *ESTABLISHED)).select("path_key", (a == "align").alias("_align")).distinct())
+    now = cut_lineage(only_ids(with_path_key(listing(disk, ops)), keys, "path_key"))
     stored = changed(docs.select(*columns), fresh.select(*columns), "_id")
+    stored = cut_lineage(only_ids(keyed_docs(stored), keys, "path_key"))
+    known = cut_lineage(only_ids(baselines, keys, "path_key"))
     settled = own.unionByName(buried)
-    for mode, actions in (("align", ("align",)), ("establish", ESTABLISHED)):
-        keys = plan.filter(a.isin(*actions)).select("path_key").distinct()
-        rows = update_baselines(baselines, stored, now, mode, keys)
+    for mode, chosen in (("align", F.col("_align")), ("establish", ~F.col("_align"))):
+        rows = update_baselines(known, stored, now, mode, keys.filter(chosen).select("path_key"))
         settled = settled.unionByName(
             rows.filter(~F.col("label").isin("already-aligned", "unchanged")).drop("label")
         )
@@ -184,7 +188,10 @@ def settle(store: DocStore, part: int, disk: DataFrame, applied: Applied, starte
     to do, and the manifest and cursor that the next ``reconcile_needed`` looks at, are seen
     together or not at all.
     """
-    held = store.docs()
+    done = store.last()
+    if done is not None and part <= done:  # a replay
+        return store.spark.createDataFrame([], CONFLICT_ROWS)
+    held = cut_lineage(store.docs(columns=["_local_seq"]))
     added = applied.docs.select("_id").join(held.select("_id"), "_id", "left_anti").count()
     seen = docs_signature(held).first()
     wrote = 0 if applied.docs.isEmpty() else 1

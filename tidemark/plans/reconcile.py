@@ -43,6 +43,9 @@ BASE = (
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
+    """Docs with ``path`` and ``path_key``; those that have both are taken as they are."""
+    if {"path", "path_key"} <= set(docs.columns):
+        return docs
     return with_path_key(docs.withColumn("path", ids.path_of("_id")))
 
 
@@ -379,10 +382,11 @@ def reconcile_needed(
     spark = disk.sparkSession
     if manifest is None or cursor is None:
         return spark.range(1).select(F.lit(True).alias("needed"))
-    files = with_path_key(disk.select("path", "mtime")).select(
-        "path_key", "mtime", F.lit(1).alias("f"), F.lit(0).alias("m")
-    )
-    listed = with_path_key(manifest.select("path")).select(
+    def keyed(df: DataFrame) -> DataFrame:
+        return df if "path_key" in df.columns else with_path_key(df)
+
+    files = keyed(disk).select("path_key", "mtime", F.lit(1).alias("f"), F.lit(0).alias("m"))
+    listed = keyed(manifest).select(
         "path_key", F.lit(None).cast("bigint").alias("mtime"), F.lit(0).alias("f"), F.lit(1).alias("m")
     )
     sets = (
@@ -486,7 +490,7 @@ def update_baselines(
     known = baselines
     if paths is not None:
         prints, known = only_ids(prints, paths, "path_key"), only_ids(baselines, paths, "path_key")
-        docs = only_ids(keyed_docs(docs), paths, "path_key").drop("path_key", "path")
+        docs = only_ids(keyed_docs(docs), paths, "path_key")
     occ = occupants(prints, docs, known)
     doc, base = F.col("doc"), F.col("base")
     mtime = _disk_mtime()

@@ -17,6 +17,7 @@ COMMITS = (
     .add("buckets", "integer").add("docs", T.ArrayType(T.IntegerType())).add("chunks", T.ArrayType(T.IntegerType()))
     .add("schemas", T.MapType(T.StringType(), T.StringType()))
 )
+CONFLICT_ROWS = "_id string, stored string, expected string"
 BUCKET_ROWS = 50_000
 MAX_BUCKETS = 100_000
 BUCKETED = ("docs", "chunks")  # by their ``_id``
@@ -125,9 +126,15 @@ class DocStore:
         kept = rows.filter(~F.col("_gone")).join(broadcast_if_small(gone), "_id", "left")
         return kept.filter(F.col("_last").isNull() | (F.col("part") >= F.col("_last"))).select("_id", "content")
 
-    def docs(self, wanted: DataFrame | None = None) -> DataFrame:
-        """Newest version of each doc that was not removed; of ``wanted`` ids only their buckets."""
-        return self._of("docs", lambda rows: self._latest(rows, "_id"), wanted)
+    def docs(self, wanted: DataFrame | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+        """Newest version of each doc that was not removed; of ``wanted`` ids only their buckets.
+
+        With ``columns`` only these are read beside the id, and the rest of the docs stays shut.
+        """
+        def read(rows: DataFrame) -> DataFrame:
+            return self._latest(rows if columns is None else rows.select("_id", *columns, "part", "_gone"), "_id")
+
+        return self._of("docs", read, wanted)
 
     def chunks(self, wanted: DataFrame | None = None) -> DataFrame:
         return self._of("chunks", self._present, wanted)
@@ -158,7 +165,7 @@ class DocStore:
         commits = self.commits()
         head = commits[-1] if commits else None
         if head is not None and part <= head["part"]:
-            return self.spark.createDataFrame([], "_id string, stored string, expected string")
+            return self.spark.createDataFrame([], CONFLICT_ROWS)
         ids = new_docs.select("_id") if deletes is None else new_docs.select("_id").unionAll(deletes.select("_id"))
         asked = new_chunks.select("_id") if deletes is None else new_chunks.select("_id").unionAll(deletes.select("_id"))
         before, stored = self.docs(ids), self.chunks(asked)
