@@ -275,3 +275,40 @@ def test_text_sequences(spark):
     rows = spark.createDataFrame([(0, "5-x"), (1, "12-g"), (2, "9-y")], "batch_no long, last_seq string")
     got = {r["batch_no"]: (r["last_seq"], r["action"]) for r in feeds.detect_recreate(rows, "file", slices=2).collect()}
     assert got == {0: (5, "ok"), 1: (12, "ok"), 2: (9, "fail")}
+
+
+def test_rename_groups_of_one_batch_take_few_rounds(spark, monkeypatch):
+    from tidemark.operators import components as search
+
+    rounds = []
+    star = search._star
+    monkeypatch.setattr(search, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    rows = [(float(i), f"p{c}.{i + 1}", f"p{c}.{i}", "rename") for c in range(5) for i in range(40)]
+    rows.append((99.0, "alone", None, "modify"))
+    taken = timers.capture_rows(events(spark, *rows).coalesce(1))
+    keyed = timers.with_group(taken, timers.rename_groups(taken)).collect()
+    keys = {}
+    for r in keyed:
+        keys.setdefault(r["path"].split(".")[0], set()).add(r["_key"])
+    assert all(len(k) == 1 for k in keys.values()) and len(set().union(*keys.values())) == 6
+    assert sum(rounds) == 1  # a chain within a chunk is a star before the first round
+
+
+@pytest.mark.parametrize("chunk", [7, 200_000])
+def test_contracted_components(spark, monkeypatch, chunk):
+    import random
+
+    from tidemark.operators import components as search
+
+    monkeypatch.setattr(search, "CHUNK_EDGES", chunk)
+    rng = random.Random(chunk)
+    pairs = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(3, 3), (-5, -5)]
+    pairs += [(i, i + 1) for i in range(1000, 1090)]
+    least = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    rows = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    for contract in (False, True):
+        assert {r["id"]: r["component"] for r in search.components(rows, contract).collect()} == least

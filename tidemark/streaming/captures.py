@@ -161,7 +161,7 @@ def stream_captures(
     """Streaming ``captures``: history runs of a stream of events land in ``state.runs()``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        state.apply(cut_lineage(batch), batch_id)
+        state.apply(batch, batch_id)  # written there, before its first use
 
     return (
         events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -170,20 +170,25 @@ def capture_rows(events: DataFrame) -> DataFrame:
 
 
 def rename_groups(rows: DataFrame) -> DataFrame | None:
-    """``(path, _joined)`` of the paths that renames join, None without any."""
-    renames = cut_lineage(
-        rows.filter("old is not null and old <> path").select(F.col("path").alias("a"), F.col("old").alias("b")).distinct()
-    )
+    """``(_path, _joined)`` of the paths that renames join, None without any.
+
+    Paths go by a 64-bit hash: two that share one would only be folded side by side.
+    """
+    renames = rows.filter("old is not null and old <> path")
     if renames.isEmpty():
         return None
-    return components(renames).withColumnsRenamed({"id": "path", "component": "_joined"})
+    found = components(
+        renames.select(F.xxhash64("path").alias("a"), F.xxhash64("old").alias("b")), contract=True
+    )
+    return cut_lineage(found).withColumnsRenamed({"id": "_path", "component": "_joined"})
 
 
 def with_group(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Adds ``_key``: the group of a path, or the path itself."""
+    """Adds ``_key``: the group of a path, or the hash of the path itself."""
+    own = rows.withColumn("_path", F.xxhash64("path"))
     if groups is None:
-        return rows.withColumn("_key", F.col("path"))
-    return rows.join(groups, "path", "left").withColumn("_key", F.coalesce("_joined", "path")).drop("_joined")
+        return own.withColumnRenamed("_path", "_key")
+    return own.join(groups, "_path", "left").withColumn("_key", F.coalesce("_joined", "_path")).drop("_joined", "_path")
 
 
 class History:
